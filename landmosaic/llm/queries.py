@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from . import piece_codec, token_files
 from .common import table
 from .exact_dedup import exact_groups
 
@@ -14,8 +17,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    shards, freqs = token_files.encode_corpus(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.digests(token_files.read(shards, freqs))
+
+
+def op10_piece_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return piece_codec.digests(piece_codec.encode_texts(table(spark, sf_dir, "documents"), path or public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_token_files": op3_token_files,
+    "op10_piece_codec": op10_piece_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {
