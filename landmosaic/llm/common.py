@@ -40,17 +40,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def salted_totals(rows: DataFrame, key: str, id_col: str, aggs: dict[str, tuple[str, str]], salts: int = 64) -> DataFrame:
-    """rows with each key's totals. aggs: output name -> (function, column), of min, max, sum and count.
+SALTS = 64
 
-    A key may hold any share of the rows: totals are first made per (key, salt), then per key, and go back to the
-    rows by (key, salt), so that no task gets more than about 1/salts of a hot key's rows.
+
+def attach(rows: DataFrame, key: str, spread: str, per_key: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with per_key (one row for each key, in a column of the same name; nulls match).
+
+    A key may hold any share of the rows: per_key goes to (key, salt) first, the salt made from the column spread, and the
+    rows meet it there, so that no task gets more than about 1/SALTS of a hot key's rows.
     """
-    again = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
-    first = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
-    part = salted.groupBy(key, "_salt").agg(*[first[f](c).alias(f"_{n}") for n, (f, c) in aggs.items()])
-    total = part.groupBy(F.col(key).alias("_key")).agg(*[again[f](f"_{n}").alias(n) for n, (f, _) in aggs.items()])
-    back = part.select(key, "_salt").join(total, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-    back = back.select(F.col(key).alias("_key"), F.col("_salt").alias("_of"), *aggs)
-    return salted.join(back, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_of"))).drop("_key", "_of", "_salt")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = salted.select(F.col(key).alias("_key"), F.col("_salt").alias("_of")).distinct()
+    parts = parts.join(per_key, F.col("_key").eqNullSafe(F.col(key))).drop(key)
+    return salted.join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_of")), how).drop("_key", "_of", "_salt")
+
+
+def salted_totals(rows: DataFrame, key: str, spread: str, aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows with each key's totals. aggs: output name -> (min, max, sum or count, column). Spark adds up within tasks first."""
+    of = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+    return attach(rows, key, spread, rows.groupBy(key).agg(*[of[f](c).alias(n) for n, (f, c) in aggs.items()]))

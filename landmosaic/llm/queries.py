@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import piece_codec, token_files
+from . import piece_codec, simhash_dedup, token_files
 from .common import table
 from .exact_dedup import exact_groups
 
@@ -22,6 +22,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.digests(token_files.read(shards, freqs))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return piece_codec.digests(piece_codec.encode_texts(table(spark, sf_dir, "documents"), path or public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -29,6 +34,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str, path: str | None = None)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_files": op3_token_files,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op10_piece_codec": op10_piece_codec,
 }
 
