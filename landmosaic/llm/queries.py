@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, simhash_dedup, token_files
+from . import piece_codec, simhash_dedup, token_files, warc
 from .common import table
 from .exact_dedup import exact_groups
 
@@ -22,6 +22,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.digests(token_files.read(shards, freqs))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.archived(table(spark, sf_dir, "pages")))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,6 +38,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str, path: str | None = None)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_files": op3_token_files,
+    "op6_warc": op6_warc,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op10_piece_codec": op10_piece_codec,
 }
@@ -45,4 +50,16 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op6_warc": """
+        WITH n AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT page_id, h, d, min(page_id) OVER (PARTITION BY h) AS first FROM n),
+        bits AS (SELECT *, array_to_string(list_transform(string_split(d, ''), lambda x:
+            ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', x)]), '') AS b FROM f)
+        SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + list_sum(list_transform(range(5), lambda k: CAST(substr(b, CAST(i * 5 + k + 1 AS BIGINT), 1) AS INTEGER) * (16 >> CAST(k AS INTEGER)))) AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM bits
+    """,
 }
