@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, simhash_dedup, token_files, warc
+from . import chat_format, lang_id, piece_codec, simhash_dedup, token_files, warc
 from .common import table
 from .exact_dedup import exact_groups
 
@@ -17,11 +17,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identified(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     shards, freqs = token_files.encode_corpus(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.digests(token_files.read(shards, freqs))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.archived(table(spark, sf_dir, "pages")))
 
@@ -37,7 +45,9 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lang_id": op2_lang_id,
     "op3_token_files": op3_token_files,
+    "op5_chat_format": op5_chat_format,
     "op6_warc": op6_warc,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op10_piece_codec": op10_piece_codec,
@@ -62,4 +72,18 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM bits
     """,
+    "op5_chat_format": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS name, coalesce(text, '') AS said, row_number() OVER () AS uid FROM conversations),
+        p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),
+        r AS (SELECT t.*, p.perspective, CASE WHEN name = 'system' THEN 'system' WHEN name = perspective THEN 'assistant' ELSE 'user' END AS chat_role
+              FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+        h AS (SELECT *, CASE WHEN chat_role = 'user' THEN concat('<|user name=', name, '|>', chr(10)) ELSE concat('<|', chat_role, '|>', chr(10)) END AS head FROM r),
+        s AS (SELECT *, concat(head, said, '<|end|>', chr(10)) AS segment FROM h),
+        w AS (SELECT *, sum(length(segment)) OVER o AS "end", row_number() OVER o AS position FROM s
+              WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, name, said, uid ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, perspective, position, turn, chat_role, name, segment, CAST("end" - length(segment) AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end",
+               CAST(CASE WHEN chat_role = 'assistant' THEN "end" - length(segment) + length(head) END AS BIGINT) AS mask_start,
+               CAST(CASE WHEN chat_role = 'assistant' THEN "end" - 1 END AS BIGINT) AS mask_end
+        FROM w
+    """,
 }
