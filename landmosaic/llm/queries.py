@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, lang_id, piece_codec, simhash_dedup, token_files, warc
+from . import chat_format, decontam, html_text, lang_id, piece_codec, simhash_dedup, token_files, warc
 from .common import table
 from .exact_dedup import exact_groups
 
@@ -39,6 +39,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_warc": op6_warc,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_html_text": op8_html_text,
     "op9_decontam": op9_decontam,
     "op10_piece_codec": op10_piece_codec,
 }

@@ -16,6 +16,8 @@ its own; a null id sorts first. An empty table gives an empty result. Extra colu
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -140,13 +142,44 @@ class Coder:
 
 class WordTokenizer:
     """The library's ids of a text. This tokenizer drops white space and never joins what it parts, so words are encoded
-    one by one, and remembered."""
+    one by one, and remembered. Of plain words (printable ASCII and the letters of Latin-1, which NFC leaves alone) the
+    library's model gets the lower-cased parts directly, and these are remembered too; all others take its whole way."""
+
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")  # of lower-cased plain words
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])] + [x["type"] for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or steps["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": pattern}:
+            raise ValueError("this way of parting words doesn't fit the tokenizer")
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in steps["added_tokens"]) or "(?!)")
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            if len(part) <= CACHED_LENGTH:
+                if len(self.parts) > CACHED_WORDS:
+                    self.parts.clear()
+                self.parts[part] = found
+        return found
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.PLAIN.fullmatch(text) and not self.special.search(text):
+            return b"".join([self.part(x) for x in self.PARTS.findall(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids packed as little-endian unsigned 32-bit integers."""
@@ -156,14 +189,15 @@ class WordTokenizer:
         except KeyError:
             if len(known) > CACHED_WORDS:
                 known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            out = b"".join([known[w] for w in words])
-            for w in new:
-                if len(w) > CACHED_LENGTH:
-                    del known[w]
-            return out
+            out = []
+            for w in words:
+                ids = known.get(w)
+                if ids is None:
+                    ids = self.word(w)
+                    if len(w) <= CACHED_LENGTH:
+                        known[w] = ids
+                out.append(ids)
+            return b"".join(out)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
