@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 TRAINING, TRAINING_CHARS = 120, 60_000  # pages, and characters of each that training looks at
 STEPS, RATE, PENALTY = 250, 0.1, 1e-5
+TURNS = 10  # weight in training of an element whose label isn't its parent's
 HASHED = 64  # features for class and id words that aren't known words
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,7 +45,7 @@ BAD = "ad ads adv advert advertisement sponsor sponsored promo banner nav navbar
 GOOD = "article content post entry story main body text page prose blog hentry".split()
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 WORD_AT = {w: i for i, w in enumerate(BAD + GOOD)}
-N_SHAPE = 8
+N_SHAPE = 5
 N_FEATURES = len(TAGS) + 1 + len(WORD_AT) + 2 + HASHED + N_SHAPE
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -145,17 +146,15 @@ class Tree:
         """Rows of unary features."""
         n = len(self.parent)
         x = np.zeros((n, N_FEATURES), np.float32)
-        total, linked, stops = [0.0] * n, [0.0] * n, [0.0] * n
+        total, linked = [0.0] * n, [0.0] * n
         for element, _, text in self.texts:
             total[element] += len(text.strip())
-            stops[element] += text.count(".") + text.count(",")
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             if self.tag[i] == "a":
                 linked[i] = total[i]
             total[p] += total[i]
             linked[p] += linked[i]
-            stops[p] += stops[i]
         base = len(TAGS) + 1
         for i, (tag, names) in enumerate(zip(self.tag, self.names, strict=True)):
             x[i, TAG_AT.get(tag, len(TAGS))] = 1
@@ -166,17 +165,14 @@ class Tree:
                     x[i, base + len(WORD_AT) + (k >= len(BAD))] = 1
                 else:
                     x[i, base + len(WORD_AT) + 2 + sum(w.encode()) % HASHED] = 1
-        total, linked, stops = np.array(total), np.array(linked), np.array(stops)
+        total, linked = np.array(total), np.array(linked)
         share = linked / np.maximum(total, 1)
         shape = x[:, -N_SHAPE:]
         shape[:, 0] = 1
         shape[:, 1] = share
         shape[:, 2] = share > 0.6
-        shape[:, 3] = np.log1p(total) / 8
-        shape[:, 4] = total < 25
-        shape[:, 5] = total == 0
-        shape[:, 6] = np.minimum(1, 20 * stops / np.maximum(total, 1))
-        shape[:, 7] = np.array([p == 0 for p in self.parent])
+        shape[:, 3] = total == 0
+        shape[:, 4] = np.array([p == 0 for p in self.parent])
         return x
 
     def kinds(self) -> np.ndarray:
@@ -280,22 +276,24 @@ def train(pages: list[str]) -> Model:
     """Logistic regression of an element's label on its features and, by kind of tag, its parent's label: the weights of
     the features are the unary potentials, those of the parent's label the pairwise ones."""
     rng = np.random.default_rng(42)
-    xs, ys, ps = [], [], []
+    xs, ys, ps, ws = [], [], [], []
     for page in pages:
         for tree in guises(page, rng):
             label = np.array(tree.label)
             xs.append(tree.features()[1:])
             ys.append(label[1:])
+            ws.append(np.where(label[1:] == label[np.array(tree.parent[1:], int)], 1, TURNS))
             ps.append(tree.kinds()[1:] * 2 + label[np.array(tree.parent[1:], int)])
     k = 2 * len(KINDS)
     w = np.zeros(N_FEATURES + k)
     if xs:
         y = np.concatenate(ys).astype(np.float32)
         x = np.hstack([np.concatenate(xs), np.eye(k, dtype=np.float32)[np.concatenate(ps)]])
+        share = np.concatenate(ws) / sum(x.sum() for x in ws)
         m, v = np.zeros_like(w), np.zeros_like(w)
         for step in range(1, STEPS + 1):
             p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -50, 50)))
-            g = x.T @ (p - y) / len(y) + PENALTY * w
+            g = x.T @ (share * (p - y)).astype(np.float32) + PENALTY * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     b = w[N_FEATURES:].reshape(len(KINDS), 2)
