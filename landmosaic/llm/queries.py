@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, html_text, lang_id, piece_codec, simhash_dedup, token_files, warc
+from . import chat_format, decontam, html_text, lang_id, piece_codec, simhash_dedup, suffix_dedup, token_files, warc
 from .common import table
 from .exact_dedup import exact_groups
 
@@ -26,6 +26,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.digests(token_files.read(shards, freqs))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.cut(table(spark, sf_dir, "documents")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotated(table(spark, sf_dir, "conversations"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lang_id": op2_lang_id,
     "op3_token_files": op3_token_files,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_warc": op6_warc,
     "op7_simhash_dedup": op7_simhash_dedup,
