@@ -55,35 +55,74 @@ def exterior_ring(rings: Column) -> Column:
     return F.array_max(F.transform(rings, lambda r: F.struct(ring_area(r).alias("area"), r.alias("ring"))))["ring"]
 
 
+def bound_to(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def boundary_points(ring: Column, lat: Column, lon: Column, offset: float = OFFSET, least: float = MIN_EDGE) -> Column:
     """array<struct<edge_index, edge, lon, lat, bearing_deg>>: for each edge of at least `least` metres, the point `offset`
     metres out of its middle, on the side that isn't nearer to the target, looking at the target. Spark functions only."""
     n = F.greatest(F.size(ring) - 1, F.lit(0))
     edges = F.arrays_zip(F.slice(ring, 1, n).alias("a"), F.slice(ring, 2, n).alias("b"), F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))).alias("i"))
 
-    def point(e: Column) -> Column:
+    def measured(e: Column) -> Column:
         a, b = e["a"], e["b"]
-        length = distance(a["lat"], a["lon"], b["lat"], b["lon"])
-        mid_lat, mid_lon = (a["lat"] + b["lat"]) / 2, (a["lon"] + b["lon"]) / 2
-        along = bearing(a["lat"], a["lon"], b["lat"], b["lon"])
-        mine = distance(mid_lat, mid_lon, lat, lon)
+        return F.struct(e["i"].alias("i"), ((a["lat"] + b["lat"]) / 2).alias("lat"), ((a["lon"] + b["lon"]) / 2).alias("lon"), distance(a["lat"], a["lon"], b["lat"], b["lon"]).alias("edge"), bearing(a["lat"], a["lon"], b["lat"], b["lon"]).alias("along"))
 
-        def side(turn: float) -> Column:
-            p = destination(mid_lat, mid_lon, F.pmod(along + turn, F.lit(360.0)), F.lit(offset))
-            return F.when(distance(p["lat"], p["lon"], lat, lon) >= mine, p)
+    def sided(e: Column) -> Column:
+        turned = [destination(e["lat"], e["lon"], F.pmod(e["along"] + t, F.lit(360.0)), F.lit(offset)).alias(name) for t, name in ((90.0, "right"), (-90.0, "left"))]
+        return F.struct(e["i"].alias("i"), e["edge"].alias("edge"), distance(e["lat"], e["lon"], lat, lon).alias("mine"), *turned)
 
-        p = F.coalesce(side(90.0), side(-90.0))
-        look = F.bround(bearing(p["lat"], p["lon"], lat, lon), 1)
-        return F.when((length >= least) & p.isNotNull(), F.struct(e["i"].alias("edge_index"), length.alias("edge"), F.bround(p["lon"], 6).alias("lon"), F.bround(p["lat"], 6).alias("lat"), look.alias("bearing_deg")))
+    def chosen(e: Column) -> Column:
+        out = lambda p: F.when(distance(p["lat"], p["lon"], lat, lon) >= e["mine"], p)
+        return F.struct(e["i"].alias("i"), e["edge"].alias("edge"), F.coalesce(out(e["right"]), out(e["left"])).alias("p"))
 
-    found = F.array_compact(F.transform(edges, point))
+    def seen(e: Column) -> Column:
+        p = e["p"]
+        return F.struct(e["i"].alias("edge_index"), e["edge"].alias("edge"), F.bround(p["lon"], 6).alias("lon"), F.bround(p["lat"], 6).alias("lat"), F.bround(bearing(p["lat"], p["lon"], lat, lon), 1).alias("bearing_deg"))
+
+    long = F.filter(F.transform(edges, measured), lambda e: e["edge"] >= least)
+    found = F.transform(F.filter(F.transform(F.transform(long, sided), chosen), lambda e: e["p"].isNotNull()), seen)
     centre = F.array(F.struct(F.lit(0).alias("edge_index"), F.lit(0.0).alias("edge"), F.bround(lon, 6).alias("lon"), F.bround(lat, 6).alias("lat"), F.lit(None).cast("double").alias("bearing_deg")))
-    return F.when(F.size(ring) < 4, F.slice(centre, 1, 0)).when(F.size(found) > 0, found).otherwise(centre)
+    return F.when(F.size(ring) < 4, F.slice(centre, 1, 0)).otherwise(bound_to(found, lambda x: F.when(F.size(x) > 0, x).otherwise(centre)))
 
 
 def merged_points(points: Column, near: float = MERGE, most: int = MOST) -> Column:
     """Points that aren't within `near` metres of one kept before; the `most` with the longest edges, in that order."""
-    empty = F.slice(points, 1, 0)
-    kept = F.aggregate(points, empty, lambda out, p: F.when(F.exists(out, lambda q: distance(q["lat"], q["lon"], p["lat"], p["lon"]) < near), out).otherwise(F.concat(out, F.array(p))))
-    order = F.array_sort(F.transform(kept, lambda p, i: F.struct((-p["edge"]).alias("k"), i.alias("i"), p.alias("p"))))
+
+    def kept(all_: Column) -> Column:
+        return F.aggregate(all_, F.slice(all_, 1, 0), lambda out, p: F.when(F.exists(out, lambda q: distance(q["lat"], q["lon"], p["lat"], p["lon"]) < near), out).otherwise(F.concat(out, F.array(p))))
+
+    order = F.array_sort(F.transform(bound_to(points, kept), lambda p, i: F.struct((-p["edge"]).alias("k"), i.alias("i"), p.alias("p"))))
     return F.transform(F.slice(order, 1, most), lambda x: x["p"])
+
+
+def interior_points(rows, ring: str = "ring"):
+    """rows with (i_lon, i_lat), a point inside the exterior ring array<struct<lon, lat>>: the middle of the widest stretch
+    that a horizontal line between two neighbouring heights has inside. numpy, a batch at a time; null for rings without area."""
+    import numpy as np
+
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, i_lon double, i_lat double"
+
+    def point(r) -> tuple[float | None, float | None]:
+        p = np.array([(q["lon"], q["lat"]) for q in r], float).reshape(-1, 2)
+        heights = np.unique(p[:, 1])
+        if len(p) < 4 or len(heights) < 2:
+            return None, None
+        gaps = np.diff(heights)
+        y = heights[np.argmax(gaps)] + gaps.max() / 2
+        a, b = p[:-1], p[1:]
+        cross = (a[:, 1] > y) != (b[:, 1] > y)
+        x = np.sort(a[cross, 0] + (y - a[cross, 1]) / (b[cross, 1] - a[cross, 1]) * (b[cross, 0] - a[cross, 0]))
+        if len(x) < 2:
+            return None, None
+        k = int(np.argmax(x[1::2] - x[: len(x) // 2 * 2 : 2])) * 2
+        return float((x[k] + x[k + 1]) / 2), float(y)
+
+    def run(frames):
+        for f in frames:
+            found = [point(r) for r in f[ring]]
+            yield f.assign(i_lon=[a for a, _ in found], i_lat=[b for _, b in found])
+
+    return rows.mapInPandas(run, schema)

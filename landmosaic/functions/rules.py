@@ -127,7 +127,8 @@ def is_hard_case(text: Column) -> Column:
 
 def label_of(key: Column, part: int = 0) -> Column:
     """Label (0) or default subclass (1) of a class key."""
-    return first_match([(key == k, F.lit(v[part])) for k, v in LABELS.items()], F.lit(LABELS["active_urban"][part]))
+    known = F.create_map(*[F.lit(x) for k, v in LABELS.items() for x in (k, v[part])])
+    return F.coalesce(F.element_at(known, F.coalesce(key, F.lit(""))), F.lit(LABELS["active_urban"][part]))
 
 
 def tag_classes(kind: Column, tags: Column) -> Column:

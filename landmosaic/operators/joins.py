@@ -60,7 +60,7 @@ def nearby(objects: DataFrame, panoramas: DataFrame, metres: float, cell: float
 def season_picks(pairs: DataFrame, panoramas: DataFrame, most: int = 4) -> DataFrame:
     """Per object and season the nearest panorama, then the newest; at most four seasons."""
     rows = pairs.join(panoramas.select("pano_id", "season", "ts"), "pano_id")
-    best = rows.groupBy("object_id", "season").agg(F.min_by(F.struct("pano_id", "distance_m", "ts"), F.struct("distance_m", -F.unix_seconds("ts"), "pano_id")).alias("b"))
+    best = rows.groupBy("object_id", "season").agg(F.min_by(F.struct("pano_id", "distance_m", "ts"), F.struct("distance_m", -F.unix_micros(F.col("ts").cast("timestamp")), "pano_id")).alias("b"))
     place = F.row_number().over(Window.partitionBy("object_id").orderBy(F.col("b.distance_m"), "season"))
     return best.withColumn("_r", place).where(F.col("_r") <= most).select("object_id", "season", "b.pano_id", "b.distance_m")
 

@@ -44,7 +44,7 @@ BINDINGS = {
         CASE WHEN doc_id % 4 = 1 THEN CAST(NULL AS BOOLEAN) ELSE doc_id % 4 <> 0 END AS vlm_confident, concat(CASE WHEN toxic = 1 THEN 'Unsure: ' ELSE 'Answer: ' END, CASE WHEN quality = 1 THEN 'ACTIVE_CONSTRUCTION site' ELSE 'natural_areas' END, ' ', doc_id) AS raw FROM {labels}""",
     "corrections": """SELECT concat('p', user_id) AS parcel_key, event_id AS seq, concat('C', event_id % 5) AS class_ui, CASE WHEN event_id % 3 = 0 THEN concat('S', event_id % 3) END AS subclass_ui, concat('X', event_id % 4) AS class_corrected_ui,
         CASE WHEN event_id % 2 = 0 THEN 'Y' END AS subclass_corrected_ui, 'photo' AS photos_ui, CASE WHEN event_id % 4 = 0 THEN event_type END AS panorama_status_ui FROM {events}""",
-    "tiles": "SELECT concat('i', l_orderkey) AS image_id, l_linenumber % 4 AS x, CAST(l_linenumber / 4 AS INT) AS y, CASE l_returnflag WHEN 'R' THEN 'black' ELSE 'ok' END AS status FROM {lineitem}",
+    "tiles": "SELECT concat('i', l_orderkey) AS image_id, l_linenumber % 4 AS x, CAST(floor(l_linenumber / 4e0) AS INT) AS y, CASE l_returnflag WHEN 'R' THEN 'black' ELSE 'ok' END AS status FROM {lineitem}",
 }
 
 
