@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shared_files
+from . import shared_files, words
 from .common import new_path, saved
 
 MAGIC, VERSION = b"LMTOKENS", 1
@@ -38,8 +38,10 @@ LANES, STEPS = 1024, 256
 BLOCK_IDS = LANES * STEPS * 2
 LOW = np.uint64(1 << 31)
 SHIFT, WORD = np.uint64(32), np.uint64(0xFFFFFFFF)
-CACHED_WORDS, CACHED_LENGTH = 1 << 19, 64
-BATCH_BYTES = 4 << 20
+CACHED_WORDS, CACHED_LENGTH = 1 << 18, 64
+SPACES = b" \t\n\v\f\r"
+WORDS = words.byte_kinds(lambda b: b not in SPACES)
+PARTS = words.byte_kinds(lambda b: 0 if b in SPACES else 1 if b >= 128 or 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3)
 
 
 # ---------------------------------------------------------------- coder
@@ -141,20 +143,21 @@ class Coder:
 
 
 class WordTokenizer:
-    """The library's ids of a text. This tokenizer drops white space and never joins what it parts, so words are encoded
-    one by one, and remembered. Of plain words (printable ASCII and the letters of Latin-1, which NFC leaves alone) the
-    library's model gets the lower-cased parts directly, and these are remembered too; all others take its whole way."""
+    """The library's ids of texts. This tokenizer drops white space and never joins what it parts, so pieces of a text are
+    encoded one by one, and remembered. Plain texts (printable ASCII, ASCII white space and the letters of Latin-1, which
+    NFC leaves alone; no contractions and special tokens) are lower-cased and parted here into letters, single digits and
+    others, and the library's model gets the parts; of other texts the library gets the words."""
 
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")  # of lower-cased plain words
+    PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+    CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: list[dict[bytes, bytes]] = [{}, {}]
+        self.known: list[dict[bytes, bytes]] = [{}, {}]
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         steps = json.loads(self.tokenizer.to_str())
@@ -163,41 +166,44 @@ class WordTokenizer:
         if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or steps["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": pattern}:
             raise ValueError("this way of parting words doesn't fit the tokenizer")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in steps["added_tokens"]) or "(?!)")
+        if any("<" not in t["content"] for t in steps["added_tokens"]):
+            raise ValueError("special tokens are expected to have a <")
 
-    def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(part) <= CACHED_LENGTH:
-                if len(self.parts) > CACHED_WORDS:
-                    self.parts.clear()
-                self.parts[part] = found
-        return found
+    def part(self, part: bytes) -> bytes:
+        shown = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
     def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.PLAIN.fullmatch(text) and not self.special.search(text):
-            return b"".join([self.part(x) for x in self.PARTS.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Ids packed as little-endian unsigned 32-bit integers."""
-        words, known = text.encode().split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            out = []
-            for w in words:
-                ids = known.get(w)
-                if ids is None:
-                    ids = self.word(w)
-                    if len(w) <= CACHED_LENGTH:
-                        known[w] = ids
-                out.append(ids)
-            return b"".join(out)
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, texts: list[bytes], memory: list[dict], encode, kinds: np.ndarray, single: int | None) -> list[bytes]:
+        distinct, which, bounds = words.distinct(texts, kinds, single)
+        if len(memory[0]) > CACHED_WORDS:  # what comes again returns from the older half
+            memory[:] = [{}, memory[0]]
+        known, older = memory
+        found = list(map(known.get, distinct))
+        for i, ids in enumerate(found):
+            if ids is None:
+                w = distinct[i]
+                ids = found[i] = older.get(w) or encode(w)
+                if len(w) <= CACHED_LENGTH:
+                    known[w] = ids
+        ids, at = words.gathered(found, which, "<u4")
+        cuts = at[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts, packed as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            low = t.lower()
+            fits = self.PLAIN.fullmatch(t) and not ("'" in t and self.CONTRACTION.search(low)) and not ("<" in t and self.special.search(t))
+            (plain if fits else rest).append((i, low if fits else t))
+        for group, *how in ((plain, self.parts, self.part, PARTS, 2), (rest, self.known, self.word, WORDS, None)):
+            for (i, _), ids in zip(group, self.ids([t.encode() for _, t in group], *how) if group else (), strict=True):
+                out[i] = ids
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -221,14 +227,11 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "t
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t, end, seq = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            out, held, start = [], 0, 0
-            for i, text in enumerate(batch.column(2)):
-                out.append(t(text.as_py() or "") + end)
-                held += len(out[-1])
-                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    n = len(out)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.arange(seq, seq + n)), batch.column(1).slice(start, n), pa.array(out, pa.binary())], schema.names)
-                    out, held, start, seq = [], 0, start + n, seq + n
+            for start, part in words.batches([x or "" for x in batch.column(2).to_pylist()]):
+                n = len(part)
+                out = pa.array([ids + end for ids in t(part)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.arange(seq, seq + n)), batch.column(1).slice(start, n), out], schema.names)
+                seq += n
 
     return placed.mapInArrow(run, schema)
 
@@ -242,10 +245,7 @@ def frequencies(ids: DataFrame, n_ids: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=n_ids) if len(x.as_py()) > n_ids else 0
-                if len(x.as_py()) <= n_ids:
-                    np.add.at(total, np.frombuffer(x.as_py(), "<u4"), 1)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=n_ids)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
