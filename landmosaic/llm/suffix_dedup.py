@@ -90,7 +90,8 @@ def anchors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(SIDE, np.uint64)
     most = ~_least(~np.concatenate([pad, least, pad]), SIDE + 1)  # largest of the minima of the strings around a place
     at = np.flatnonzero(h == most)
-    return at, h[at]
+    mixed = h[at] * MIX  # anchors have small hashes; mixed ones fall into all buckets alike
+    return at, mixed ^ (mixed >> np.uint64(29))
 
 
 def keys_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +145,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tupl
     """Rows of each bucket of a partition that is sorted by bucket (first column)."""
     now, held = None, [[] for _ in range(columns)]
     for batch in batches:
-        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(columns + 1)), strict=True):
+        for j in range(batch.num_rows):
+            bucket, *row = (batch.column(i)[j].as_py() for i in range(columns + 1))
             if bucket != now:
                 if held[0]:
                     yield now, held
@@ -235,6 +237,14 @@ class Contexts:
             self.places.append((start, np.array(which, np.int64)))
         self.order = np.argsort(np.array(self.bucket, np.int64), kind="stable")
 
+    def packed_places(self) -> bytes:
+        runs = [(b, len(w)) for b, w in self.by_bucket()]
+        head = np.array([len(self.bytes), len(self.places), sum(len(w) for _, w in self.places), len(runs)], "<i8")
+        return packed(
+            head, np.array([len(b) for b in self.bytes], np.uint8), self.order.astype("<u4"), np.array(runs, "<i8"), np.array([len(w) for _, w in self.places], "<i8"),
+            *[s.astype("<u4") for s, _ in self.places], *[w.astype("<u4") for _, w in self.places],
+        )
+
     def by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
         bucket = np.array(self.bucket, np.int64)[self.order]
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
@@ -242,6 +252,34 @@ class Contexts:
             yield int(bucket[a]), self.order[a:b]
 
 
+class Places:
+    """What packed_places() holds: lengths of contexts, their order by bucket, and the places of each text."""
+
+    def __init__(self, blob: bytes):
+        data = unpacked(blob)
+        n, n_texts, n_places, n_runs = np.frombuffer(data, "<i8", 4).tolist()
+        at = 32
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, kind, count, at)
+            at += out.nbytes
+            return out
+
+        self.strings = take("u1", n).astype(np.int64) - LENGTH + 1
+        self.order = take("<u4", n).astype(np.int64)
+        self.runs = take("<i8", 2 * n_runs).reshape(-1, 2)
+        cuts = np.append(0, np.cumsum(take("<i8", n_texts))).tolist()
+        start, which = take("<u4", n_places).astype(np.int64), take("<u4", n_places).astype(np.int64)
+        self.texts = [(start[a:b], which[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
+        at = 0
+        for bucket, n in self.runs.tolist():
+            yield bucket, self.order[at : at + n]
+            at += n
+
+
 def suffix_groups(texts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, offset and group of all LENGTH-byte strings of a collection (rows of texts, flush right), equal strings in
     one group, in the order of the suffixes that they begin.
@@ -345,17 +383,23 @@ def first_documents(data: bytes, left: np.ndarray, length: np.ndarray, doc: np.n
 
 
 def verdicts(held: DataFrame, bits: int) -> DataFrame:
-    """seg, bucket, firsts: for the contexts that a segment sends to a bucket, in turn, each string's first document."""
+    """seg, bucket, firsts: for the contexts that a segment sends to a bucket, in turn, each string's first document; and,
+    under the bucket -1, the places of the segment's contexts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 seg, c = batch.column(0)[i].as_py(), Contexts(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), bits)
                 rows = [(b, packed(np.array([len(w)], "<i8"), np.array([c.doc[k] for k in w], "<i8"), np.array([c.left[k] for k in w], np.uint8), np.array([len(c.bytes[k]) for k in w], np.uint8), b"".join([c.bytes[k] for k in w]))) for b, w in c.by_bucket()]
+                if rows:  # the places only pass through, each segment's to another task
+                    rows.append((-1 - seg, c.packed_places()))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([seg] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "seg", "contexts"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (segs, blobs) in _by_bucket(batches, 2):
+            if bucket < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array([-1] * len(segs), pa.int64()), pa.array(blobs, pa.binary())], ["seg", "bucket", "firsts"])
+                continue
             docs, lefts, lengths, texts = [], [], [], []
             for blob in map(unpacked, blobs):
                 n = int(np.frombuffer(blob, "<i8", 1)[0])
@@ -396,29 +440,37 @@ def cut(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Data
     found = gathered(saved(repeated_anchors(segs, bits), "anchors"), "found")
     held = segs.join(found, "seg", "left").select("seg", "docs", "found")
     firsts = gathered(saved(verdicts(held, bits), "firsts"), "firsts")
-    held = held.join(firsts, "seg", "left").select("docs", "found", "firsts")
+    held = segs.join(firsts, "seg", "left").select("docs", "firsts")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                c = Contexts(*(batch.column(k)[i].as_py() for k in range(2)), bits)
-                given = {f["bucket"]: f["firsts"] for f in batch.column(2)[i].as_py() or ()}
-                strings = np.array([len(b) - LENGTH + 1 for b in c.bytes], np.int64)
-                base = np.cumsum(strings) - strings
-                firsts = np.zeros(int(strings.sum()), np.int64)
-                for bucket, which in c.by_bucket():
-                    x, m = np.frombuffer(unpacked(given[bucket]), "<i8"), strings[which]
-                    firsts[np.repeat(base[which], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)] = x
+                ids, texts = unpack_segment(batch.column(0)[i].as_py())
+                given = {f["bucket"]: f["firsts"] for f in batch.column(1)[i].as_py() or ()}
+                c = Places(given[-1]) if given else None
+                if c:
+                    strings = c.strings
+                    base = np.cumsum(strings) - strings
+                    firsts = np.zeros(int(strings.sum()), np.int64)
+                    for bucket, which in c.by_bucket():
+                        x, m = np.frombuffer(unpacked(given[bucket]), "<i8"), strings[which]
+                        firsts[np.repeat(base[which], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)] = x
                 rows = []
-                for doc, t, (start, which) in zip(c.ids.tolist(), c.texts, c.places, strict=True):
+                none = np.empty(0, np.int64)
+                for doc, t, (start, which) in zip(ids.tolist(), texts, c.texts if c else [(none, none)] * len(texts), strict=True):
+                    if not len(which):
+                        rows.append((None if doc == NULL else doc, len(t), t.tobytes(), b""))
+                        continue
                     m = strings[which]
                     step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                     begin = (np.repeat(start, m) + step)[firsts[np.repeat(base[which], m) + step] < doc]
-                    change = np.bincount(np.unique(begin), minlength=len(t) + 1)[: len(t) + 1]
-                    gone = (np.cumsum(change - np.concatenate([np.zeros(LENGTH, np.int64), change])[: len(t) + 1])[:-1] > 0) if len(begin) else np.zeros(len(t), bool)
+                    change = np.zeros(len(t) + 1, np.int8)
+                    change[begin] = 1
+                    heads = np.cumsum(change, dtype=np.int32)
+                    gone = (heads - np.concatenate([np.zeros(LENGTH, np.int32), heads])[: len(t) + 1])[:-1] > 0  # a string began within the last LENGTH bytes
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    rows.append((None if doc == NULL else doc, len(t), t[~gone].tobytes() if len(begin) else t.tobytes(), edges.astype("<i8").tobytes()))
+                    rows.append((None if doc == NULL else doc, len(t), t[~gone].tobytes(), edges.astype("<i8").tobytes()))
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], schema.names)
 
