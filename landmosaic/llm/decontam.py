@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from . import words
 from .common import saved
 
-WORD = re.compile(r"\w+")
+LETTERS = words.byte_kinds(lambda b: b >= 128 or chr(b).isalnum() or b == 95)
 BUCKETS = 1 << 18  # of words, for document frequencies
 PASSAGE, OVERLAP = 160, 80  # words
 MIN_WORDS = 5
@@ -40,14 +41,22 @@ COSINE, SHARE, LCS, PARAPHRASE = 0.45, 0.42, 0.8, 0.6
 LADDER = [6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 94, 118, 148, 185]
 BLOCK_WORDS = 100_000
 CACHED_WORDS = 1 << 19
+SCAN_BYTES = 1 << 20
 
 
-def bucket(word: str) -> int:
+def bucket(word: bytes | str) -> int:
     return xxh64_intdigest(word) & (BUCKETS - 1)
 
 
+def parted(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, each text's words by number, and where each text's begin: lower-cased runs of ASCII letters, digits
+    and underscores and of all other characters beyond ASCII."""
+    return words.distinct([t.lower().encode() for t in texts], LETTERS)
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    distinct, which, _ = parted([text])
+    return [distinct[i].decode() for i in which]
 
 
 def window_for(n: int) -> int:
@@ -58,23 +67,30 @@ def window_for(n: int) -> int:
 # ---------------------------------------------------------------- statistics
 
 
+def buckets(distinct: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    found = list(map(known.get, distinct))
+    if None in found:
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        for i, b in enumerate(found):
+            if b is None:
+                known[distinct[i]] = found[i] = bucket(distinct[i])
+    return np.array(found, np.int64)
+
+
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
     """Number of documents, and in how many of them each bucket has a word; added up in tasks, then by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, known = np.zeros(BUCKETS, np.int64), 0, {}
         for batch in batches:
-            for text in batch.column(0):
-                n += 1
-                seen = set(words_of(text.as_py() or ""))
-                try:
-                    found = {known[w] for w in seen}
-                except KeyError:
-                    if len(known) > CACHED_WORDS:
-                        known.clear()
-                    known.update((w, bucket(w)) for w in seen if w not in known)
-                    found = {known[w] for w in seen}
-                total[list(found)] += 1
+            for _, texts in words.batches([t or "" for t in batch.column(0).to_pylist()]):
+                n += len(texts)
+                distinct, which, bounds = parted(texts)
+                code = buckets(distinct, known)[which]
+                pairs = np.sort(np.repeat(np.arange(len(texts)), np.diff(bounds)) * BUCKETS + code)
+                pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+                total += np.bincount(pairs & (BUCKETS - 1), minlength=BUCKETS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["bucket", "n"])
 
@@ -106,12 +122,12 @@ def passages(items: DataFrame, text_col: str = "text", id_col: str = "item_id")
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text or "")
+                said = words_of(text or "")
                 sentences = [s for s in (words_of(x) for x in re.split(r"[.!?\n]+", text or "")) if s]
-                for start in range(0, max(1, len(words) - OVERLAP), OVERLAP):
-                    part = words[start : start + PASSAGE]
+                for start in range(0, max(1, len(said) - OVERLAP), OVERLAP):
+                    part = said[start : start + PASSAGE]
                     if len(part) >= MIN_WORDS:
-                        last = start + PASSAGE >= len(words)
+                        last = start + PASSAGE >= len(said)
                         rows.append((item, start, part, sentences[-1] if last and MIN_WORDS <= len(sentences[-1]) < len(part) else []))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, [batch.column(0).type, pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())], strict=True)], schema.names)
 
@@ -121,10 +137,10 @@ def passages(items: DataFrame, text_col: str = "text", id_col: str = "item_id")
 def term_weights(found: DataFrame, n_docs: int, df: np.ndarray) -> DataFrame:
     """row, term, weight: the TF-IDF matrix of passages, rows of length 1."""
 
-    def idf(words: pd.Series) -> pd.Series:
-        return words.map(lambda x: float(np.log((2 + n_docs) / (1 + df[bucket(x)]))))
+    def idf(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda x: float(np.log((2 + n_docs) / (1 + df[bucket(x)]))))
 
-    idf.__annotations__ = {"words": pd.Series, "return": pd.Series}
+    idf.__annotations__ = {"terms": pd.Series, "return": pd.Series}
     cells = found.select(F.xxhash64("item", "passage").alias("row"), F.explode("words").alias("term")).groupBy("row", "term").agg(F.count("*").alias("tf"))
     weight = F.pandas_udf(idf, "double")
     cells = cells.withColumn("idf", weight("term")).withColumn("w", F.col("tf") * F.col("idf"))
@@ -222,16 +238,16 @@ def blocks(items: DataFrame, n_docs: int, df: np.ndarray, text_col: str = "text"
         terms = {t: j for j, t in enumerate(rows["term"].to_pylist())}
         latent = (_matrix(rows["vector"], RANK) * rows["idf"].to_numpy()[:, None]).astype(np.float32)
         whole = sorted(((r["item"], r["words"], r["answer"]) for r in part.toArrow().to_pylist()), key=repr)
-        v = np.array([latent[[terms[w] for w in words]].sum(axis=0) for _, words, _ in whole])
-        yield Block(terms, latent, whole, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))
+        v = np.array([latent[[terms[w] for w in said]].sum(axis=0) for _, said, _ in whole])
+        yield Block(terms, latent, whole, (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32))
 
 
 # ---------------------------------------------------------------- search
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, with a row of bits for each word of b."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     row = full = (1 << len(a)) - 1
@@ -241,41 +257,36 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def contains(words: list[str], part: list[str]) -> bool:
-    return f" {' '.join(part)} " in f" {' '.join(words)} "
+def contains(said: list[str], part: list[str]) -> bool:
+    return f" {' '.join(part)} " in f" {' '.join(said)} "
 
 
 class Scanner:
     def __init__(self, block: Block, n_docs: int, df: np.ndarray):
-        self.block, self.known = block, dict(block.terms)
+        self.block, self.known = block, {}
+        self.terms = {t.encode(): i for t, i in block.terms.items()}
         self.n = len(block.terms)
         idf = np.log((2 + n_docs) / (1 + df))
         self.idf = np.concatenate([idf[[bucket(t) for t in block.terms]], idf])
         self.latent = block.latent
         self.sizes: dict[int, np.ndarray] = {}
-        for i, (_, words, _) in enumerate(block.passages):
-            self.sizes.setdefault(window_for(len(words)), []).append(i)
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], np.int64)
-        except KeyError:
-            if len(known) > CACHED_WORDS + self.n:
-                self.known = known = dict(self.block.terms)
-            known.update((w, self.n + bucket(w)) for w in words if w not in known)
-            return np.array([known[w] for w in words], np.int64)
+        for i, (_, said, _) in enumerate(block.passages):
+            self.sizes.setdefault(window_for(len(said)), []).append(i)
 
     def leaks(self, texts: list[str]) -> Iterator[tuple[int, object, float, float, bool]]:
         """Number of the text, item, common share, cosine and answer of the best match of each item that leaks into a text."""
-        words: list[str] = []
-        bounds = [0]
-        for text in texts:
-            words += words_of(text)
-            bounds.append(len(words))
-        if not words:
+        distinct, which, bounds = parted(texts)
+        if not len(which):
             return
-        codes, bounds = self.codes(words), np.array(bounds)
+        terms = self.terms
+        codes = buckets(distinct, self.known) + self.n
+        at_hand: dict[str, int] = {}
+        for i, t in enumerate(map(terms.get, distinct)):
+            if t is not None:
+                codes[i] = t
+                at_hand[distinct[i].decode()] = i
+        codes = codes[which]
+        spelled = lambda a, b: [distinct[i].decode() for i in which[a:b].tolist()]
         first, lengths = bounds[:-1], np.diff(bounds)
         weight, ours = self.idf[codes], codes < self.n
         all_, mine = (np.concatenate([[0], np.cumsum(x)]) for x in (weight, weight * ours))
@@ -291,40 +302,36 @@ class Scanner:
                 found.append((ids, step, doc[good], starts[good], ends[good]))
         if not found:
             return
-        inside = np.zeros(len(words) + 1, np.int64)
+        inside = np.zeros(len(which) + 1, np.int64)
         for _, _, _, starts, ends in found:
             np.add.at(inside, starts, 1)
             np.add.at(inside, ends, -1)
         at = np.flatnonzero((np.cumsum(inside)[:-1] > 0) & ours)
         run = np.vstack([np.zeros((1, self.latent.shape[1])), np.cumsum(self.latent[codes[at]], axis=0, dtype=np.float64)])
         best: dict[tuple, tuple] = {}
+        numbers: dict[int, list[int]] = {}  # of a passage's words in these texts
         for ids, step, doc, starts, ends in found:
-            v = run[np.searchsorted(at, ends)] - run[np.searchsorted(at, starts)]
+            v = (run[np.searchsorted(at, ends)] - run[np.searchsorted(at, starts)]).astype(np.float32)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
             cosines = v @ self.block.vectors[ids].T
             for g, p in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE)), strict=True):
                 item, passage, answer = self.block.passages[ids[p]]
                 d = int(doc[g])
-                near = words[max(bounds[d], starts[g] - step) : min(bounds[d + 1], ends[g] + step)]
+                here = numbers.get(ids[p])
+                if here is None:
+                    here = numbers[ids[p]] = [at_hand.get(w, -1) for w in passage]
+                a, b = max(bounds[d], starts[g] - step), min(bounds[d + 1], ends[g] + step)
+                near = which[a:b].tolist()
                 there = set(near)
-                if sum([w in there for w in passage]) < PARAPHRASE * len(passage):  # a subsequence can't be longer
+                if sum([w in there for w in here]) < PARAPHRASE * len(here):  # a subsequence can't be longer
                     continue
-                share = common_subsequence(passage, near) / len(passage)
-                answered = bool(answer) and share >= PARAPHRASE and contains(near, answer)
+                share = common_subsequence(here, near) / len(here)
+                answered = bool(answer) and share >= PARAPHRASE and contains(spelled(a, b), answer)
                 if (share >= LCS or answered) and ((d, item) not in best or share > best[d, item][0]):
                     best[d, item] = (share, float(min(1.0, cosines[g, p])), answered)
         yield from ((*key, *x) for key, x in sorted(best.items(), key=lambda x: (x[0][0], repr(x[0][1]))))
 
 
-def by_size(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most or i + 1 == len(texts):
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
-
-
 def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
     """id, item, common (share of the passage's words), cosine, answered: each item that leaks into a document."""
     n_docs, df = document_frequencies(docs, text_col)
@@ -337,7 +344,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
             scanner = Scanner(*shared.value)
             for batch in batches:
                 keys, found = [], []
-                for start, part in by_size([t.as_py() or "" for t in batch.column(1)]):
+                for start, part in words.batches([t or "" for t in batch.column(1).to_pylist()], SCAN_BYTES):
                     for i, *x in scanner.leaks(part):
                         keys.append(start + i)
                         found.append(x)
