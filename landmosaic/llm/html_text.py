@@ -1,7 +1,7 @@
 """Main text of HTML pages by a tree-structured graphical model.
 
 A page becomes a tree of elements. Each element is content or not: a unary potential comes from what the element is
-(its tag, words of its class and id, its share of link text, its length), a pairwise potential from the states of parent
+(its tag, words of its class and id, its share of link text), a pairwise potential from the states of parent
 and child and the child's kind of tag. Sum-product messages run from the leaves to the root and back, which gives the
 exact marginal of every element; blocks whose innermost element is content with a marginal over one half are the text.
 
