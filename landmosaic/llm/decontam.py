@@ -40,7 +40,7 @@ RANK, SPARE, POWERS = 64, 16, 2
 COSINE, SHARE, LCS, PARAPHRASE = 0.45, 0.42, 0.8, 0.6
 LADDER = [6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 94, 118, 148, 185]
 BLOCK_WORDS = 100_000
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 18
 SCAN_BYTES = 1 << 20
 
 
@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, known = np.zeros(BUCKETS, np.int64), 0, {}
         for batch in batches:
-            for _, texts in words.batches([t or "" for t in batch.column(0).to_pylist()]):
+            for _, texts in words.batches((t.as_py() or "" for t in batch.column(0)), SCAN_BYTES):
                 n += len(texts)
                 distinct, which, bounds = parted(texts)
                 code = buckets(distinct, known)[which]
@@ -344,7 +344,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
             scanner = Scanner(*shared.value)
             for batch in batches:
                 keys, found = [], []
-                for start, part in words.batches([t or "" for t in batch.column(1).to_pylist()], SCAN_BYTES):
+                for start, part in words.batches((t.as_py() or "" for t in batch.column(1)), SCAN_BYTES):
                     for i, *x in scanner.leaks(part):
                         keys.append(start + i)
                         found.append(x)

@@ -13,7 +13,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,13 +68,17 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seen // DIMS, seen % DIMS, counts[seen]
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    start = size = 0
-    for i, t in enumerate(texts):
+def chunks(texts: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
+    """Lists of some texts, with the number of the first; only one list is held at a time."""
+    start, size, part = 0, 0, []
+    for t in texts:
+        part.append(t)
         size += len(t)
-        if size >= CHUNK_CHARS or i + 1 - start == CHUNK_DOCS or i + 1 == len(texts):
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
+        if size >= CHUNK_CHARS or len(part) == CHUNK_DOCS:
+            yield start, part
+            start, size, part = start + len(part), 0, []
+    if part:
+        yield start, part
 
 
 def weighted(doc: np.ndarray, feature: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
@@ -153,9 +157,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(0)]
-            n += len(texts)
-            for _, part in chunks(texts):
+            n += batch.num_rows
+            for _, part in chunks(t.as_py() for t in batch.column(0)):
                 total += np.bincount(features(part)[1], minlength=DIMS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS)), pa.array(np.append(n, total))], ["feature", "n"])
 
@@ -173,8 +176,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            for start, part in chunks(texts):
+            for start, part in chunks(t.as_py() for t in batch.column(1)):
                 doc, feature, count = features(part)
                 v, at = weighted(doc, feature, count, idf, len(part)), np.searchsorted(doc, np.arange(len(part) + 1))
                 pack = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())  # noqa: B023, E731
@@ -195,8 +197,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            for start, part in chunks(texts):
+            for start, part in chunks(t.as_py() or "" for t in batch.column(1)):
                 lang, score = model.predict(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(lang, pa.string()), pa.array(score)], schema.names)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-CACHED_RUNS, CACHED_LENGTH = 1 << 19, 64
+CACHED_RUNS, CACHED_LENGTH = 1 << 18, 64
 BATCH_BYTES = 4 << 20
 
 

@@ -227,7 +227,7 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "t
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t, end, seq = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            for start, part in words.batches([x or "" for x in batch.column(2).to_pylist()]):
+            for start, part in words.batches(x.as_py() or "" for x in batch.column(2)):
                 n = len(part)
                 out = pa.array([ids + end for ids in t(part)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(np.arange(seq, seq + n)), batch.column(1).slice(start, n), out], schema.names)

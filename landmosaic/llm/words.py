@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -54,13 +54,17 @@ def distinct(texts: list[bytes], kinds: np.ndarray, single: int | None = None) -
     return words, which, bounds
 
 
-def batches(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    start = size = 0
-    for i, t in enumerate(texts):
+def batches(texts: Iterable, most: int = BATCH_BYTES) -> Iterator[tuple[int, list]]:
+    """Lists of some texts, with the number of the first; only one list is held at a time."""
+    start, size, part = 0, 0, []
+    for t in texts:
+        part.append(t)
         size += len(t)
-        if size >= most or i + 1 == len(texts):
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
+        if size >= most:
+            yield start, part
+            start, size, part = start + len(part), 0, []
+    if part:
+        yield start, part
 
 
 def gathered(parts: list[bytes], which: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
