@@ -42,7 +42,7 @@ NULL = -(1 << 63)
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(a if isinstance(a, bytes) else a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a if isinstance(a, bytes) else a.tobytes() for a in arrays))
 
 
 def unpacked(data: bytes) -> bytes:
@@ -292,7 +292,7 @@ def suffix_groups(texts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, n
     used, codes = np.unique(texts, return_inverse=True)
     codes = (codes.reshape(n, width) + 1).astype(np.uint8 if len(used) < 255 else np.uint16)  # 0: before a text's start
     k = len(used) + 2
-    inside = np.arange(BLOCK)
+    inside = np.arange(BLOCK, dtype=np.uint8)
     bwt = codes[:, -1].copy()
     at = np.arange(n)  # of each text's last inserted suffix
     active = np.arange(n)
@@ -308,11 +308,13 @@ def suffix_groups(texts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, n
         return rows, np.cumsum(counts, axis=0) - counts, n + np.cumsum(total) - total
 
     def moved(places: np.ndarray, symbols: np.ndarray, rows: np.ndarray, before: np.ndarray, base: np.ndarray) -> np.ndarray:
-        block, rest = places // BLOCK, places % BLOCK
+        block, rest = places // BLOCK, (places % BLOCK).astype(np.uint8)
         out = base[symbols] + before[block, symbols]
-        for s in range(0, len(places), 1 << 16):
-            e = slice(s, s + (1 << 16))
-            out[e] += ((rows[block[e]] == symbols[e, None]) & (inside < rest[e, None])).sum(axis=1)
+        for s in range(0, len(places), 1 << 12):  # what is looked at stays in the cache
+            e = slice(s, s + (1 << 12))
+            hit = (rows[block[e]] == symbols[e, None]) & (inside < rest[e, None])
+            eights = hit.view(np.uint64).sum(axis=1)  # eight counts of one byte each, together less than BLOCK
+            out[e] += ((eights * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
         return out
 
     for round_ in range(1, width + 1):
