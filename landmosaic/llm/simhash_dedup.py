@@ -199,10 +199,3 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     found = components(link(nodes, radius, parts))
     named = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return attach(rows, "fp", id_col, named).select(id_col, "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one document of each group of near copies, the one with the smallest id; all columns as they were.
-    Texts without words are no copies of one another's content, but are equal, so one of them stays."""
-    stays = near_groups(docs, text_col, id_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stays"))
-    return docs.join(stays, F.col(id_col) == F.col("_stays"), "left_semi")

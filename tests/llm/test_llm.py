@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landmosaic.llm import chat_format, common, components, decontam, exact_dedup, html_text, lang_id, piece_codec, simhash_dedup, suffix_dedup, token_files, warc, words
+from landmosaic.llm import chat_format, common, components, decontam, exact_dedup, html_text, lang_id, near_copies, piece_codec, simhash_dedup, suffix_dedup, token_files, warc, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -353,3 +353,33 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
         out = stage(spark, same, "")
         assert out.columns == same.columns, name
     assert {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, same, "").collect()} == {i for i, t in TEXTS if i == max(j for j, u in TEXTS if lowered(u) == lowered(t))}
+
+
+def test_near_dedup_finds_all_similar_pairs(spark):
+    """The stage drops what brute force over 5-word shingles drops, of pairs around 0.8, in chains and around hubs."""
+    import corpus_pipeline
+
+    r, texts = random.Random(9), []
+    for i in range(30):
+        w = prose(r.randrange(30, 200), 900 + i).split()
+        texts.append(" ".join(w))
+        for _ in range(r.randrange(8)):
+            v = list(w)
+            for _ in range(r.randrange(1, 1 + len(w) // 30)):
+                v[r.randrange(len(v))] = "changed"
+            texts.append(" ".join(v) + " one line that very many of the documents have")
+            w = v if r.random() < 0.5 else w
+    texts += ["", None, " ", "A b", "a  B", "c"]
+    r.shuffle(texts)
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    group, pairs = list(range(len(texts))), 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                pairs += 1
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert pairs > 50 and got == {i for i, g in enumerate(group) if g == i}
+    assert corpus_pipeline.near_dedup(spark, df.where("false"), "").count() == 0
