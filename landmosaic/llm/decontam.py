@@ -5,10 +5,11 @@ gets a distributed randomised SVD (its rows and terms stay in Spark tables, only
 which gives every term a latent vector. The latent space is that of the benchmark's passages and not of the corpus: a
 low-rank space of the corpus keeps its common words, while retrieval depends on the passages' rare ones. Documents are
 scanned in windows, of the lengths that passages need, at every eighth of a length, over the whole text. A window is a
-candidate for a passage if the latent cosine is at least COSINE; windows in which words that the benchmark knows hold
-less than SHARE of the IDF weight are passed over. A candidate is a leak if the longest common subsequence of words
-covers at least LCS of the passage, or at least PARAPHRASE of it while the passage's answer (its last sentence, of
-MIN_WORDS words at least) stands there word for word.
+candidate for a passage if it holds, with a step on both sides, at least PARAPHRASE as many of the passage's words as the
+passage has, which any match needs. Weights and the latent cosine are no gate, since they come from the corpus: a passage
+that leaked into many documents has light words, and the words around it outweigh them. A candidate is a leak if the longest
+common subsequence of words covers at least LCS of the passage, or at least PARAPHRASE of it while the passage's answer (its
+last sentence, of MIN_WORDS words at least) stands there word for word. The cosine is given for each leak.
 
 The benchmark is looked for in blocks of a bounded number of words, so that what is broadcast is bounded. Passages of
 fewer than MIN_WORDS words can't be told from chance and are not looked for. Null texts and texts without words match
@@ -37,7 +38,7 @@ BUCKETS = 1 << 18  # of words, for document frequencies
 PASSAGE, OVERLAP = 160, 80  # words
 MIN_WORDS = 5
 RANK, SPARE, POWERS = 64, 16, 2
-COSINE, SHARE, LCS, PARAPHRASE = 0.45, 0.42, 0.8, 0.6
+LCS, PARAPHRASE = 0.8, 0.6
 LADDER = [6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 94, 118, 148, 185]
 BLOCK_WORDS = 100_000
 CACHED_WORDS = 1 << 18
@@ -262,13 +263,13 @@ def contains(said: list[str], part: list[str]) -> bool:
 
 
 class Scanner:
-    def __init__(self, block: Block, n_docs: int, df: np.ndarray):
-        self.block, self.known = block, {}
+    def __init__(self, block: Block):
+        self.block = block
         self.terms = {t.encode(): i for t, i in block.terms.items()}
         self.n = len(block.terms)
-        idf = np.log((2 + n_docs) / (1 + df))
-        self.idf = np.concatenate([idf[[bucket(t) for t in block.terms]], idf])
         self.latent = block.latent
+        self.numbers = [np.array([block.terms[w] for w in said]) for _, said, _ in block.passages]
+        self.has = np.zeros(self.n, np.uint64)  # which of the eight passages at hand have a word, a byte for each; a window has under 256 words
         self.sizes: dict[int, np.ndarray] = {}
         for i, (_, said, _) in enumerate(block.passages):
             self.sizes.setdefault(window_for(len(said)), []).append(i)
@@ -279,7 +280,7 @@ class Scanner:
         if not len(which):
             return
         terms = self.terms
-        codes = buckets(distinct, self.known) + self.n
+        codes = np.full(len(distinct), self.n)
         at_hand: dict[str, int] = {}
         for i, t in enumerate(map(terms.get, distinct)):
             if t is not None:
@@ -288,47 +289,44 @@ class Scanner:
         codes = codes[which]
         spelled = lambda a, b: [distinct[i].decode() for i in which[a:b].tolist()]
         first, lengths = bounds[:-1], np.diff(bounds)
-        weight, ours = self.idf[codes], codes < self.n
-        all_, mine = (np.concatenate([[0], np.cumsum(x)]) for x in (weight, weight * ours))
-        found = []
+        ours = codes < self.n
+        mine, said = np.concatenate([[0], np.cumsum(ours)]), codes[ours]  # words that the benchmark knows: before each place, and which
+        best: dict[tuple, tuple] = {}
+        heres: dict[int, list[int]] = {}  # numbers of a passage's words in these texts
         for size, ids in self.sizes.items():
             step = max(1, size // 8)
             n = np.where(lengths >= MIN_WORDS, 1 + np.maximum(0, -(-(lengths - size) // step)), 0)
             doc = np.repeat(np.arange(len(texts)), n)
             starts = first[doc] + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             ends = np.minimum(starts + size, bounds[doc + 1])
-            good = mine[ends] - mine[starts] >= SHARE * (all_[ends] - all_[starts])
-            if good.any():
-                found.append((ids, step, doc[good], starts[good], ends[good]))
-        if not found:
-            return
-        inside = np.zeros(len(which) + 1, np.int64)
-        for _, _, _, starts, ends in found:
-            np.add.at(inside, starts, 1)
-            np.add.at(inside, ends, -1)
-        at = np.flatnonzero((np.cumsum(inside)[:-1] > 0) & ours)
-        run = np.vstack([np.zeros((1, self.latent.shape[1])), np.cumsum(self.latent[codes[at]], axis=0, dtype=np.float64)])
-        best: dict[tuple, tuple] = {}
-        numbers: dict[int, list[int]] = {}  # of a passage's words in these texts
-        for ids, step, doc, starts, ends in found:
-            v = (run[np.searchsorted(at, ends)] - run[np.searchsorted(at, starts)]).astype(np.float32)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            cosines = v @ self.block.vectors[ids].T
-            for g, p in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE)), strict=True):
-                item, passage, answer = self.block.passages[ids[p]]
-                d = int(doc[g])
-                here = numbers.get(ids[p])
-                if here is None:
-                    here = numbers[ids[p]] = [at_hand.get(w, -1) for w in passage]
-                a, b = max(bounds[d], starts[g] - step), min(bounds[d + 1], ends[g] + step)
-                near = which[a:b].tolist()
-                there = set(near)
-                if sum([w in there for w in here]) < PARAPHRASE * len(here):  # a subsequence can't be longer
-                    continue
-                share = common_subsequence(here, near) / len(here)
-                answered = bool(answer) and share >= PARAPHRASE and contains(spelled(a, b), answer)
-                if (share >= LCS or answered) and ((d, item) not in best or share > best[d, item][0]):
-                    best[d, item] = (share, float(min(1.0, cosines[g, p])), answered)
+            lo, hi = np.maximum(first[doc], starts - step), np.minimum(bounds[doc + 1], ends + step)  # where a subsequence is looked for
+            some = np.flatnonzero(mine[hi] - mine[lo] >= PARAPHRASE * min(len(self.block.passages[i][1]) for i in ids))
+            low, high = mine[lo[some]], mine[hi[some]]
+            for eight in [ids[i : i + 8] for i in range(0, len(ids), 8)] if len(some) else ():
+                for lane, p in enumerate(eight):
+                    self.has[self.numbers[p]] |= np.uint64(1 << 8 * lane)
+                count = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.has[said])])  # lanes overflow, but their differences don't
+                count = (count[high] - count[low]).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+                for p in eight:
+                    self.has[self.numbers[p]] = 0
+                least = np.array([PARAPHRASE * len(self.block.passages[p][1]) for p in eight])
+                for g, lane in zip(*(x.tolist() for x in np.nonzero(count[:, : len(eight)] >= least)), strict=True):
+                    p, g = eight[lane], int(some[g])
+                    item, passage, answer = self.block.passages[p]
+                    here = heres.get(p)
+                    if here is None:
+                        here = heres[p] = [at_hand.get(w, -1) for w in passage]
+                    d, a, b = int(doc[g]), int(lo[g]), int(hi[g])
+                    near = which[a:b].tolist()
+                    there = set(near)
+                    if sum([w in there for w in here]) < PARAPHRASE * len(here):  # a subsequence can't be longer
+                        continue
+                    share = common_subsequence(here, near) / len(here)
+                    answered = bool(answer) and share >= PARAPHRASE and contains(spelled(a, b), answer)
+                    if share >= LCS or answered:
+                        v = self.latent[said[mine[starts[g]] : mine[ends[g]]]].sum(axis=0)
+                        cosine = float(np.clip(v @ self.block.vectors[p] / max(np.linalg.norm(v), 1e-12), -1, 1))
+                        best[d, item] = max(best.get((d, item), (0.0,)), (share, cosine, answered))
         yield from ((*key, *x) for key, x in sorted(best.items(), key=lambda x: (x[0][0], repr(x[0][1]))))
 
 
@@ -338,10 +336,10 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
     schema = T.StructType([docs.schema[id_col], T.StructField(item_id_col, items.schema[item_id_col].dataType), T.StructField("common", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("answered", T.BooleanType())])
     out = None
     for block in blocks(items, n_docs, df, item_text_col, item_id_col):
-        shared = docs.sparkSession.sparkContext.broadcast((block, n_docs, df))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(*shared.value)
+            scanner = Scanner(shared.value)
             for batch in batches:
                 keys, found = [], []
                 for start, part in words.batches((t.as_py() or "" for t in batch.column(1)), SCAN_BYTES):

@@ -254,6 +254,17 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontam.drop_leaks(df, bench).collect()} == {2, 3, 7, 8}
 
 
+def test_leaks_of_a_passage_in_most_documents(spark):
+    item, other = "".join(f"common{i} " for i in range(20)), "".join(f"rare{i} " for i in range(20))
+    around = [" ".join(f"{kind}{i}x{j}" for j in range(3)) for i in range(60) for kind in ("before", "after")]
+    texts = [(i, f"{around[2 * i]} {item} {around[2 * i + 1]}" if i % 10 else around[2 * i] * 5) for i in range(60)]
+    texts.append((60, f"rare1 rare3 {item} rare7 rare9"))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
+    assert got == {(i, 1) for i in range(61) if i % 10 or i == 60}
+
+
 def test_svd_spans_the_matrix(spark):
     rng = np.random.default_rng(2)
     a = rng.standard_normal((12, 3)) @ rng.standard_normal((3, 20))
