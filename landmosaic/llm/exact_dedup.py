@@ -6,8 +6,8 @@ by comparing the bytes of all chunks that share it; a document is then the order
 are equal when their lists are. Chunks travel once, for the verification; afterwards only lists of longs do.
 
 Nulls count as empty texts, and all empty texts are equal (their list is empty). Of equal texts the one with the largest
-id stays. An empty table gives an empty result. Rows that share an id and a text count as so many rows. Extra columns are
-ignored.
+id stays; a null id counts as smaller than all others. Rows that share an id and a text count as so many rows and stay or go
+together. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, salted_totals, saved
+from .common import ascii_lower, fresh, salted_totals, saved
 
 MIN, MAX = 1024, 8192
 
@@ -51,10 +51,12 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """One row per document: id, keep_id, group_size, kept, text_sha256, n_chunks."""
     rows = saved(recipes(docs, text_col, id_col), "recipes")
     rows = salted_totals(rows, "recipe", id_col, {"keep_id": ("max", id_col), "group_size": ("count", id_col)})
-    return rows.select(id_col, "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col(id_col) == F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
+    return rows.select(id_col, "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that don't stay; all columns as they were."""
-    stays = exact_groups(docs, text_col, id_col).where("kept").select(F.col(id_col).alias("_stays"))
-    return docs.join(stays, F.col(id_col) == F.col("_stays"), "left_semi")
+    """docs without the rows that don't stay; all columns as they were. Rows are told apart by id (nulls match) and text."""
+    of, sha = fresh(docs, "_stays"), fresh(docs, "_sha256")
+    stays = exact_groups(docs, text_col, id_col).where("kept").select(F.col(id_col).alias(of), F.col("text_sha256").alias(sha))
+    same = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256) == F.col(sha)
+    return docs.join(stays, F.col(id_col).eqNullSafe(F.col(of)) & same, "left_semi")

@@ -12,7 +12,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,13 +25,12 @@ DIMS = 1 << 14
 PER_LANGUAGE = 500
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.5
 CHUNK_DOCS, CHUNK_CHARS = 64, 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
 _shift = np.uint32(32 - 14)
 
 
 def _classes() -> np.ndarray:
-    table = np.full(0x10000, 32, np.uint32)
-    for c in range(0x10000):
+    table = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
         if chr(c).isalpha():
             table[c] = c
     return table
@@ -48,7 +46,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = [np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "replace"), "<u4") for t in texts]
     doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
     c = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-    c = np.where(c < 0x10000, _table[0][np.minimum(c, 0xFFFF)], c)
+    c = _table[0][c]
     keep = (c != 32) | np.append(True, c[:-1] != 32) | np.append(True, doc[1:] != doc[:-1]) if len(c) else np.empty(0, bool)
     c, doc = c[keep].astype(np.uint32), doc[keep]
     bins = []
@@ -108,7 +106,7 @@ class Model:
         p = np.exp(x - x.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        known = [bool(LETTER.search(t)) for t in texts]
+        known = [any(map(str.isalpha, t)) for t in texts]
         return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, p.max(axis=1), 0.0)
 
 
@@ -215,6 +213,16 @@ def identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang",
 
 
 def drop_unknown(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """docs without the rows in no learned language: "und", or with a score under `least`; all columns as they were."""
-    good = identified(docs, text_col, label_col, id_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col(id_col).alias("_good"))
-    return docs.join(good, F.col(id_col) == F.col("_good"), "left_semi")
+    """docs without the rows in no learned language: "und", or with a score under `least`; all columns as they were. Each row
+    is judged by its own text, so ids may be null or repeated; where nothing was learned, no row stays."""
+    model = fit(docs.where(~held_out(id_col)), text_col, label_col, id_col)
+
+    @F.arrow_udf(T.BooleanType())
+    def good(column: pa.Array) -> pa.Array:
+        out = np.zeros(len(column), bool)
+        for start, part in chunks(t.as_py() or "" for t in column):
+            lang, score = model.predict(part)
+            out[start : start + len(part)] = [k != "und" and x >= least for k, x in zip(lang, score.tolist(), strict=True)]
+        return pa.array(out)
+
+    return docs.where(good(F.col(text_col)))

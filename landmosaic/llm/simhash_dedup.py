@@ -5,12 +5,14 @@ most RADIUS bits agree in at least BANDS - RADIUS parts, so they share the bucke
 is a shard with a BK-tree of its own (children keyed by their Hamming distance to the parent); a search follows only the
 edges within the radius of its distance to a node. A tree over the whole corpus has no bounded size, and a search in it
 visits nearly all of it, so shards are sent to tasks by the shuffle and not broadcast. Buckets of over BUCKET
-fingerprints are dealt again, by the parts of their other bits, with the same guarantee. Trees of all the buckets in a
+fingerprints are dealt again, by RADIUS + 1 parts of their other bits, with the same guarantee, until none is left; with LEVELS
+rounds a key has so many bits that a bucket can't hold more. Trees of all the buckets in a
 batch are built and searched together, level by level. From each batch a spanning forest of its links leaves the task:
 no link between components is lost, and large groups don't give all their pairs.
 
 A null text counts as empty. Texts without words have fingerprint zero and are linked like any other. Equal texts have
-equal fingerprints. Repeated ids keep a row each. An empty table gives an empty result. Extra columns are ignored.
+equal fingerprints. Repeated ids keep a row each. A null id is passed over where the smallest of a component is taken; a
+component of null ids only has a null component_id. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .components import components
 
 SHINGLE, SEED, RADIUS, BANDS = 3, 42, 3, 6
 BUCKET = 20_000
+LEVELS = 4  # of dealing hot buckets again
+PART_HASHES = 1 << 16  # of a text, counted together
 PAIRS = 1 << 21  # of query and node, looked at together
 
 
@@ -55,14 +59,22 @@ def fingerprint(h: np.ndarray) -> int:
     n = len(h)
     if not n:
         return 0
+    if n > PART_HASHES:
+        counts = sum(bit_counts(h[i : i + PART_HASHES]) for i in range(0, n, PART_HASHES))
+    else:
+        counts = bit_counts(h)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set, the highest first."""
+    n = len(h)
     bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(n, 64)
     if n > 255:  # eight counters of one byte to a lane, 255 hashes to a sum
         whole = n // 255 * 255
         lanes = np.ascontiguousarray(bits[:whole]).view(np.uint64).reshape(-1, 255, 8).sum(axis=1)
-        counts = lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
-    else:
-        counts = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        return lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
+    return bits.sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = SHINGLE) -> DataFrame:
@@ -141,50 +153,66 @@ def bands(bits: int, parts: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def keyed(nodes: DataFrame, radius: int, parts: int, most: int) -> DataFrame:
-    """choice, key, fp, rep: each fingerprint in each of its buckets."""
+def parted(mask: int, parts: int) -> list[int]:
+    """The mask with each of the parts of the bits that it leaves free."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(free[len(free) * j // parts : len(free) * (j + 1) // parts]) for j in range(parts)]
+
+
+def keyed(nodes: DataFrame, radius: int, parts: int, most: int, levels: int = LEVELS) -> DataFrame:
+    """choice, key, fp: each fingerprint in each of its buckets."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(sum(c)) for c in combinations(bands(64, parts), parts - radius)]
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    rows = nodes.select(F.explode(keys).alias("k"), "fp", "rep").select("k.*", "fp", "rep")
-    hot = saved(rows.groupBy("choice", "key").count().where(F.col("count") > most).select("choice", "key", F.lit(True).alias("hot")), "hot")
-    if hot.isEmpty():
-        return rows
-    # one of radius + 1 parts of the other bits is equal too: with it in the key, buckets are smaller and as whole
-    rest = []
-    for c in combinations(bands(64, parts), parts - radius):
-        free = [1 << i for i in range(64) if not sum(c) >> i & 1]
-        rest.append([signed(sum(c) | sum(free[len(free) * j // (radius + 1) : len(free) * (j + 1) // (radius + 1)])) for j in range(radius + 1)])
-    finer = F.array(*[F.array(*[F.struct(F.lit(len(masks) + i * (radius + 1) + j).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for j, m in enumerate(ms)]) for i, ms in enumerate(rest)])
-    rows = rows.join(hot, ["choice", "key"], "left")
-    again = rows.where("hot").select(F.explode(finer[F.col("choice")]).alias("k"), "fp", "rep").select("k.*", "fp", "rep")
-    return rows.where("hot is null").select("choice", "key", "fp", "rep").union(again)
+    masks = dict(enumerate(sum(c) for c in combinations(bands(64, parts), parts - radius)))
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in masks.items()])
+    rows, out = nodes.select(F.explode(keys).alias("k"), "fp").select("k.*", "fp"), []
+    for _ in range(levels):
+        hot = saved(rows.groupBy("choice", "key").count().where(F.col("count") > most).select("choice", "key", F.lit(True).alias("hot")), "hot")
+        if hot.isEmpty():
+            break
+        split = rows.join(hot, ["choice", "key"], "left")
+        out.append(split.where("hot IS NULL").select("choice", "key", "fp"))
+        # one of radius + 1 parts of the other bits is equal too: with it in the key, buckets are smaller and as whole
+        base = max(masks) + 1  # numbers of choices are never used again
+        finer = {base + k: (i, m) for k, (i, m) in enumerate((i, m) for i, mask in masks.items() for m in parted(mask, radius + 1))}
+        masks = {k: m for k, (_, m) in finer.items()}
+        table = nodes.sparkSession.createDataFrame([(i, k, signed(m)) for k, (i, m) in finer.items()], "choice int, next int, mask long")  # at most 20 * 4**levels rows
+        again = split.where("hot").select("choice", "fp").join(F.broadcast(table), "choice")
+        rows = saved(again.select(F.col("next").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "dealt")
+    for more in out:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def link(nodes: DataFrame, radius: int = RADIUS, parts: int = BANDS, most: int = BUCKET) -> DataFrame:
-    """a, b: links that join all distinct fingerprints (fp, rep of nodes) within the radius, named by their rep."""
-    rows = keyed(nodes, radius, parts, most).repartition("choice", "key").sortWithinPartitions("choice", "key", "rep")
+    """a, b: links that join all distinct fingerprints (fp of nodes) within the radius."""
+    rows = keyed(nodes, radius, parts, most).repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+        held: list[list[np.ndarray]] = []  # pieces of the bucket at hand
 
-        def work(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            choice, key, fp, rep = rows
+        def work(pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            choice, key, fp = (np.concatenate(x) for x in zip(*pieces, strict=True))
             new = np.concatenate([[True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.empty(0, bool)
             alone = new & np.append(new[1:], True) if len(key) else new
-            bucket, fp, rep = np.cumsum(new)[~alone], fp[~alone].view(np.uint64), rep[~alone]
+            bucket, fp = np.cumsum(new)[~alone], fp[~alone]
             if len(fp):
-                to = Forest(fp, bucket).spanning(radius)
+                to = Forest(fp.view(np.uint64), bucket).spanning(radius)
                 moved = np.flatnonzero(to != np.arange(len(to)))
-                yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[to[moved]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[to[moved]])], ["a", "b"])
 
         for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
-            if len(held[0]) and (held[0][0], held[1][0]) != (held[0][-1], held[1][-1]):
-                last = int(np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[-1]) + 1
-                yield from work([h[:last] for h in held])
-                held = [h[last:] for h in held]
-        yield from work(held)
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            first = held[0] if held else now
+            if (first[0][0], first[1][0]) != (now[0][-1], now[1][-1]):  # a bucket has ended
+                last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                yield from work([*held, [x[:cut] for x in now]])
+                held, now = [], [x[cut:] for x in now]
+            held.append(now)
+        if held:
+            yield from work(held)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -193,9 +221,10 @@ def link(nodes: DataFrame, radius: int = RADIUS, parts: int = BANDS, most: int =
 
 
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = SHINGLE, radius: int = RADIUS, parts: int = BANDS) -> DataFrame:
-    """One row per document: id, fp, component_id (the smallest id that links lead to, its own included). Ids are longs."""
+    """One row per document: id, fp, component_id (the smallest id that links lead to, its own included)."""
     rows = saved(fingerprints(docs, text_col, id_col, k), "fps")
-    nodes = saved(rows.groupBy("fp").agg(F.min(id_col).alias("rep")), "nodes")
+    nodes = saved(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     found = components(link(nodes, radius, parts))
-    named = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    rooted = saved(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    named = attach(rooted, "root", "fp", rooted.groupBy("root").agg(F.min("least").alias("component_id"))).select("fp", "component_id")
     return attach(rows, "fp", id_col, named).select(id_col, "fp", "component_id")
