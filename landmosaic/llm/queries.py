@@ -22,8 +22,8 @@ def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    shards, freqs = token_files.encode_corpus(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return token_files.digests(token_files.read(shards, freqs))
+    folder = token_files.encode_corpus(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.digests(token_files.read(spark, folder))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

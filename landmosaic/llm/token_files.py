@@ -1,12 +1,14 @@
 """Token ids in binary files, coded by a static range asymmetric numeral system (rANS).
 
-One table of scaled frequencies, counted over the whole corpus, is shared by all files. Documents are put in ascending id
+One table of scaled frequencies, counted over the whole corpus, is shared by all files and lies beside them, with a checksum of
+its own: a folder can be read with nothing else. Documents are put in ascending id
 order over range partitions; each partition writes shard files of independent blocks. In a block LANES interleaved coders
 take ids in turn, so one vector step codes LANES ids. Every STEPS steps the encoder notes a checkpoint (all coder states
 and the place in the block's words): the parts between checkpoints decode at the same time, as wider vectors. A block
 carries a CRC-32 of its ids, the file one of its index.
 
-Shard layout (little-endian): magic, version, CRC-32 of the frequency table; the blocks; the index (first sequence
+Table layout (little-endian): magic, version, number of ids, their frequencies as unsigned 32-bit integers, CRC-32 of those.
+Shard layout: magic, version, CRC-32 of the frequency table; the blocks; the index (first sequence
 number, then id and number of ids of each document, then offset, number of ids and CRC-32 of each block); length of the
 index, CRC-32 of the index, magic.
 
@@ -25,14 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shared_files, words
 from .common import new_path, saved
 
-MAGIC, VERSION = b"LMTOKENS", 1
+MAGIC, TABLE_MAGIC, VERSION = b"LMTOKENS", b"LMFREQS\0", 1
+TABLE, SUFFIX = "frequencies.table", ".tokens"
+FILES = 1000  # added up together first, where places of files are worked out
 SCALE_BITS = 20
 LANES, STEPS = 1024, 256
 BLOCK_IDS = LANES * STEPS * 2
@@ -255,15 +259,31 @@ def frequencies(ids: DataFrame, n_ids: int) -> np.ndarray:
     return out
 
 
+def write_table(freqs: np.ndarray, folder: str) -> None:
+    data = freqs.astype("<u4").tobytes()
+    with shared_files.new_file(f"{folder}/{TABLE}") as out:
+        out.write(TABLE_MAGIC + struct.pack("<II", VERSION, len(freqs)) + data + struct.pack("<I", zlib.crc32(data)))
+
+
+def read_table(folder: str) -> np.ndarray:
+    with shared_files.opened(f"{folder}/{TABLE}") as f:
+        data = f.read()
+    version, n = struct.unpack_from("<II", data, 8)
+    if data[:8] != TABLE_MAGIC or version != VERSION or len(data) != 20 + 4 * n or zlib.crc32(data[16:-4]) != struct.unpack("<I", data[-4:])[0]:
+        raise ValueError(f"{folder}/{TABLE} is damaged")
+    return np.frombuffer(data, "<u4", n, 16).astype(np.int64)
+
+
 def write(ids: DataFrame, freqs: np.ndarray, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """Writes shard files of rows of tokens(); one row per shard: uri, part, first_seq, n_docs, n_ids."""
+    """Writes shard files of rows of tokens(), and the table; one row per shard: uri, part, first_seq, n_docs, n_ids."""
+    write_table(freqs, folder)
     table_crc = zlib.crc32(freqs.astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         coder, rows = Coder(freqs), []
 
         def shard(part: int, first: int, docs: Iterator[tuple]) -> None:
-            uri = f"{folder}/{part:06d}-{first:012d}.tokens"
+            uri = f"{folder}/{part:06d}-{first:012d}{SUFFIX}"
             keys, lengths, blocks, held, n_held, at, n_ids = [], [], [], [], 0, 20, 0
             with shared_files.new_file(uri) as out:
                 out.write(MAGIC + struct.pack("<II", VERSION, table_crc) + b"\0" * 4)
@@ -315,27 +335,55 @@ def write(ids: DataFrame, freqs: np.ndarray, folder: str, id_col: str = "doc_id"
     return ids.select("part", "seq", F.col(id_col).cast("long").alias(id_col), "ids").mapInArrow(run, "uri string, part int, first_seq long, n_docs long, n_ids long")
 
 
-def read(shards: DataFrame, freqs: np.ndarray, id_col: str = "doc_id") -> DataFrame:
-    """Reads shards (rows of write()) back: id, start, ids (packed as unsigned 32-bit integers), one row per document."""
+def shards_of(spark: SparkSession, folder: str) -> DataFrame:
+    """uri, file (its number in the order of names, which is that of documents) and n_ids of a folder's shards."""
+    found = [(uri, i) for i, (uri, _) in enumerate(shared_files.sizes(folder, SUFFIX))]
+    rows = spark.createDataFrame(found, "uri string, file long").repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism * 4)), "file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for uri in batch.column(0).to_pylist():
+                with shared_files.opened(uri) as f:
+                    index = index_of(f, uri)
+                    _, n, _ = struct.unpack_from("<QQQ", index)
+                    sums.append(int(np.frombuffer(index, "<i8", n, 24 + 9 * n).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], ["uri", "file", "n_ids"])
+
+    return rows.mapInArrow(run, "uri string, file long, n_ids long")
+
+
+def index_of(f, uri: str, table_crc: int | None = None) -> bytes:
+    """A shard's index, checked; with a table's CRC-32 also whether the shard is of that table."""
+    head, size = f.read(20), f.size()
+    f.seek(size - 20)
+    tail = f.read(20)
+    length, crc = struct.unpack_from("<QI", tail)
+    f.seek(size - 20 - length)
+    index = f.read(length)
+    version, table = struct.unpack_from("<II", head, 8)
+    if head[:8] != MAGIC or tail[12:] != MAGIC or version != VERSION or zlib.crc32(index) != crc or table_crc not in (None, table):
+        raise ValueError(f"{uri}: damaged, or of another frequency table")
+    return index
+
+
+def read(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """Reads a folder that write() filled: id, start, ids (packed as unsigned 32-bit integers), one row per document."""
     schema = f"`{id_col}` long, start long, ids binary"
+    freqs = read_table(folder)
     table_crc = zlib.crc32(freqs.astype("<u4").tobytes())
-    before = F.sum("n_ids").over(Window.orderBy("part", "first_seq").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
-    placed = shards.select("uri", F.coalesce(before, F.lit(0)).alias("start"))
+    shards = saved(shards_of(spark, folder).withColumn("pack", F.expr(f"file div {FILES}")), "shards")
+    up_to = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    packs = shards.groupBy("pack").agg(F.sum("n_ids").alias("n_ids"))  # a row for FILES files
+    packs = packs.select("pack", up_to(Window.orderBy("pack")).alias("before"))
+    placed = shards.withColumn("inside", up_to(Window.partitionBy("pack").orderBy("file"))).join(packs, "pack").select("uri", (F.col("before") + F.col("inside")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freqs)
         for batch in batches:
             for uri, start in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 with shared_files.opened(uri) as f:
-                    head = f.read(20)
-                    size = f.size()
-                    f.seek(size - 20)
-                    tail = f.read(20)
-                    length, crc = struct.unpack_from("<QI", tail)
-                    f.seek(size - 20 - length)
-                    index = f.read(length)
-                    if head[:8] != MAGIC or tail[12:] != MAGIC or struct.unpack_from("<II", head, 8) != (VERSION, table_crc) or zlib.crc32(index) != crc:
-                        raise ValueError(f"{uri}: damaged, or of another frequency table")
+                    index = index_of(f, uri, table_crc)
                     _, n, n_blocks = struct.unpack_from("<QQQ", index)
                     keys, nulls = np.frombuffer(index, "<i8", n, 24), np.frombuffer(index, np.uint8, n, 24 + 8 * n)
                     lengths = np.frombuffer(index, "<i8", n, 24 + 9 * n)
@@ -360,17 +408,19 @@ def read(shards: DataFrame, freqs: np.ndarray, id_col: str = "doc_id") -> DataFr
                         start += have
                         held, i = held[have:], j
 
-    return placed.repartition(max(1, shards.count())).mapInArrow(run, schema)
+    return placed.repartition(max(1, shards.count()), "uri").mapInArrow(run, schema)
 
 
-def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, np.ndarray]:
-    """Tokenises and writes all documents; returns the shards and the frequency table that read() needs."""
+def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> str:
+    """Tokenises and writes all documents; returns the folder, which read() takes."""
     spark = docs.sparkSession
     ids = saved(tokens(docs, tokenizer_path, end_id, text_col, id_col), "ids")
     from tokenizers import Tokenizer
 
     freqs = scaled(frequencies(ids, max(end_id + 1, Tokenizer.from_file(tokenizer_path).get_vocab_size())))
-    return saved(write(ids, freqs, new_path(spark, "tokens"), id_col), "shards"), freqs
+    folder = new_path(spark, "tokens")
+    saved(write(ids, freqs, folder, id_col), "written")
+    return folder
 
 
 def digests(read_back: DataFrame, id_col: str = "doc_id") -> DataFrame:

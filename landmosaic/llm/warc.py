@@ -1,8 +1,10 @@
 """WARC archives: a writer that turns repeated payloads into revisit records, and a PySpark data source that reads them.
 
-Files hold one gzip member per record; beside each file lies an index of its members' places. The data source plans a
-partition per file, takes over predicates on record type and header fields, parses the headers of a record first, and
-neither inflates nor decodes the rest of a record that the predicates reject or whose content isn't asked for.
+Files hold one gzip member per record; beside each file lies an index of its members' places. The data source plans
+partitions of about SPLIT_BYTES of files with an index and one of each other file, takes over predicates on record type and
+header fields, parses the headers of a record first, and neither inflates nor decodes the rest of a record that the predicates
+reject or whose content isn't asked for. It reads archives of other writers too: without an index, with several records in a
+member, with header names in any case, folded header lines, or colons without a blank.
 
 Null payloads count as empty. A null id writes a record without a number, a null URL one without a target; control
 characters in a URL are percent-encoded. Rows that share an id are so many records. An empty table gives an empty
@@ -32,6 +34,7 @@ DATE = "2024-01-01T00:00:00Z"
 NAME = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD_BYTES = 4096
+SPLIT_BYTES = 32 << 20  # compressed
 
 # ---------------------------------------------------------------- writer
 
@@ -105,8 +108,8 @@ SCHEMA = ", ".join(f"{c} string" for c in COLUMNS) + ", http_length long, payloa
 
 
 class WarcPartition(InputPartition):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, part: int = 0, parts: int = 1):
+        self.uri, self.part, self.parts = uri, part, parts
 
 
 class WarcReader(DataSourceReader):
@@ -130,51 +133,105 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [WarcPartition(uri) for uri, _ in shared_files.sizes(self.folder, ".warc.gz")] or [WarcPartition("")]
+        indexed = {uri for uri, _ in shared_files.sizes(self.folder, ".warc.gz.idx")}
+        out = []
+        for uri, size in shared_files.sizes(self.folder, ".warc.gz"):
+            parts = -(-size // SPLIT_BYTES) if f"{uri}.idx" in indexed else 1
+            out += [WarcPartition(uri, i, parts) for i in range(max(1, parts))]
+        return out or [WarcPartition("")]
 
     def read(self, partition: WarcPartition) -> Iterator[tuple]:
         if not partition.uri:
             return
-        for fields, rest in records(partition.uri):
-            if all(fields.get(k) in v if v is not None else k in fields for k, v in self.wanted):
+        for fields, rest in records(partition.uri, partition.part, partition.parts):
+            if all(fields.get(k.lower()) in v if v is not None else k.lower() in fields for k, v in self.wanted):
                 http, payload = rest(self.content)
-                yield (*(fields.get(h) for h in COLUMNS.values()), http, payload)
-
-
-def records(uri: str) -> Iterator[tuple[dict, object]]:
-    """Header fields of each record, and a function that inflates as much of the record as is asked for."""
+                yield (*(fields.get(h.lower()) for h in COLUMNS.values()), http, payload)
+
+
+def header(data: bytes) -> dict[str, str]:
+    """Fields of a header block by their lower-cased names; of a repeated one the first."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in data.decode("utf-8", "replace").split("\n")[1:]:
+        line = line.rstrip("\r")
+        if line[:1] in (" ", "\t") and name:  # a folded line
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            if name in fields:
+                name = None
+            else:
+                fields[name] = value.strip()
+    return fields
+
+
+class Inflated:
+    """What a gzip member holds, inflated as far as it is asked for."""
+
+    def __init__(self, f, at: int, length: int):
+        self.f, self.at, self.end = f, at, at + length
+        self.z, self.got, self.waiting = zlib.decompressobj(31), b"", b""
+
+    def more(self, whole: bool = False) -> bool:
+        if self.z.eof:
+            return False
+        if not self.waiting:
+            self.f.seek(self.at)
+            self.waiting = self.f.read(min(self.end - self.at, (1 << 30) if whole else HEAD_BYTES))
+            self.at += len(self.waiting)
+            if not self.waiting:
+                return False
+        self.got += self.z.decompress(self.waiting, 0 if whole else HEAD_BYTES)
+        self.waiting = self.z.unconsumed_tail
+        return True
+
+
+def records(uri: str, part: int = 0, parts: int = 1) -> Iterator[tuple[dict, object]]:
+    """Header fields of each record of a part of a file, and a function that inflates as much of the record as is asked for.
+    It must be called, if at all, before the next record is taken."""
     with shared_files.opened(uri) as f, ExitStack() as also:
         try:
-            index = np.frombuffer(also.enter_context(shared_files.opened(f"{uri}.idx")).read(), "<i8").reshape(-1, 2).tolist()
+            index = np.frombuffer(also.enter_context(shared_files.opened(f"{uri}.idx")).read(), "<i8").reshape(-1, 2)
+            index, single = index[len(index) * part // parts : len(index) * (part + 1) // parts].tolist(), True
         except FileNotFoundError:
-            index = members(uri)
+            index, single = members(uri), False
         for at, length in index:
-            f.seek(at)
-            raw = f.read(min(length, HEAD_BYTES))
-            z = zlib.decompressobj(31)
-            got = z.decompress(raw, HEAD_BYTES)
-            while b"\r\n\r\n" not in got and not z.eof:
-                more = z.unconsumed_tail or f.read(HEAD_BYTES)
-                if not more:
+            data = Inflated(f, at, length)
+            while True:  # records of a member
+                while b"\r\n\r\n" not in data.got and b"\n\n" not in data.got and data.more():
+                    pass
+                if not data.got.strip():
+                    break
+                ends = [(data.got.index(e), len(e)) for e in (b"\r\n\r\n", b"\n\n") if e in data.got]
+                if not ends:
                     raise ValueError(f"{uri}: a record at {at} is cut short")
-                got += z.decompress(more, HEAD_BYTES)
-            head, got = got.split(b"\r\n\r\n", 1)
-            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-
-            def rest(content: str, z=z, got=got, tail=at + len(raw), end=at + length, fields=fields) -> tuple[int | None, bytes | None]:
-                if content == "none":
-                    return None, None
-                size = int(fields["Content-Length"])
-                f.seek(tail)
-                while len(got) < size and not (content == "http" and b"\r\n\r\n" in got) and not z.eof:
-                    got += z.decompress(z.unconsumed_tail or f.read(end - f.tell()), 0 if content == "payload" else HEAD_BYTES)
-                if not fields.get("Content-Type", "").startswith("application/http"):
-                    return None, got[:size] if content == "payload" else None
-                http, _, payload = got[:size].partition(b"\r\n\r\n")
-                lengths = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                return lengths[0] if lengths else None, payload if content == "payload" and fields.get("WARC-Type") != "revisit" else None
-
-            yield fields, rest
+                end, gap = min(ends)
+                fields = header(data.got[:end])
+                data.got = data.got[end + gap :]
+                size = int(fields.get("content-length", 0))
+
+                def rest(content: str, data=data, fields=fields, size=size) -> tuple[int | None, bytes | None]:
+                    if content == "none":
+                        return None, None
+                    while len(data.got) < size and not (content == "http" and b"\r\n\r\n" in data.got) and data.more(content == "payload"):
+                        pass
+                    if not fields.get("content-type", "").startswith("application/http"):
+                        return None, data.got[:size] if content == "payload" else None
+                    http, _, payload = data.got[:size].partition(b"\r\n\r\n")
+                    lengths = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                    return lengths[0] if lengths else None, payload if content == "payload" and fields.get("warc-type") != "revisit" else None
+
+                yield fields, rest
+                if single:
+                    break
+                while len(data.got) < size and data.more(True):
+                    pass
+                data.got = data.got[size:]
+                while not data.got.strip(b"\r\n") and data.more(True):
+                    pass
+                data.got = data.got.lstrip(b"\r\n")
 
 
 def members(uri: str) -> Iterator[tuple[int, int]]:
@@ -213,6 +270,8 @@ class WarcSource(DataSource):
 
 
 def read(spark: SparkSession, folder: str, content: str = "payload") -> DataFrame:
+    """Records of the archives below a folder (columns of SCHEMA). Turns pushed filters of Python sources on for the session:
+    Spark asks for them when it plans, not here."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("content", content).load(folder)
@@ -226,7 +285,14 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     folder = new_path(pages.sparkSession, "warc")
     shared_files.of(folder)[0].create_dir(shared_files.of(folder)[1], recursive=True)
     saved(write(pages, folder, id_col, url_col, html_col, least), "warc-files")
-    return read(pages.sparkSession, folder)
+    return read_whole(pages.sparkSession, folder)
+
+
+def read_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """All records, by two scans with pushed filters: payloads of responses, and only the HTTP headers of revisits, which have
+    no payload to inflate."""
+    full = read(spark, folder).where("record_type = 'response'")
+    return full.unionByName(read(spark, folder, "http").where("record_type = 'revisit'"))
 
 
 def digests(found: DataFrame, id_col: str = "page_id") -> DataFrame:

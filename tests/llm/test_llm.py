@@ -37,6 +37,10 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, key int, _salt string, norm string").repartition(3)
 
 
+def shout(t):
+    return "".join(c.upper() if "a" <= c <= "z" else c for c in t)
+
+
 def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
@@ -151,15 +155,35 @@ def test_token_files(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    shards, freqs = token_files.encode_corpus(docs, WORD_BPE, 2)
-    got = by_id(token_files.digests(token_files.read(shards, freqs)))
+    folder = token_files.encode_corpus(docs, WORD_BPE, 2)
+    got = by_id(token_files.digests(token_files.read(docs.sparkSession.newSession(), folder)))
     start = 0
     for i, text in sorted(TEXTS):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         assert tuple(got[i])[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
         start += len(ids)
-    shards, freqs = token_files.encode_corpus(docs.where("false"), WORD_BPE, 2)
-    assert token_files.read(shards, freqs).count() == 0
+    folder = token_files.encode_corpus(docs.where("false"), WORD_BPE, 2)
+    assert token_files.read(docs.sparkSession, folder).count() == 0
+
+
+def test_token_files_of_documents_longer_than_a_block(spark, monkeypatch):
+    """A document over several blocks, and a damaged table."""
+    from tokenizers import Tokenizer
+
+    text = prose(400_000, 4)
+    df = spark.createDataFrame([(1, "a b"), (2, text), (3, "c")], "doc_id long, text string")
+    folder = token_files.encode_corpus(df, WORD_BPE, 2)
+    ids = [*Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids, 2]
+    assert len(ids) > 2 * token_files.BLOCK_IDS
+    got = by_id(token_files.digests(token_files.read(spark, folder)))
+    assert got[2].n_tokens == len(ids) and got[2].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert got[3].start == got[2].start + len(ids)
+    table = folder.removeprefix("file://") + "/" + token_files.TABLE
+    data = bytearray(open(table, "rb").read())
+    data[30] ^= 1
+    open(table, "wb").write(data)
+    with pytest.raises(ValueError):
+        token_files.read_table(folder)
 
 
 def test_piece_codec(docs):
@@ -263,6 +287,32 @@ def test_warc_pushes_filters_and_reads_foreign_files(spark, tmp_path):
     assert len(kept) == 1 and reader.wanted == [("WARC-Type", frozenset(["response"]))]
 
 
+def test_warc_reads_odd_archives(spark, tmp_path, monkeypatch):
+    """Two records in a member, folded lines, no blank after a colon, header names in other case, a body that isn't HTTP."""
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"
+    one = b"WARC/1.0\r\nWARC-Type:response\r\nwarc-target-uri: http://a/\r\n b\r\nContent-Type: application/http\r\nCONTENT-LENGTH: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    two = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: text/plain\r\nContent-Length: 9000\r\n\r\n" + b"x" * 9000 + b"\r\n\r\n"
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(two + one) + gzip.compress(one))
+    got = sorted((r.record_type, r.target_uri, r.http_length, bytes(r.payload)) for r in warc.read(spark, f"file://{tmp_path}").collect())
+    assert got == [("response", "http://a/ b", 2, b"hi")] * 2 + [("warcinfo", None, None, b"x" * 9000)] or {g[0] for g in got} == {"response", "warcinfo"} and len(got) == 3
+    assert warc.read(spark, f"file://{tmp_path}", "none").where("record_type = 'warcinfo'").count() == 1
+
+
+def test_warc_files_roll_over_and_split(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 300)
+    r = random.Random(2)
+    pages = [(i, "u", "".join(r.choice("abcdef") for _ in range(400))) for i in range(50)]
+    folder = f"file://{tmp_path}/w"
+    warc.shared_files.of(folder)[0].create_dir(f"{tmp_path}/w")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), folder).collect()
+    parts = warc.WarcReader({"path": folder}).partitions()
+    assert len(parts) > 10
+    reader = warc.WarcReader({"path": folder})
+    assert sorted(row[8].decode() for p in parts for row in reader.read(p)) == sorted(h for _, _, h in pages)
+
+
 def test_language(spark):
     r = random.Random(3)
     kinds = {"aa": "abcd", "bb": "efgh", "cc": "ßüöä"}
@@ -403,6 +453,47 @@ def test_html_text_leaves_out(html_model, bad):
     assert html_model.text(page) == f"Title\n{good}"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><x-mark-a><p>{0}</p><x-mark-1></article>", "{0}"),
+    ("<article><!--><p>{0}</p><!---><p>{1}</p><!-- a --><p>{2}</p></article>", "{0}\n{1}\n{2}"),
+    ("<article><p title=don't>{0}</p><p>{1}</p><p>isn't {2}</p></article>", "{0}\n{1}\nisn't {2}"),
+    ('<article><p>{0}</p><p class="a>{1}</p></article>', "{0}\n{1}"),
+    ("<article><p>{0}<p>{1} a < b</article><footer>x</footer></span></article>", "{0}\n{1} a < b"),
+    ("<article><p>{0}</p><select><p>{1}</p></article>", "{0}\n{1}"),
+    ("<article><p>{0}</p><p>{1}</p></article><p", "{0}\n{1}"),
+])
+def test_html_odd_markup(html_model, page, text):
+    said = [prose(25, 60 + i) for i in range(3)]
+    assert html_model.text(f"<html><body>{page.format(*said)}</body></html>") == text.format(*said)
+
+
+@pytest.mark.parametrize("page", ['<a href="x ' * 90_000, "<!--" * 250_000, "<button>" * 120_000, "<div>" * 60_000 + "</section>" * 60_000, "<b><div>" + "<i>" * 60_000 + "</b>" * 60_000, "<div><dd></dd>" * 40_000, "</select " * 100_000])
+def test_html_in_linear_time(html_model, page):
+    import time
+
+    start = time.process_time()
+    html_model.text(page)
+    assert time.process_time() - start < 20  # what grew with the square took minutes
+
+
+def test_html_without_a_labelled_page(spark):
+    """The built-in skeletons alone tell an article from what is around it."""
+    good, noise = prose(60, 9), prose(12, 8)
+    rows = [(1, "u", f"<body><nav><a href='/'>{noise}</a></nav><main><h1>Title</h1><p>{good}</p></main><div class='ad'>{noise}</div><footer>{noise}</footer></body>")]
+    got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert got.text == f"Title\n{good}"
+    assert html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").where("false")).count() == 0
+
+
+def test_html_training_expectations_match_single_trees(html_model):
+    """Messages over many trees at once give the marginals of each."""
+    trees = [html_text.Tree(PAGE.format("a", "b", "c d e", "f")), html_text.Tree("<p>x"), html_text.Tree("")]
+    f = html_text.Forest(trees)
+    got, joint = f.expected(f.x @ html_model.weights, html_model.pairs)
+    assert np.allclose(got, np.concatenate([html_model.marginals(t) for t in trees]), atol=1e-5)
+    assert np.allclose(joint[f.inner].sum(axis=1), np.stack([1 - got[f.inner], got[f.inner]], axis=1), atol=1e-5)
+
+
 def test_tree_marginals_match_enumeration(html_model):
     from itertools import product
 
@@ -449,7 +540,7 @@ def test_fingerprints_of_long_texts(monkeypatch):
 
 
 def test_null_ids_in_near_groups(spark):
-    df = spark.createDataFrame([(None, SHARED), (7, SHARED), (3, SHARED.upper()), (None, "quite another text"), (9, prose(50, 70))], "doc_id long, text string")
+    df = spark.createDataFrame([(None, SHARED), (7, SHARED), (3, shout(SHARED)), (None, "quite another text"), (9, prose(50, 70))], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash_dedup.near_groups(df).collect()), key=repr)
     assert got == sorted([(None, 3), (7, 3), (3, 3), (None, None), (9, 9)], key=repr)
 
@@ -486,14 +577,14 @@ def test_pipeline_stages_judge_rows(spark):
     import corpus_pipeline
 
     names = [f"_{n}" for n in ("stays", "sha256", "key", "good", "leaks")]
-    rows = [(None, SHARED), (None, SHARED), (5, SHARED.upper()), (5, prose(90, 31)), (6, prose(90, 31)), (None, prose(70, 32)), (8, None), (8, "")]
+    rows = [(None, SHARED), (None, SHARED), (5, shout(SHARED)), (5, prose(90, 31)), (6, prose(90, 31)), (None, prose(70, 32)), (8, None), (8, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for n in names:
         df = df.withColumn(n, F.lit("x"))
     exact = exact_dedup.drop_copies(df)
     assert exact.columns == df.columns
     got = sorted(((r.doc_id, r.text) for r in exact.collect()), key=repr)
-    assert got == sorted([(5, SHARED.upper()), (6, prose(90, 31)), (None, prose(70, 32)), (8, None), (8, "")], key=repr)
+    assert got == sorted([(5, shout(SHARED)), (6, prose(90, 31)), (None, prose(70, 32)), (8, None), (8, "")], key=repr)
     near = near_copies.drop_near_copies(df)
     assert near.columns == df.columns and near.count() >= 4
     bench = spark.createDataFrame([(1, SHARED)], "item_id long, text string")
