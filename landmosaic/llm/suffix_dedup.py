@@ -11,8 +11,15 @@ most 2 * LENGTH - ANCHOR) to the anchor's bucket, each distinct context once, wi
 bucket the suffixes of the contexts are put in order by column-wise construction of the collection's Burrows-Wheeler
 transform: each round inserts one symbol of every context, at the place that the transform so far gives it. Neighbours in
 that order with LENGTH common bytes are equal strings; a group's smallest id is the first document that has the string.
-Contexts alone with their anchor need no order: their strings occur where they do. A bucket is small enough to stay in
-memory, so its columns are arrays and not files (machine-local files are lost with an executor).
+Contexts alone with their anchor need no order: their strings occur where they do.
+
+Two departures from column-wise construction in external files. A bucket is small enough to stay in memory, so its columns are
+arrays and not files: the transform of a whole collection is read and written once for every symbol of its longest text, which
+no corpus allows, and files on a machine are lost with an executor. And common prefixes are taken from the finished order and
+not updated in each round: only "at least LENGTH" matters, and that is one comparison per neighbour and column.
+
+A segment sends at most one row to each bucket, and at most as many as it has anchors. There are MIN_BITS bits of buckets at
+least; above that one bucket for PER_BUCKET segments where short hashes meet, and one for each segment where contexts meet.
 
 Null texts count as empty. A null id is smaller than all others. Rows that share an id don't remove each other's bytes.
 Texts shorter than LENGTH stay whole. An empty table gives an empty result. Extra columns are ignored.
@@ -30,13 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import new_path, saved
 
 LENGTH, ANCHOR = 50, 25
 SIDE = LENGTH - ANCHOR
 CONTEXT = LENGTH + SIDE
 SEGMENT_BYTES = 8 << 20
 BLOCK = 128  # symbols between noted counts
+PART = 1 << 20  # bytes of a text whose anchors are looked for together
+MIN_BITS, PER_BUCKET = 7, 16
+TASK_BYTES = 64 << 20  # of texts in a task
 BASE, MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
 NULL = -(1 << 63)
 
@@ -82,7 +92,15 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all LENGTH-byte strings of a text."""
+    """Places and hashes of the anchors of all LENGTH-byte strings of a text, part by part."""
+    if len(a) < PART + LENGTH:
+        return _anchors(a)
+    found = [(s, *_anchors(a[s : s + PART + LENGTH - 1])) for s in range(0, len(a) - LENGTH + 1, PART)]
+    at, first = np.unique(np.concatenate([s + x for s, x, _ in found]), return_index=True)
+    return at, np.concatenate([h for *_, h in found])[first]
+
+
+def _anchors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(a) < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = _hashes(a)
@@ -157,7 +175,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tupl
         yield now, held
 
 
-def repeated_anchors(segs: DataFrame, bits: int) -> DataFrame:
+def repeated_anchors(segs: DataFrame, bits: int, tasks: int) -> DataFrame:
     """seg, bucket, found: the short hashes of a segment's anchors that occur in several documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +216,7 @@ def repeated_anchors(segs: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["seg", "bucket", "found"])
 
     sent = segs.select("seg", "docs").mapInArrow(send, "bucket long, seg long, short binary, several binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "seg").mapInArrow(answer, "seg long, bucket long, found binary")
+    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket", "seg").mapInArrow(answer, "seg long, bucket long, found binary")
 
 
 # ---------------------------------------------------------------- contexts
@@ -207,7 +225,7 @@ def repeated_anchors(segs: DataFrame, bits: int) -> DataFrame:
 class Contexts:
     """The distinct contexts of a segment's repeated anchors, numbered in the order of their first place, and their places."""
 
-    def __init__(self, blob: bytes, found: list[dict] | None, bits: int):
+    def __init__(self, blob: bytes, found: list[dict] | None, short_bits: int, bits: int):
         self.ids, self.texts = unpack_segment(blob)
         found = found or []
         keys = np.concatenate([np.uint64(f["bucket"] << 32) | np.frombuffer(f["found"], np.uint32).astype(np.uint64) for f in found]) if found else np.empty(0, np.uint64)
@@ -217,10 +235,10 @@ class Contexts:
         self.places: list[tuple[np.ndarray, np.ndarray]] = []  # of each text: starts of contexts, their numbers
         for i, t in zip(self.ids.tolist(), self.texts, strict=True):
             at, h = anchors(t)
-            bucket, short = keys_of(h, bits)
+            bucket, short = keys_of(h, short_bits)
             key = (bucket.astype(np.uint64) << np.uint64(32)) | short
             hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) and len(key) else np.zeros(len(key), bool)
-            at, bucket = at[hit], bucket[hit].tolist()
+            at, bucket = at[hit], keys_of(h[hit], bits)[0].tolist()
             start, data, which = np.maximum(at - SIDE, 0), t.tobytes() if len(at) else b"", []
             for p, s, b in zip(at.tolist(), start.tolist(), bucket, strict=True):
                 c = data[s : p + LENGTH]
@@ -384,14 +402,14 @@ def first_documents(data: bytes, left: np.ndarray, length: np.ndarray, doc: np.n
     return firsts[np.repeat(base[which], n_strings) + np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)]
 
 
-def verdicts(held: DataFrame, bits: int) -> DataFrame:
+def verdicts(held: DataFrame, short_bits: int, bits: int, tasks: int) -> DataFrame:
     """seg, bucket, firsts: for the contexts that a segment sends to a bucket, in turn, each string's first document; and,
     under the bucket -1, the places of the segment's contexts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seg, c = batch.column(0)[i].as_py(), Contexts(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), bits)
+                seg, c = batch.column(0)[i].as_py(), Contexts(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), short_bits, bits)
                 rows = [(b, packed(np.array([len(w)], "<i8"), np.array([c.doc[k] for k in w], "<i8"), np.array([c.left[k] for k in w], np.uint8), np.array([len(c.bytes[k]) for k in w], np.uint8), b"".join([c.bytes[k] for k in w]))) for b, w in c.by_bucket()]
                 if rows:  # the places only pass through, each segment's to another task
                     rows.append((-1 - seg, c.packed_places()))
@@ -416,33 +434,47 @@ def verdicts(held: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int64()), pa.array([bucket] * len(segs), pa.int64()), pa.array(out, pa.binary())], ["seg", "bucket", "firsts"])
 
     sent = held.mapInArrow(send, "bucket long, seg long, contexts binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "seg").mapInArrow(judge, "seg long, bucket long, firsts binary")
+    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket", "seg").mapInArrow(judge, "seg long, bucket long, firsts binary")
 
 
 # ---------------------------------------------------------------- operator
 
 
+def runs(begin: np.ndarray, size: int) -> np.ndarray:
+    """Starts and ends, in turn, of the maximal runs that LENGTH-byte strings from these places on cover in a text."""
+    if not len(begin):
+        return np.empty(0, np.int64)
+    there = np.zeros(size, bool)
+    there[begin] = True
+    begin = np.flatnonzero(there)
+    new = np.flatnonzero(np.diff(begin) > LENGTH)
+    return np.stack([begin[np.append(0, new + 1)], begin[np.append(new, len(begin) - 1)] + LENGTH], axis=1).ravel()
+
+
 def cut(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, n_bytes, kept (the bytes that stay, joined), spans (start and end of each maximal run of
     removed bytes, packed as little-endian signed 64-bit integers). Ids are longs.
 
-    Segments are kept in a table that is bucketed by segment, so that answers come to them without moving texts again;
-    its name starts with landmosaic_segments_, and it can be dropped once the result is written.
+    Segments are kept in the shared folder, bucketed by segment, so that answers come to them without moving texts again. Tasks
+    grow in number with the texts' bytes, and not in size.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     name = f"landmosaic_segments_{uuid.uuid4().hex}"
-    segments(docs, text_col, id_col).write.bucketBy(n, "seg").format("parquet").option("compression", "none").saveAsTable(name)
+    segments(docs, text_col, id_col).write.bucketBy(tasks, "seg").format("parquet").option("compression", "none").option("path", new_path(spark, "segments")).saveAsTable(name)
     segs = spark.table(name)
-    bits = max(0, int(np.ceil(np.log2(max(1, segs.count())))))
+    n = max(1, segs.count())
+    short_bits, bits = (max(MIN_BITS, int(np.ceil(np.log2(k)))) for k in (n / PER_BUCKET, n))
 
     def gathered(answers: DataFrame, column: str) -> DataFrame:
         return answers.groupBy("seg").agg(F.collect_list(F.struct("bucket", column)).alias(column))
 
-    found = gathered(saved(repeated_anchors(segs, bits), "anchors"), "found")
+    found = gathered(saved(repeated_anchors(segs, short_bits, tasks), "anchors"), "found")
     held = segs.join(found, "seg", "left").select("seg", "docs", "found")
-    firsts = gathered(saved(verdicts(held, bits), "firsts"), "firsts")
+    firsts = gathered(saved(verdicts(held, short_bits, bits, tasks), "firsts"), "firsts")
     held = segs.join(firsts, "seg", "left").select("docs", "firsts")
+    spark.sql(f"DROP TABLE {name}")  # its files stay in the shared folder, like other intermediates
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,12 +499,9 @@ def cut(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Data
                     m = strings[which]
                     step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                     begin = (np.repeat(start, m) + step)[firsts[np.repeat(base[which], m) + step] < doc]
-                    change = np.zeros(len(t) + 1, np.int8)
-                    change[begin] = 1
-                    heads = np.cumsum(change, dtype=np.int32)
-                    gone = (heads - np.concatenate([np.zeros(LENGTH, np.int32), heads])[: len(t) + 1])[:-1] > 0  # a string began within the last LENGTH bytes
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    rows.append((None if doc == NULL else doc, len(t), t[~gone].tobytes(), edges.astype("<i8").tobytes()))
+                    edges = runs(begin, len(t))
+                    data, cuts = t.tobytes(), [0, *edges.tolist(), len(t)]
+                    rows.append((None if doc == NULL else doc, len(t), b"".join([data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]), edges.astype("<i8").tobytes()))
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], schema.names)
 

@@ -131,6 +131,29 @@ def test_suffix_cut(docs, monkeypatch, size):
     assert suffix_dedup.cut(docs.where("false")).count() == 0
 
 
+def test_suffix_cut_of_long_texts_by_parts(spark, monkeypatch):
+    """Texts of many parts and larger than a segment; no table stays in the catalogue."""
+    monkeypatch.setattr(suffix_dedup, "PART", 5000)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 20_000)
+    a, b = prose(12_000, 41), prose(12_000, 42)
+    texts = [(1, a), (2, b[:30_000] + a[20_000:40_000] + b[30_000:]), (3, b), (4, prose(9000, 43))]
+    got = by_id(suffix_dedup.cut(spark.createDataFrame(texts, "doc_id long, text string")))
+    seen = set()
+    for i, t in texts:
+        raw, own, gone = t.encode(), set(), np.zeros(len(t.encode()), bool)
+        for p in range(len(raw) - 49):
+            own.add(raw[p : p + 50])
+            if raw[p : p + 50] in seen:
+                gone[p : p + 50] = True
+        seen |= own
+        assert got[i].kept == np.frombuffer(raw, np.uint8)[~gone].tobytes()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("landmosaic")]
+    x = np.frombuffer(a.encode(), np.uint8)
+    parts = suffix_dedup.anchors(x)
+    monkeypatch.setattr(suffix_dedup, "PART", 1 << 20)
+    assert all((p == q).all() for p, q in zip(parts, suffix_dedup.anchors(x), strict=True))
+
+
 def test_suffix_cut_of_one_id_and_none(spark):
     df = spark.createDataFrame([(1, SHARED), (1, SHARED), (None, SHARED)], "doc_id long, text string")
     got = sorted((r.doc_id is None, len(r.kept)) for r in suffix_dedup.cut(df).collect())
