@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from . import words
 
 MARK = "▁"
-CACHED_RUNS, CACHED_LENGTH = 1 << 18, 64
-BATCH_BYTES = 4 << 20
+CACHED_RUNS, CACHED_LENGTH = 1 << 16, 64
+BATCH_BYTES = 1 << 20
 SHORT_RUN = 48  # characters; longer ones are merged with a heap
 WORDS = words.byte_kinds(lambda b: b != 32)
 
