@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def is_empty(c: Column) -> Column:
-    """Null, blank and the text "nan" all count as empty."""
-    return c.isNull() | F.trim(c.cast("string")).isin("", "nan")
+    """Null, white space and the text "nan" all count as empty."""
+    return c.isNull() | stripped(c).isin("", "nan")
 
 
 def fill_if_empty(target: Column, source: Column) -> Column:
-    return F.when(is_empty(target) & ~is_empty(source), F.trim(source)).otherwise(target)
+    """The source where the target is empty and the source isn't; "nan" in any case is no source."""
+    given = stripped(source)
+    return F.when(is_empty(target) & source.isNotNull() & ~F.lower(given).isin("", "nan"), given).otherwise(target)
 
 
 def hash_order(seed: str, key: Column) -> Column:
@@ -23,12 +30,15 @@ def hash_order(seed: str, key: Column) -> Column:
 
 
 def any_of(text: Column, parts: list[str]) -> Column:
-    return reduce(Column.__or__, [text.contains(p) for p in parts])
+    return text.contains(parts[0]) if len(parts) == 1 else text.rlike("|".join(map(re.escape, parts)))
 
 
 def first_match(cases: list[tuple[Column, Column]], default: Column) -> Column:
-    """One CASE: the first condition that holds decides."""
-    return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), default)
+    """One flat CASE: the first condition that holds decides."""
+    out = F.when(*cases[0])
+    for case in cases[1:]:
+        out = out.when(*case)
+    return out.otherwise(default)
 
 
 def half_even(c: Column, digits: int = 0) -> Column:

@@ -30,6 +30,14 @@ def destination(lat: Column, lon: Column, degrees: Column, metres: Column) -> Co
     return F.struct(F.degrees(p2).alias("lat"), (F.pmod(F.degrees(l2) + 540, F.lit(360.0)) - 180).alias("lon"))
 
 
+def capture_position(by_season: Column, season: Column, lat: Column, lon: Column) -> Column:
+    """struct(lat, lon) of a panorama: its season's entry in map<season, struct<lat, lon>>; of the default season (null) the
+    map's first entry; where that isn't there or not whole, the object's own place."""
+    whole = lambda p: F.when(p["lat"].isNotNull() & p["lon"].isNotNull(), F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    first = F.get(F.map_values(by_season), F.lit(0))
+    return F.coalesce(F.when(season.isNotNull(), whole(F.element_at(by_season, season))).otherwise(whole(first)), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
 def classification_region(cam_lat: Column, cam_lon: Column, lat: Column, lon: Column, fov: float = 90.0) -> Column:
     """Where an object is seen from its camera; a camera on the object has no bearing."""
     d = distance(cam_lat, cam_lon, lat, lon)

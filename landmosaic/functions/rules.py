@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import any_of, first_match, is_empty
+from .core import any_of, first_match, is_empty, stripped
 
 # ---- Fixed values: class keys in id order, their labels and default subclasses. ----
 LABELS = {
@@ -87,16 +87,17 @@ def _all_of(text: Column, stems: list[list[str]]) -> Column:
     return out
 
 
-def text_class(text: Column) -> Column:
-    """struct(class_ui, subclass_ui) of a description, both "" where no rule fits."""
-    low = F.lower(F.trim(F.when(is_empty(text), F.lit("")).otherwise(text)))
-    pair = lambda a, b: F.struct(F.lit(a).alias("class_ui"), F.lit(b).alias("subclass_ui"))
-    return first_match([(_all_of(low, stems), pair(a, b)) for stems, a, b in TEXT_RULES], pair("", ""))
+def text_class(text: Column, default: tuple[str, str] = ("", "")) -> Column:
+    """struct(class_ui, subclass_ui) of a description, the default where no rule fits. The number of the rule is worked out
+    by one flat CASE; the pair is looked up in a literal."""
+    low = F.lower(stripped(F.when(is_empty(text), F.lit("")).otherwise(text)))
+    number = first_match([(_all_of(low, stems), F.lit(i)) for i, (stems, *_) in enumerate(TEXT_RULES, 1)], F.lit(len(TEXT_RULES) + 1))
+    pairs = F.array(*[F.struct(F.lit(a).alias("class_ui"), F.lit(b).alias("subclass_ui")) for a, b in [*(r[1:] for r in TEXT_RULES), default]])
+    return F.element_at(pairs, number)
 
 
 def text_class_or_default(text: Column) -> Column:
-    found = text_class(text)
-    return F.when(found["class_ui"] != "", found).otherwise(F.struct(F.lit(DEFAULT_CLASS).alias("class_ui"), F.lit(DEFAULT_SUBCLASS).alias("subclass_ui")))
+    return text_class(text, (DEFAULT_CLASS, DEFAULT_SUBCLASS))
 
 
 def refined_subclass(key: Column, text: Column, default: Column) -> Column:
@@ -107,9 +108,9 @@ def refined_subclass(key: Column, text: Column, default: Column) -> Column:
 def analyst_key(label: Column) -> Column:
     """Class key of an analyst's label: exact, else by the first known label that holds it or is held by it; null for empty ones."""
     low = F.lower(F.trim(label))
-    exact = [(low == known, F.lit(key)) for known, key in ANALYST_KEYS.items()]
+    exact = F.element_at(F.create_map(*[F.lit(x) for pair in ANALYST_KEYS.items() for x in pair]), low)
     near = [(low.contains(known) | F.lit(known).contains(low), F.lit(key)) for known, key in ANALYST_KEYS.items()]
-    return F.when(low.isNull() | low.isin("", "nan", NO_CATEGORY.lower()), None).otherwise(first_match(exact + near, F.lit(None).cast("string")))
+    return F.when(low.isNotNull() & ~low.isin("", "nan", NO_CATEGORY.lower()), F.coalesce(exact, first_match(near, F.lit(None).cast("string"))))
 
 
 def is_valid_label(label: Column) -> Column:

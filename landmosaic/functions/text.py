@@ -41,6 +41,50 @@ def widget_url(lon: Column, lat: Column) -> Column:
     return F.concat(F.lit("https://yandex.ru/map-widget/v1/?ll="), lon.cast("string"), F.lit("%2C"), lat.cast("string"), F.lit("&z=18&l=stv&lang=ru_RU"))
 
 
+def gallery_url(dataset: Column, key: Column) -> Column:
+    return F.concat(F.lit("/snapshots/"), dataset, F.lit("/"), key, F.lit("/"))
+
+
+def map_url(lon: Column, lat: Column, direction: Column) -> Column:
+    """The map at a place; with the direction of view, in whole degrees, if it is known."""
+    place = F.concat(lon.cast("string"), F.lit("%2C"), lat.cast("string"))
+    look = F.when(direction.isNotNull(), F.concat(F.lit("&panorama%5Bdirection%5D="), F.bround(direction, 0).cast("int").cast("string"))).otherwise("")
+    return F.concat(F.lit("https://yandex.ru/maps/?ll="), place, F.lit("&z=19&l=stv&pt="), place, F.lit(",pm2rdm"), look)
+
+
+def photos_cell(dataset: Column, key: Column, points: Column) -> Column:
+    """The gallery, then a link for every view point, joined by blanks."""
+    return F.concat_ws(" ", F.concat(F.array(gallery_url(dataset, key)), F.transform(points, lambda p: widget_url(p["lon"], p["lat"]))))
+
+
+def split_photos(photos: Column) -> Column:
+    """struct(gallery, rest): the first gallery path of a cell, and all other parts joined by blanks."""
+    parts = F.filter(F.split(F.coalesce(photos, F.lit("")), r"\s+"), lambda x: x != "")
+    at = F.array_position(F.transform(parts, lambda x: x.startswith("/snapshots/")), F.lit(True)).cast("int")
+    return F.struct(F.get(parts, at - 1).alias("gallery"), F.array_join(F.filter(parts, lambda x, i: i + 1 != at), " ").alias("rest"))
+
+
+def heading_fan_out(bearing: Column, offset: float = 0.0, unknown: Column | None = None, default: float = 0.0) -> Column:
+    """array<struct<heading, tag>>: one view where the bearing is known; else the given headings (array of doubles), tagged, or
+    the default one."""
+    turned = lambda h: F.pmod(h + offset, F.lit(360.0))
+    one = lambda h: F.array(F.struct(h.alias("heading"), F.lit("").alias("tag")))
+    fan = F.transform(unknown, lambda h: F.struct(turned(h).alias("heading"), F.format_string("h%03d", h.cast("int")).alias("tag"))) if unknown is not None else None
+    blind = one(F.lit(default % 360.0))
+    return F.when(bearing.isNotNull(), one(turned(bearing))).otherwise(F.when(F.size(fan) > 0, fan).otherwise(blind) if fan is not None else blind)
+
+
+def crop_path(split: Column, class_name: Column, path: Column, tag: Column) -> Column:
+    """split/class/stem[_tag].suffix of a crop cut from an image."""
+    stem, suffix = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    return F.concat_ws("/", split, class_name, F.concat(stem, F.when(tag != "", F.concat(F.lit("_"), tag)).otherwise(""), F.when(suffix == "", ".jpg").otherwise(suffix)))
+
+
+def view_name(prefix: str, heading: Column, pitch: Column, fov: float, width: int, height: int) -> Column:
+    whole = lambda c: F.bround(c, 0).cast("int").cast("string")
+    return F.concat(F.lit(f"{prefix}_h"), whole(heading), F.lit("_p"), whole(pitch), F.lit(f"_f{round(fov)}_{width}x{height}.jpg"))
+
+
 def season_of(month: Column) -> Column:
     out = F.lit("autumn")
     for name, months in SEASONS.items():

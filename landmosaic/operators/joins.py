@@ -23,6 +23,32 @@ def missing(rows: DataFrame, key: str, there: DataFrame, there_key: str) -> Data
     return rows.join(there.select(F.col(there_key).alias("_there")), F.col(key) == F.col("_there"), "left_anti")
 
 
+def without_leak(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
+    """rows, or an error if a key stands in more than one split."""
+    found = leaks(rows, key, split).limit(5).collect()
+    if found:
+        raise ValueError(f"in more than one split: {', '.join(str(r[0]) for r in found)}")
+    return rows
+
+
+def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
+    """The keys that stand in more than one split."""
+    return rows.groupBy(key).agg(F.count_distinct(split).alias("_n")).where("_n > 1").select(key)
+
+
+def linked(parcels: DataFrame, cell: Column, keys: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """parcels with the cell in photos_ui where it is empty: only those whose parcel_key is in keys, and only the first `most`."""
+    from .ranking import first_eligible
+
+    empty = F.trim(F.coalesce("photos_ui", F.lit(""))) == ""
+    rows = parcels
+    if keys is not None:
+        rows = rows.join(keys.select("parcel_key", F.lit(True).alias("_asked")).distinct(), "parcel_key", "left")
+        empty = empty & F.coalesce("_asked", F.lit(False))
+    rows = first_eligible(rows, empty, "oid", most, "_linked") if most is not None else rows.withColumn("_linked", empty)
+    return rows.withColumn("photos_ui", F.when(F.col("_linked"), cell).otherwise(F.col("photos_ui"))).drop("_linked", "_asked")
+
+
 EDITED = ["class_ui", "subclass_ui", "class_corrected_ui", "subclass_corrected_ui", "photos_ui"]
 
 

@@ -69,6 +69,88 @@ def best_step(sweep: DataFrame) -> DataFrame:
     return sweep.agg(F.max_by(F.struct("step", "accuracy"), F.struct("accuracy", -F.col("step"))).alias("b")).select("b.*")
 
 
+def run_statistics(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """outcome, n: rows of each outcome, zero for absent ones; skipped are those of low confidence."""
+    known = ["heuristic", "ml", "ml_low_confidence", "no_panorama", "skipped"]
+    seen = rows.where(F.col(outcome).isNotNull()).select(F.explode(F.when(F.col(outcome) == "ml_low_confidence", F.array(F.col(outcome), F.lit("skipped"))).otherwise(F.array(outcome))).alias("outcome"))
+    counts = seen.groupBy("outcome").agg(F.count("*").alias("n"))
+    names = rows.sparkSession.createDataFrame([(k,) for k in known], "outcome string")
+    return names.join(counts, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def best_run(runs: DataFrame, policy: str, n_classes: int | None = None) -> DataFrame:
+    """The best row of runs (run, and the metrics that the policy names), the first run on ties.
+
+    metrics: by macro_f1, then accuracy; parcels: by gpkg_acc (none counts as 0), then val_acc; checkpoint: of those with
+    n_classes, by val_macro_f1 (else val_balanced_f1, else 0) for six classes and by val_acc for three."""
+    zero = lambda *c: F.coalesce(*c, F.lit(0.0))
+    if policy == "checkpoint":
+        runs = runs.where(F.col("n_classes") == n_classes)
+        score = [zero("val_macro_f1", "val_balanced_f1") if n_classes == 6 else zero("val_acc")]
+    else:
+        score = {"metrics": [F.col("macro_f1"), F.col("accuracy")], "parcels": [zero("gpkg_acc"), F.col("val_acc")]}[policy]
+    return runs.agg(F.max_by(F.struct(*runs.columns), F.struct(*score, -F.col("run"))).alias("b")).where("b IS NOT NULL").select("b.*")
+
+
+def on_target(accuracy: Column, macro_f1: Column, balanced_f1: Column, least: tuple[float, float, float] = (0.75, 0.60, 0.70)) -> Column:
+    return (accuracy >= least[0]) & (macro_f1 >= least[1]) & (balanced_f1 >= least[2])
+
+
+def raw_audit(objects: DataFrame, panoramas: DataFrame, most: int = 20) -> DataFrame:
+    """kind, key, n, first: objects per class and in all, panoramas per season, objects without one (and the first of them)."""
+    from .ranking import first_per_class
+
+    row = lambda kind, key: [F.lit(kind).alias("kind"), key.alias("key"), F.col("n"), F.lit(None).cast("string").alias("first")]
+    classes = objects.rollup("class_name").agg(F.count("*").alias("n"), F.grouping("class_name").alias("_g")).select(F.when(F.col("_g") == 1, "total").otherwise("class").alias("kind"), F.col("class_name").alias("key"), "n", F.lit(None).cast("string").alias("first"))
+    seasons = panoramas.groupBy("season").agg(F.count("*").alias("n")).select(*row("season", F.coalesce("season", F.lit("default"))))
+    none = objects.join(panoramas.select("object_id").distinct(), "object_id", "left_anti").withColumn("_all", F.lit(1))
+    some = first_per_class(none, "_all", "seq", most).agg(F.array_sort(F.collect_list(F.struct("seq", "object_id"))).alias("f"))
+    count = none.agg(F.count("*").alias("n")).crossJoin(some)  # one row each
+    none = count.select(F.lit("without_panorama").alias("kind"), F.lit(None).cast("string").alias("key"), "n", F.concat_ws(",", F.transform("f", lambda x: x["object_id"])).alias("first"))
+    return classes.unionByName(seasons).unionByName(none)
+
+
+def sample_audit(samples: DataFrame, most: int = 20) -> DataFrame:
+    """kind, key, n, first of samples (seq, class_name, object_id, bearing, distance_m, image_path, source_path, source_there,
+    crop_there): rows per class, rows with each issue, and the first of those that are listed. An unknown distance is near."""
+    from .ranking import first_per_class
+
+    issues = F.array(
+        F.when(F.col("bearing").isNull(), F.struct(F.lit("null_bearing").alias("key"), F.col("object_id").alias("what"))), F.when(F.coalesce("distance_m", F.lit(0.0)) < 5, F.struct(F.lit("close_target_m").alias("key"), F.lit(None).cast("string").alias("what"))),
+        F.when(~F.col("source_there"), F.struct(F.lit("missing_source").alias("key"), F.col("source_path").alias("what"))), F.when(~F.col("crop_there"), F.struct(F.lit("missing_crop").alias("key"), F.col("image_path").alias("what"))),
+    )
+    rows = samples.select("seq", F.explode(F.array_compact(issues)).alias("i")).select("seq", "i.*")
+    first = first_per_class(rows.where("what IS NOT NULL"), "key", "seq", most).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "what"))).alias("f"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).join(first, "key", "left")
+    counts = counts.select(F.lit("issue").alias("kind"), "key", "n", F.when(F.col("f").isNotNull(), F.concat_ws(",", F.transform("f", lambda x: x["what"]))).alias("first"))
+    return counts.unionByName(samples.groupBy(F.col("class_name").alias("key")).agg(F.count("*").alias("n")).select(F.lit("class").alias("kind"), "key", "n", F.lit(None).cast("string").alias("first")))
+
+
+def panorama_counts(objects: DataFrame, class_col: str = "class_name") -> DataFrame:
+    """Panoramas of each class: entries of panoramas_by_season, else panoramas.total, else 1 if panorama.has_panorama, else the
+    files that were found (n_files)."""
+    n = F.coalesce(F.when(F.col("panoramas_by_season").isNotNull(), F.size("panoramas_by_season")), F.col("panoramas_total"), F.when(F.col("has_panorama"), 1), F.col("n_files"), F.lit(0))
+    return objects.groupBy(class_col).agg(F.sum(n.cast("long")).alias("panoramas"))
+
+
+def image_statistics(items: DataFrame, class_col: str = "class_name") -> DataFrame:
+    """Per class: items, those with a panorama, images, their bytes in all and on average, and how many have each size (WxH:n)."""
+    sized = items.where("width > 0 AND height > 0").groupBy(class_col, F.concat("width", F.lit("x"), "height").alias("size")).agg(F.count("*").alias("_n"))
+    sized = sized.groupBy(class_col).agg(F.array_join(F.array_sort(F.collect_list(F.concat("size", F.lit(":"), "_n"))), ",").alias("resolutions"))
+    image = F.col("size_bytes").isNotNull()
+    rows = items.groupBy(class_col).agg(
+        F.count("*").alias("items"), F.count_if(F.col("has_panorama")).alias("with_panorama"), F.count_if(image).alias("images"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"), F.bround(F.coalesce(F.avg("size_bytes"), F.lit(0.0)), 4).alias("avg_bytes")
+    )
+    return rows.join(sized, class_col, "left").withColumn("resolutions", F.coalesce("resolutions", F.lit("")))
+
+
+def text_ambiguity(rows: DataFrame, text: Column, label: Column) -> DataFrame:
+    """text, n, classes, counts (label:n, sorted): texts with more than one label."""
+    pairs = rows.groupBy(text.alias("text"), label.alias("label")).agg(F.count("*").alias("_n"))
+    out = pairs.groupBy("text").agg(F.sum("_n").alias("n"), F.count("label").alias("classes"), F.array_join(F.array_sort(F.collect_list(F.concat("label", F.lit(":"), "_n"))), "; ").alias("counts"))
+    return out.where("classes > 1")
+
+
 def tile_report(expected: DataFrame, loaded: DataFrame, bad_share: float = 0.3) -> DataFrame:
     """Per image: expected, loaded, black and failed tiles, and whether too many failed."""
     t = expected.join(loaded, ["image_id", "x", "y"], "left")

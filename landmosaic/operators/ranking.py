@@ -1,30 +1,41 @@
-"""Ranks, splits, samples, caps and copies.
+"""Ranks, splits, samples, caps and copies. Rows whose class or key is null are a class, or keys, of their own.
 
 A seeded shuffle is the order of md5(seed|key), so results don't depend on partitions. Ranks within a few classes, one of
-which may hold most rows, are exact without one task per class: rows are ranked within (class, first two hex digits of
+which may hold most rows, are exact without one task per class: rows are ranked within (class, first DIGITS hex digits of
 the hash), and the counts of the earlier digits are added.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import hash_order
 
 
+DIGITS = 3  # 4 096 parts of a class
+
+
+def null_safe(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys whose nulls match; the keys come once."""
+    other = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    return rows.join(other, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])).drop(*[f"_other_{k}" for k in keys])
+
+
 def exact_rank(df: DataFrame, by: list[str], key: str, seed: str, name: str = "rank", first: Column | None = None) -> DataFrame:
     """df with the place (from 1) of each row in its class, by hash, then key; rows where `first` is true come before others,
     and name_n, the class's rows."""
     order = hash_order(seed, F.col(key))
     lead = F.when(first, "0").otherwise("1") if first is not None else F.lit("0")
-    rows = df.withColumn("_h", order).withColumn("_b", F.concat(lead, F.substring("_h", 1, 2)))
-    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))  # at most 512 rows for each class
+    rows = df.withColumn("_h", order).withColumn("_b", F.concat(lead, F.substring("_h", 1, DIGITS)))
+    counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))  # at most 2 * 16**DIGITS rows for each class
     w = Window.partitionBy(*by).orderBy("_b") if by else Window.partitionBy(F.lit(1)).orderBy("_b")
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(f"{name}_n", F.sum("_n").over(whole)).drop("_n")
     here = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    return rows.withColumn("_r", F.row_number().over(here)).join(counts, [*by, "_b"]).withColumn(name, F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before")
+    return null_safe(rows.withColumn("_r", F.row_number().over(here)), counts, [*by, "_b"]).withColumn(name, F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before")
 
 
 def stratified_split(objects: DataFrame, class_col: str, key: str, ratio: float = 0.2, seed: str = "42") -> DataFrame:
@@ -72,12 +83,12 @@ def copies_by_ratio(rows: DataFrame, class_col: str, most: int = 5) -> DataFrame
     """Each row is copied max(1, min(most, largest class // own class)) times."""
     counts = rows.groupBy(class_col).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_k", F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.max("_n").over(Window.partitionBy(F.lit(1))) / F.col("_n")))).cast("int"))
-    return rows.join(counts.select(class_col, "_k"), class_col).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
+    return null_safe(rows, counts.select(class_col, "_k"), [class_col]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
 
 
 def duplicate_weight(rows: DataFrame, key: str, name: str = "sample_weight") -> DataFrame:
     counts = rows.groupBy(key).agg((F.lit(1.0) / F.count("*")).alias(name))
-    return rows.join(counts, key)
+    return null_safe(rows, counts, [key])
 
 
 def per_class_sample(rows: DataFrame, class_col: str, key: str, most: int, seed: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 CLASS_OF_SEGMENT = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'natural_areas' WHEN 'BUILDING' THEN 'active_construction' WHEN 'FURNITURE' THEN 'frozen_construction' WHEN 'HOUSEHOLD' THEN 'low_density_degraded' ELSE 'active_urban' END"
 
 BINDINGS = {
-    "samples": """SELECT vec_id AS seq, concat('o', vec_id % 97) AS object_id, label AS class_id, concat('c', label) AS class_name,
+    "samples": """SELECT vec_id AS seq, concat('o', CAST(floor(vec_id / 8e0) AS BIGINT)) AS object_id, label AS class_id, concat('c', label) AS class_name,
         CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, vec_id % 3 = 0 AS multi_heading,
         concat('crops/c', label, '/v', vec_id, CASE WHEN vec_id % 3 = 0 THEN concat('_h', lpad(CAST(90 * (vec_id % 4) AS STRING), 3, '0')) ELSE '' END, '.jpg') AS image_path,
         embedding AS pixels FROM {embeddings}""",
@@ -26,7 +26,7 @@ BINDINGS = {
         CASE p_partkey % 16 WHEN 0 THEN 'Просто зелень (деревья во дворах и тд)' WHEN 1 THEN 'лесопарк чистая сцена' WHEN 2 THEN 'МКД, многоэтажная застройка' WHEN 3 THEN 'nan' WHEN 4 THEN 'Гаражи и парковки'
             WHEN 5 THEN 'завод, промышленная территория' WHEN 6 THEN 'прочие нежилые объекты' WHEN 7 THEN 'стройплощадка с краном' WHEN 8 THEN 'заброшенное здание' WHEN 9 THEN ' Дорога с зеленью и деревьями '
             WHEN 10 THEN 'детский сад и школа' WHEN 11 THEN 'торговый центр' WHEN 12 THEN 'замороженный скелет' WHEN 13 THEN 'ИЖС, частный сектор' WHEN 14 THEN '' ELSE 'xyz' END AS generated_land_use,
-        CASE p_size % 7 WHEN 0 THEN 'Природные территории' WHEN 1 THEN 'Активные городские территории' WHEN 2 THEN 'Категории нет' WHEN 3 THEN 'nan' WHEN 4 THEN ' Активное строительство (стройплощадки) ' WHEN 5 THEN '' ELSE 'Недоиспользуемые инфраструктурные/городские зоны' END AS class_corrected_ui,
+        CASE p_size % 9 WHEN 0 THEN 'Природные территории' WHEN 1 THEN 'Активные городские территории' WHEN 2 THEN 'Категории нет' WHEN 3 THEN 'nan' WHEN 4 THEN ' Активное строительство (стройплощадки) ' WHEN 5 THEN '' WHEN 6 THEN 'Недоиспользуемые инфраструктурные/городские зоны' WHEN 7 THEN 'Незавершенное/приостановленное строительство (стройка)' ELSE 'неизвестно' END AS class_corrected_ui,
         CASE p_size % 3 WHEN 0 THEN 'Парки и скверы' WHEN 1 THEN 'Жилая застройка с активностью' ELSE '' END AS subclass_corrected_ui,
         CASE WHEN p_partkey % 5 = 0 THEN 'Активные городские территории' WHEN p_partkey % 5 = 1 THEN 'Категории нет' ELSE '' END AS class_ui,
         CASE WHEN p_partkey % 10 = 0 THEN 'Жилая застройка с активностью' ELSE '' END AS subclass_ui, '' AS panorama_status_ui,
@@ -37,7 +37,10 @@ BINDINGS = {
         CASE p_partkey % 9 WHEN 0 THEN 'forest' WHEN 1 THEN 'construction' WHEN 2 THEN 'residential' END AS landuse,
         CASE p_partkey % 7 WHEN 0 THEN 'apartments' WHEN 1 THEN 'commercial' WHEN 2 THEN 'abandoned' WHEN 3 THEN 'yes' END AS building,
         CASE p_partkey % 11 WHEN 0 THEN 'vacant' WHEN 1 THEN 'bakery' END AS shop, CASE p_partkey % 5 WHEN 0 THEN 'parking' WHEN 1 THEN 'cafe' END AS amenity,
-        CASE p_partkey % 6 WHEN 0 THEN 'surface' WHEN 1 THEN 'garage_boxes' END AS parking, CASE p_partkey % 13 WHEN 0 THEN 'yes' END AS abandoned, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS name,
+        CASE p_partkey % 6 WHEN 0 THEN 'surface' WHEN 1 THEN 'garage_boxes' END AS parking, CASE p_partkey % 13 WHEN 0 THEN 'yes' END AS abandoned,
+        CASE p_partkey % 17 WHEN 0 THEN 'park' WHEN 1 THEN 'nature_reserve' END AS leisure, CASE p_partkey % 19 WHEN 0 THEN 'wood' WHEN 1 THEN 'scrub' END AS nature, CASE p_partkey % 23 WHEN 0 THEN 'vacant' END AS office,
+        CASE p_partkey % 29 WHEN 0 THEN 'bus_stop' WHEN 1 THEN 'primary_link' WHEN 2 THEN 'secondary' END AS highway, CASE p_partkey % 58 WHEN 0 THEN 'bus_stop' END AS disused_highway, CASE p_partkey % 37 WHEN 0 THEN 'yes' END AS construction,
+        CASE p_partkey % 41 WHEN 0 THEN 'yes' END AS abandoned_building, CASE p_partkey % 43 WHEN 0 THEN 'house' END AS disused_building, CASE p_partkey % 47 WHEN 0 THEN 'yes' END AS disused, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS name,
         CASE WHEN p_partkey % 4 = 1 THEN 55.5e0 + (p_partkey % 500) / 1e3 END AS c_lat, CASE WHEN p_partkey % 4 = 1 THEN 37.3e0 + (p_partkey % 700) / 1e3 END AS c_lon,
         CASE WHEN p_partkey % 4 > 1 THEN 55.4e0 + (p_partkey % 700) / 1e3 END AS e_lat, CASE WHEN p_partkey % 4 > 1 THEN 37.3e0 + (p_partkey % 500) / 1e3 END AS e_lon FROM {part}""",
     "annotations": """SELECT concat('crops/', doc_id % 5000, '.jpg') AS image_path, CASE quality * 2 + toxic WHEN 0 THEN 'active_urban' WHEN 1 THEN 'meadow' WHEN 2 THEN 'natural_areas' ELSE 'frozen_construction' END AS vlm_label,

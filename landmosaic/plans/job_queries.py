@@ -10,9 +10,9 @@ from ..sources import tables
 from ..streaming import jobs as streams
 from . import jobs
 from .bindings import bound
-from .queries import _HC, _prototypes, _rank, _ring, query
+from .queries import _CLASS_OF_TAGS, _DEFAULT_SUB, _EDGES, _HC, _KEYS_SQL, _LABEL, _LINKS, _SUBLABEL, _bear, _dist, _elements, _finer, _of, _placed, _prototypes, _rank, _ring, dims, query
 
-NEAR = 20  # bits, for the embeddings that stand for images here
+NEAR = 24  # bits, for the embeddings that stand for images here
 
 # ---------------------------------------------------------------- cleaning
 
@@ -68,12 +68,17 @@ def a20_drop_report(spark, sf):
 # ---------------------------------------------------------------- jobs
 
 
-@query(f"""WITH r AS (SELECT object_id, {_rank('class_name', 'object_id')} AS r, count(*) OVER (PARTITION BY class_name) AS n FROM objects),
-    s AS (SELECT object_id, CASE WHEN r <= least(round_even(n * 0.2e0, 0), CASE WHEN n > 1 THEN n - 1 ELSE n END) THEN 'val' ELSE 'train' END AS split FROM r)
-    SELECT c.crop_id, c.class_name, s.split, row_number() OVER (ORDER BY c.class_name, c.object_id, c.image_path, c.crop_id) - 1 AS idx FROM crops c JOIN s ON c.object_id = s.object_id""")
+@query(f"""WITH e AS (SELECT object_id, season, CASE WHEN season = 'autumn' THEN NULL ELSE arg_min(lat, pano_id) END AS y, arg_min(lon, pano_id) AS x FROM panoramas GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY season) AS k FROM e),
+    s AS (SELECT pano_id, object_id, CASE WHEN pano_id % 3 > 0 THEN season END AS season, concat('data/', pano_id, '/panorama', CASE WHEN pano_id % 3 > 0 THEN concat('_', season) ELSE '' END, '.jpg') AS source_path FROM panoramas),
+    q AS (SELECT s.pano_id, o.class_name, s.object_id, s.season, s.source_path, o.lat AS la, o.lon AS lo, CASE WHEN q.y IS NOT NULL THEN q.y ELSE o.lat END AS y, CASE WHEN q.y IS NOT NULL THEN q.x ELSE o.lon END AS x FROM s JOIN objects o ON s.object_id = o.object_id LEFT JOIN f q ON q.object_id = s.object_id AND CASE WHEN s.season IS NULL THEN q.k = 1 ELSE q.season = s.season END),
+    r AS (SELECT object_id, {_rank('class_name', 'object_id')} AS r, count(*) OVER (PARTITION BY class_name) AS n FROM objects), v AS (SELECT object_id, CASE WHEN r <= least(round_even(n * 0.2e0, 0), CASE WHEN n > 1 THEN n - 1 ELSE n END) THEN 'val' ELSE 'train' END AS split FROM r),
+    i AS (SELECT q.*, split, row_number() OVER (ORDER BY class_name, q.object_id, coalesce(season, ''), source_path) - 1 AS idx FROM q JOIN v ON q.object_id = v.object_id)
+    SELECT source_path, split, idx, concat(split, '/', class_name, '/', object_id, '_', coalesce(season, 'default'), '_', printf('%04d', idx), '.jpg') AS image_path, round_even({_dist('y', 'x', 'la', 'lo')}, 2) AS distance_m, {_dist('y', 'x', 'la', 'lo')} >= 2 AS has_bearing FROM i""")
 def g1_prepare_split(spark, sf):
-    r = jobs.prepared(bound(spark, sf, "objects"), bound(spark, sf, "crops"))
-    return r.select("crop_id", "class_name", "split", F.col("idx").cast("long").alias("idx"))
+    p = bound(spark, sf, "panoramas")
+    name = F.concat(F.lit("data/"), "pano_id", F.lit("/panorama"), F.when(F.col("pano_id") % 3 > 0, F.concat(F.lit("_"), "season")).otherwise(""), F.lit(".jpg"))
+    r = jobs.prepared(_placed(spark, sf), p.select("object_id", name.alias("source_path")))
+    return r.select("source_path", "split", F.col("idx").cast("long").alias("idx"), "image_path", F.col("region.distance_m_approx").alias("distance_m"), F.col("region.bearing_geographic_deg").isNotNull().alias("has_bearing"))
 
 
 _J1 = "c AS (SELECT image_path, arg_max(class_name, seq) AS osm_label, arg_max(object_id, seq) AS object_id FROM crops GROUP BY 1), j AS (SELECT a.image_path, vlm_label AS class_name, osm_label, object_id FROM annotations a JOIN c ON a.image_path = c.image_path WHERE vlm_label <> 'meadow' AND coalesce(vlm_confident, true))"
@@ -84,6 +89,19 @@ def g3_relabel_build(spark, sf):
     return jobs.relabel_build(bound(spark, sf, "crops"), bound(spark, sf, "annotations"))
 
 
+_REASON = "CASE WHEN vlm_label NOT IN ('natural_areas', 'low_density_degraded', 'underused_infrastructure', 'frozen_construction', 'active_construction', 'active_urban') THEN 'bad_label' WHEN NOT coalesce(vlm_confident, true) THEN 'unsure' WHEN c.image_path IS NULL THEN 'no_crop_record' END"
+
+
+@query(f"""WITH {_J1}, o AS (SELECT DISTINCT object_id FROM j), r AS (SELECT object_id, {_rank('', 'object_id')} AS r, count(*) OVER () AS n FROM o), b AS (SELECT j.class_name, osm_label, CASE WHEN r <= floor(n * 0.2e0) THEN 'val' ELSE 'train' END AS split FROM j JOIN r ON j.object_id = r.object_id),
+    k AS (SELECT {_REASON} AS reason FROM annotations a LEFT JOIN c ON a.image_path = c.image_path), z AS (SELECT split, name FROM (SELECT DISTINCT split FROM b), (SELECT unnest(['natural_areas', 'low_density_degraded', 'underused_infrastructure', 'frozen_construction', 'active_construction', 'active_urban']) AS name))
+    SELECT 'skipped' AS kind, NULL AS split, reason AS key, count(*) AS n, NULL::DOUBLE AS share FROM k WHERE reason IS NOT NULL GROUP BY 3 UNION ALL SELECT 'rows', z.split, z.name, count(b.split), NULL FROM z LEFT JOIN b ON b.split = z.split AND b.class_name = z.name GROUP BY 2, 3
+    UNION ALL SELECT 'agreement', NULL, NULL, count(*), round_even(coalesce(sum(CASE WHEN osm_label = class_name THEN 1e0 ELSE 0 END), 0) / greatest(count(*), 1), 6) FROM b""")
+def g3_relabel_report(spark, sf):
+    crops, labels = bound(spark, sf, "crops"), bound(spark, sf, "annotations")
+    built = tables.kept(jobs.relabel_build(crops, labels), "built")
+    return jobs.relabel_report(crops, labels, built, dims(spark, rules.CLASS_KEYS, "class_name"))
+
+
 @query(f"""WITH r AS (SELECT crop_id, class_name, image_path, {_rank('class_name', 'crop_id')} AS r FROM crops), k AS (SELECT * FROM r WHERE class_name <> 'active_urban' OR r <= 1200), m AS (SELECT crop_id, class_name, image_path, {_rank('class_name', 'crop_id')} AS r, count(*) OVER (PARTITION BY class_name) AS n FROM k),
     o AS (SELECT class_name, image_path, unnest(range(CAST(CASE WHEN n < 2000 THEN (2000 - r) // n + 1 ELSE 1 END AS BIGINT))) AS copy FROM m), w AS (SELECT class_name, 1e0 / count(*) OVER (PARTITION BY image_path) AS w FROM o) SELECT class_name, count(*) AS n, round_even(sum(w), 4) AS weight FROM w GROUP BY 1""")
 def g4_balance(spark, sf):
@@ -106,31 +124,64 @@ def g6_heuristic_fill(spark, sf):
     return jobs.heuristic_filled(bound(spark, sf, "parcels")).select("parcel_key", "class_ui", "subclass_ui", "filled")
 
 
-_ELIGIBLE = "WITH e AS (SELECT oid, row_number() OVER (ORDER BY oid) AS r FROM parcels WHERE trim(class_ui) = '' OR trim(subclass_ui) = '' OR trim(class_ui) = 'Категории нет'), t"
+_VOTES = f"v AS (SELECT *, row_number() OVER (PARTITION BY parcel_key ORDER BY view_index) AS r FROM votes), s AS (SELECT parcel_key, {_of('view_index % 6', dict(enumerate(_LABEL)))} AS key, confidence AS q, view_index FROM v WHERE r <= 5), t AS (SELECT parcel_key, key, round_even(sum(q * q), 9) AS score, avg(q) AS mean, min(view_index) AS f FROM s GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY parcel_key ORDER BY score DESC, f) AS k FROM t), winner AS (SELECT concat('p', parcel_key) AS parcel_key, key FROM b WHERE k = 1 AND mean >= 0.28)"
+
+
+def _decided(mode: str, fallback: bool, most: int) -> str:
+    """SQL for a run of the parcel classification: what becomes of each parcel."""
+    weak = "CASE WHEN {0} THEN {1} ELSE {2} END".format("true" if fallback and mode != "ml" else "false", "{text}", "{weak}")
+    ml = "false" if mode == "heuristic" else "key IS NOT NULL"
+    first = "NOT amb" if mode == "smart" else "false"
+
+    def case(old, none, text, vote, low):
+        return f"CASE WHEN NOT sel THEN {old} WHEN NOT pano THEN {none} WHEN {first} THEN {text} WHEN {ml} THEN {vote} ELSE {weak.format(text=text, weak=low)} END"
+
+    finer = _finer("key", _of("key", _SUBLABEL))
+    return f"""{_HC.replace('WITH c AS', f'WITH {_VOTES}, c AS')}, e AS (SELECT oid, row_number() OVER (ORDER BY oid) AS r FROM parcels WHERE trim(class_ui) = '' OR trim(subclass_ui) = '' OR trim(class_ui) = 'Категории нет'),
+    d AS (SELECT p.*, winner.key, coalesce(e.r <= {most}, false) AS sel, contains(lower(photos_ui), 'll=') AS pano, contains(lower(generated_land_use), 'просто зелень') OR contains(lower(generated_land_use), 'прочие нежилые') AS amb FROM p LEFT JOIN e ON p.oid = e.oid LEFT JOIN winner ON winner.parcel_key = p.parcel_key),
+    done AS (SELECT oid, {case('class_ui', "'Категории нет'", 'cls', _of('key', _LABEL), 'class_ui')} AS class_ui, {case('subclass_ui', "''", 'sub', finer, 'subclass_ui')} AS subclass_ui,
+    {case('panorama_status_ui', "'Нет панорамы'", "'Панорама доступна'", "'Панорама доступна'", "'ML: низкая уверенность'")} AS panorama_status_ui, {case('NULL', "'no_panorama'", "'heuristic'", "'ml'", "'ml_low_confidence'")} AS outcome FROM d)"""
 
 
-@query(f"""{_HC.replace('WITH t', _ELIGIBLE)}, d2 AS (SELECT p.*, coalesce(e.r <= 500, false) AS sel, contains(lower(photos_ui), 'll=') AS pano, contains(lower(generated_land_use), 'просто зелень') OR contains(lower(generated_land_use), 'прочие нежилые') AS amb FROM p LEFT JOIN e ON p.oid = e.oid)
-    SELECT oid, CASE WHEN NOT sel THEN class_ui WHEN NOT pano THEN 'Категории нет' WHEN NOT amb THEN cls ELSE class_ui END AS class_ui, CASE WHEN NOT sel THEN subclass_ui WHEN NOT pano THEN '' WHEN NOT amb THEN sub ELSE subclass_ui END AS subclass_ui,
-    CASE WHEN NOT sel THEN panorama_status_ui WHEN NOT pano THEN 'Нет панорамы' WHEN NOT amb THEN 'Панорама доступна' ELSE 'ML: низкая уверенность' END AS panorama_status_ui, CASE WHEN sel THEN CASE WHEN NOT pano THEN 'no_panorama' WHEN NOT amb THEN 'heuristic' ELSE 'ml_low_confidence' END END AS outcome FROM d2""")
+def _classified(spark, sf, mode, fallback, most):
+    key = F.element_at(F.array(*map(F.lit, rules.CLASS_KEYS)), (F.col("view_index") % 6 + 1).cast("int"))
+    votes = bound(spark, sf, "votes").select(F.concat(F.lit("p"), F.col("parcel_key").cast("string")).alias("parcel_key"), "view_index", key.alias("class_key"), "confidence")
+    return jobs.classified(bound(spark, sf, "parcels"), votes, mode=mode, fallback=fallback, max_rows=most)
+
+
+@query(f"{_decided('smart', False, 500)} SELECT oid, class_ui, subclass_ui, panorama_status_ui, outcome FROM done")
 def g7_parcel_classification(spark, sf):
-    """No view of these parcels has a vote, so ambiguous texts end with low confidence."""
-    votes = bound(spark, sf, "votes").withColumn("parcel_key", F.concat(F.lit("none"), "parcel_key"))
-    return jobs.classified(bound(spark, sf, "parcels"), votes).select("oid", "class_ui", "subclass_ui", "panorama_status_ui", "outcome")
+    return _classified(spark, sf, "smart", False, 500).select("oid", "class_ui", "subclass_ui", "panorama_status_ui", "outcome")
 
 
-@query()
+@query(f"{_decided('ml+heuristic', True, 2000)} SELECT oid, class_ui, subclass_ui, panorama_status_ui, outcome FROM done")
 def g7_parcel_classification_by_votes(spark, sf):
-    votes = bound(spark, sf, "votes").select(F.concat(F.lit("p"), F.col("parcel_key")).alias("parcel_key"), "view_index", F.element_at(F.array(*map(F.lit, rules.CLASS_KEYS)), (F.col("view_index") % 6 + 1).cast("int")).alias("class_key"), "confidence")
-    return jobs.classified(bound(spark, sf, "parcels"), votes, mode="ml+heuristic", fallback=True, max_rows=2000)
+    return _classified(spark, sf, "ml+heuristic", True, 2000).select("oid", "class_ui", "subclass_ui", "panorama_status_ui", "outcome")
+
+
+@query(f"{_decided('ml', False, 1500)} SELECT oid, class_ui, subclass_ui, panorama_status_ui, outcome FROM done")
+def g7_parcel_classification_by_votes_alone(spark, sf):
+    return _classified(spark, sf, "ml", False, 1500).select("oid", "class_ui", "subclass_ui", "panorama_status_ui", "outcome")
+
+
+@query(f"""{_decided('ml', False, 1500)}, o AS (SELECT outcome FROM done WHERE outcome IS NOT NULL UNION ALL SELECT 'skipped' FROM done WHERE outcome = 'ml_low_confidence')
+    SELECT k.outcome, count(o.outcome) AS n FROM (SELECT unnest(['heuristic', 'ml', 'ml_low_confidence', 'no_panorama', 'skipped']) AS outcome) k LEFT JOIN o ON o.outcome = k.outcome GROUP BY 1""")
+def a18_run_statistics(spark, sf):
+    return metrics.run_statistics(_classified(spark, sf, "ml", False, 1500))
 
 
 @query()
 def g8_linear_probe(spark, sf):
-    s = bound(spark, sf, "samples").select(F.col("pixels").alias("features"), "class_id", "split", F.lit(1.0).alias("sample_weight"))
-    return jobs.probe_grid(s, 10, decays=(0.001, 0.05, 0.3), iterations=30)
+    s = bound(spark, sf, "samples").select("seq", F.col("pixels").alias("features"), "class_id", "split", F.lit(1.0).alias("sample_weight"))
+    grid = tables.kept(jobs.probe_grid(s, 10, iterations=30), "grid")
+    best = jobs.best_probe(grid).select("decay", F.lit(True).alias("is_best"))
+    return grid.join(F.broadcast(best), "decay", "left").withColumn("is_best", F.coalesce("is_best", F.lit(False)))  # one row
 
 
-@query()
+@query(f"""{_HC}, k AS (SELECT parcel_key, {_KEYS_SQL} AS class_key, cls FROM p), e AS (SELECT parcel_key, class_key, cls <> {_of('class_key', _LABEL)} AS is_error FROM k WHERE class_key IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY class_key ORDER BY is_error DESC, md5(concat('42|', parcel_key)), parcel_key) AS r FROM e), a AS (SELECT parcel_key, class_key, is_error FROM r WHERE r <= 41), q AS (SELECT parcel_key, class_key, is_error, {_rank('', 'parcel_key', '42-top')} AS t FROM r WHERE r > 41),
+    u AS (SELECT *, 0 AS top FROM a UNION ALL SELECT parcel_key, class_key, is_error, 1 FROM q WHERE t <= 250 - (SELECT count(*) FROM a)), o AS (SELECT *, row_number() OVER (ORDER BY top, list_position({list(_LABEL)}, class_key), md5(concat('42|', parcel_key)), parcel_key) AS j FROM u),
+    f AS (SELECT *, {_rank('', 'parcel_key')} AS m, count(*) OVER () AS n FROM o WHERE j <= 250) SELECT parcel_key, class_key, is_error, CASE WHEN m <= greatest(1, floor(n * 0.2e0)) THEN 'val' ELSE 'train' END AS split FROM f""")
 def g9_feedback_dataset(spark, sf):
     return jobs.feedback(bound(spark, sf, "parcels"))
 
@@ -147,40 +198,54 @@ def g11_error_report(spark, sf):
     return p.where("truth <> predicted").groupBy("truth", "predicted").agg(F.count("*").alias("n"), F.min("example").alias("example"))
 
 
-@query()
+@query(rf"""WITH {_CLASS_OF_TAGS}, c AS (SELECT id, type, class_name, coalesce(name, landuse, leisure, class_name) AS name, coalesce(CASE WHEN c_lon IS NOT NULL THEN c_lat END, CASE WHEN e_lon IS NOT NULL THEN e_lat END) AS lat, coalesce(CASE WHEN c_lat IS NOT NULL THEN c_lon END, CASE WHEN e_lat IS NOT NULL THEN e_lon END) AS lon FROM tagged),
+    k AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY id) AS r FROM c WHERE lat BETWEEN 55.5 AND 55.95 AND lon BETWEEN 37.35 AND 37.85), o AS (SELECT * FROM k WHERE r <= 60),
+    n AS (SELECT o.*, p.pano_id, p.season, p.ts, round_even({_dist('o.lat', 'o.lon', 'p.lat', 'p.lon')}, 6) AS d FROM o JOIN panoramas p ON p.lat BETWEEN o.lat - 6e-3 AND o.lat + 6e-3 AND p.lon BETWEEN o.lon - 12e-3 AND o.lon + 12e-3 WHERE {_dist('o.lat', 'o.lon', 'p.lat', 'p.lon')} <= 500),
+    b AS (SELECT *, row_number() OVER (PARTITION BY class_name, id, season ORDER BY d, ts DESC, pano_id) AS s FROM n), f AS (SELECT *, row_number() OVER (PARTITION BY class_name, id ORDER BY d, season) AS j FROM b WHERE s = 1)
+    SELECT replace(concat(class_name, '_', type, id, '_', printf('%.6f', lat), '_', printf('%.6f', lon), '_', substr(trim(regexp_replace(name, '[^\p{{L}}\p{{N}} _-]', '', 'g')), 1, 40)), ' ', '_') AS item_id, class_name, season, pano_id, CAST(ts AS DATE)::VARCHAR AS capture_date FROM f WHERE j <= 4""")
 def g12_season_collection(spark, sf):
-    return jobs.season_collection(bound(spark, sf, "objects"), bound(spark, sf, "panoramas"), 3.01, 200)
+    p = bound(spark, sf, "panoramas").withColumn("ts", F.timestamp_seconds(F.unix_timestamp("ts")))
+    return jobs.season_collection(_elements(spark, sf), p, 500.0, 60, (55.5, 37.35, 55.95, 37.85))
 
 
 # ---------------------------------------------------------------- points, boxes, images
 
 
-@query()
+@query("SELECT parcel_key, round_even(lon, 6) AS lon, round_even(lat, 6) AS lat FROM parcels")
 def f20_interior_point(spark, sf):
     p = bound(spark, sf, "parcels").select("parcel_key", _ring().alias("ring"))
     return geo.interior_points(p).select("parcel_key", F.bround("i_lon", 6).alias("lon"), F.bround("i_lat", 6).alias("lat"))
 
 
-@query()
+@query(f"WITH {_EDGES}, {_LINKS} SELECT parcel_key, lon, lat, bearing_deg FROM links UNION ALL SELECT parcel_key, lon, lat, bearing_deg FROM points WHERE k = 0 AND parcel_key NOT IN (SELECT parcel_key FROM links)")
 def f24_one_view_point(spark, sf):
     p = bound(spark, sf, "parcels")
     first = F.get(text.photo_coords(F.col("photos_ui")), F.lit(0))
     link = F.when(first.isNotNull(), F.struct(first["lon"].alias("lon"), first["lat"].alias("lat"), F.bround(geo.bearing(first["lat"], first["lon"], F.col("lat"), F.col("lon")), 1).alias("bearing_deg")))
     edge = F.get(F.transform(geo.merged_points(geo.boundary_points(_ring(), F.col("lat"), F.col("lon"))), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), x["bearing_deg"].alias("bearing_deg"))), F.lit(0))
-    return p.select("parcel_key", F.coalesce(link, edge).alias("p")).select("parcel_key", "p.*")
+    return p.select("parcel_key", F.coalesce(link, edge).alias("p")).select("parcel_key", "p.*").withColumn("bearing_deg", F.pmod("bearing_deg", F.lit(360.0)))
 
 
-@query()
+@query(f"""WITH e AS (SELECT parcel_key, oid, side, lat, lon, unnest([0, 1, 2, 3]) AS i FROM parcels), m AS (SELECT parcel_key, i, lat + [-1, 0, 1, 0][i + 1] * side AS my, lon + [0, 1, 0, -1][i + 1] * side AS mx, lat + [2e0, -3e0, 0.2e0, 0.1e0][oid % 4 + 1] * side AS y, lon + [0.1e0, 0.2e0, 3e0, -2e0][oid % 4 + 1] * side AS x FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY parcel_key ORDER BY {_dist('y', 'x', 'my', 'mx')}, i) AS k FROM m) SELECT parcel_key, 0 AS point_index, i AS edge_index FROM r WHERE k = 1""")
 def f25_nearest_edge(spark, sf):
     p = bound(spark, sf, "parcels").withColumn("ring", _ring())
     edges = p.select("parcel_key", F.explode(F.sequence(F.lit(0), F.size("ring") - 2)).alias("edge_index"), "ring")
     at = lambda k, c: (F.get("ring", F.col("edge_index"))[c] + F.get("ring", F.col("edge_index") + 1)[c]) / 2
     edges = edges.select("parcel_key", "edge_index", at(0, "lat").alias("mid_lat"), at(0, "lon").alias("mid_lon"))
-    points = p.select("parcel_key", F.lit(0).alias("point_index"), (F.col("lat") + 2 * F.col("side")).alias("lat"), F.col("lon"))
+    off = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("oid") % 4 + 1).cast("int")) * F.col("side")
+    points = p.select("parcel_key", F.lit(0).alias("point_index"), (F.col("lat") + off(2.0, -3.0, 0.2, 0.1)).alias("lat"), (F.col("lon") + off(0.1, 0.2, 3.0, -2.0)).alias("lon"))
     return joins.nearest_edge(points, edges)
 
 
-@query()
+_Q = lambda c: f"printf('<loc%04d>', greatest(0, least(1023, CAST(round_even(({c}) * 1023, 0) AS INT))))"
+_BACK = lambda c: f"round_even(greatest(0, least(1023, CAST(round_even(({c}) * 1023, 0) AS INT))) / 1023e0, 4)"
+
+
+@query(f"""WITH k AS (SELECT oid, {list(_LABEL)}[oid % 6 + 1] AS class_name, (oid % 40) / 1e2 AS x0, (oid % 30) / 1e2 AS y0, (oid % 40 + 40) / 1e2 AS x1, (oid % 30 + 45) / 1e2 AS y1, (oid % 40 + 4) / 1e2 AS u0, (oid % 30 + 4) / 1e2 AS v0, (oid % 40 + 44) / 1e2 AS u1 FROM parcels),
+    b AS (SELECT oid, class_name, concat(class_name, ' ', {_Q('y0')}, {_Q('x0')}, {_Q('y1')}, {_Q('x1')}) AS suffix, CASE WHEN oid % 4 = 0 THEN 'natural_areas' ELSE class_name END AS said, oid % 5 > 0 AS boxed, {_BACK('x0')} AS x0, {_BACK('y0')} AS y0, {_BACK('x1')} AS x1, {_BACK('y1')} AS y1, {_BACK('u0')} AS u0, {_BACK('v0')} AS v0, {_BACK('u1')} AS u1 FROM k),
+    i AS (SELECT *, greatest(0, least(x1, u1) - greatest(x0, u0)) * greatest(0, y1 - greatest(y0, v0)) AS a FROM b)
+    SELECT class_name, round_even(avg(CASE WHEN said = class_name THEN 1e0 ELSE 0 END), 4) AS accuracy, round_even(avg(CASE WHEN boxed THEN a / ((x1 - x0) * (y1 - y0) + (u1 - u0) * (y1 - v0) - a) END), 6) AS mean_iou, count(*) AS support, max(concat('{{"oid":', oid, ',"class_name":"', class_name, '","suffix":"', suffix, '"}}')) AS example FROM i GROUP BY 1""")
 def a16_f12_detection(spark, sf):
     """Class accuracy and mean overlap of answers with location tokens, and a training record of each."""
     o = F.col("oid")
@@ -191,9 +256,18 @@ def a16_f12_detection(spark, sf):
     return p.groupBy("class_name").agg(metrics.accuracy(F.col("said") == F.col("class_name")).alias("accuracy"), F.bround(F.avg(F.when(F.col("b").isNotNull(), text.box_iou(F.col("a"), F.col("b")))), 6).alias("mean_iou"), F.count("*").alias("support"), F.max(F.to_json(F.struct("oid", "class_name", "suffix"))).alias("example"))
 
 
+@query("""SELECT seq, concat('view_h', h, '_p0_f90_8x6.jpg') AS name, repeat(printf('%02X', CAST(((CAST(round_even(CAST(pixels[1] AS DOUBLE) * 40, 0) AS INT) + 128) % 256 + 256) % 256 AS INT)), 144) AS rgb FROM samples, unnest([0, 90, 180, 270]) AS v(h)""")
+def f33_view_grid(spark, sf):
+    """The default grid of named views, of equirectangular images of one colour each, of which all views have that colour."""
+    colour = F.pmod(F.bround(F.element_at("pixels", 1).cast("double") * 40, 0).cast("int") + 128, F.lit(256)).cast("long")
+    s = bound(spark, sf, "samples").select(F.col("seq").cast("string").alias("image_path"), F.to_binary(F.repeat(F.lpad(F.hex(colour), 2, "0"), 16 * 8 * 3), F.lit("hex")).alias("rgb"), F.lit(16).alias("width"), F.lit(8).alias("height"))
+    views = vectors.perspective_views(s, [0.0, 90.0, 180.0, 270.0], [0.0], 90.0, 8, 6)
+    return views.select(F.col("image_path").cast("long").alias("seq"), text.view_name("view", F.col("heading"), F.col("pitch"), 90.0, 8, 6).alias("name"), F.hex("rgb").alias("rgb"))
+
+
 @query()
-def f32_f33_views(spark, sf):
-    """Named views of equirectangular images (made of embeddings), by their mean and spread."""
+def f32_views(spark, sf):
+    """Views of equirectangular images made of embeddings, by their number, bytes and different pictures."""
     s = bound(spark, sf, "samples").select("image_path", F.to_binary(F.concat_ws("", F.transform("pixels", lambda x: F.repeat(F.lpad(F.hex(F.pmod((x * 40 + 128).cast("int"), F.lit(256)).cast("long")), 2, "0"), 6))), F.lit("hex")).alias("rgb"), F.lit(16).alias("width"), F.lit(8).alias("height"))
     views = vectors.perspective_views(s, [0.0, 90.0, 180.0, 270.0], [0.0], 90.0, 8, 6)
     return views.groupBy("heading", "pitch").agg(F.count("*").alias("views"), F.sum(F.length("rgb")).alias("bytes"), F.count_distinct(F.md5("rgb")).alias("different"))
@@ -202,28 +276,27 @@ def f32_f33_views(spark, sf):
 # ---------------------------------------------------------------- sources and sinks
 
 
-@query("SELECT object_id AS id, class_name AS class, lat, lon FROM objects")
+@query("SELECT object_id AS id, class_name AS class, lat, lon FROM objects WHERE seq % 50 > 0")
 def s1_object_metadata(spark, sf):
+    """Objects as JSON arrays over several lines, below a folder for each class; some have no id."""
     path = tables.work_path(spark, "objects")
-    rows = bound(spark, sf, "objects").select(F.col("object_id").alias("id"), "name", F.col("class_name").alias("class"), F.struct("lat", "lon").alias("coordinates"), F.col("class_name").alias("folder"))
-    rows.withColumn("folder", F.col("class")).write.partitionBy("folder").json(path)
-    got = spark.read.schema(tables.OBJECT).option("recursiveFileLookup", True).json(path).withColumn("folder_class", F.regexp_extract("_metadata.file_path", "folder=([^/]+)", 1)).where("id IS NOT NULL")
-    if not tables.misplaced(got).isEmpty():
-        raise ValueError("objects in a folder of another class")
-    return got.select("id", "class", "coordinates.lat", "coordinates.lon")
+    o = bound(spark, sf, "objects")
+    meta = F.struct(F.when(F.col("seq") % 50 > 0, F.col("object_id")).alias("id"), "name", F.col("class_name").alias("class"), F.struct("lat", "lon").alias("coordinates"))
+    files = o.groupBy(F.col("class_name").alias("folder"), F.floor(F.col("seq") / 500).alias("_file")).agg(F.to_json(F.collect_list(meta)).alias("value"))  # 500 objects at most
+    files.select("folder", F.regexp_replace("value", r"\},\{", "},\n{").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    return tables.checked_objects(tables.read_objects(spark, path)).select("id", "class", "coordinates.lat", "coordinates.lon")
 
 
 @query("SELECT split, image_path, class_name FROM samples")
 def s2_dataset_document(spark, sf):
+    """Documents, each with two lists of samples, as JSON arrays in files of their own."""
     path = tables.work_path(spark, "document")
     s = bound(spark, sf, "samples")
     sample = F.struct("image_path", "class_name", F.col("class_id").cast("int").alias("class_id"), "object_id")
-    part = lambda v: F.collect_list(F.when(F.col("split") == v, sample))
-    docs = s.groupBy("object_id").agg(part("train").alias("train_samples"), part("val").alias("val_samples")).drop("object_id")  # a document per object
-    docs.write.json(path)
-    got = spark.read.schema(tables.DOCUMENT).json(path)
-    rows = [got.select(F.lit(v).alias("split"), F.explode(f"{v}_samples").alias("s")).select("split", "s.image_path", "s.class_name") for v in ("train", "val")]
-    return rows[0].unionByName(rows[1])
+    part = lambda v: F.collect_list(F.when(F.col("split") == v, sample)).alias(f"{v}_samples")
+    docs = s.groupBy(F.floor(F.col("seq") / 1000).alias("_file")).agg(part("train"), part("val"))  # 1 000 samples at most
+    docs.select(F.to_json(F.array(F.struct("train_samples", "val_samples"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return tables.read_document(spark, path).select("split", "image_path", "class_name")
 
 
 @query("SELECT image_path, vlm_label, vlm_confident FROM annotations")
@@ -235,11 +308,12 @@ def s3_s5_labels(spark, sf):
     return tables.read_labels(spark, path).select("image_path", "vlm_label", "vlm_confident")
 
 
-@query("SELECT split, class_name, count(*) AS n FROM samples GROUP BY 1, 2")
+@query("SELECT split, class_name, count(*) AS n FROM samples GROUP BY ROLLUP (split, class_name) UNION ALL SELECT split, 'absent', 0 FROM (SELECT DISTINCT split FROM samples)")
 def s4_written_dataset(spark, sf):
     path = tables.work_path(spark, "dataset")
-    tables.write_dataset(bound(spark, sf, "samples").drop("pixels"), path)
-    return spark.read.parquet(path).groupBy("split", "class_name").agg(F.count("*").alias("n"))
+    s = bound(spark, sf, "samples").drop("pixels")
+    tables.write_dataset(s, s.select("class_name").distinct().unionByName(dims(spark, ["absent"], "class_name")), path)
+    return spark.read.schema("split string, class_name string, n long").json(f"{path}/statistics")
 
 
 @query('SELECT oid, generated_land_use, oid AS "class_ID участка", class_ui AS "class_Класс", subclass_ui AS "class_Подкласс", class_corrected_ui AS "class_Откорректированный класс", subclass_corrected_ui AS "class_Откорректированный подкласс", photos_ui AS "class_Снимки", generated_land_use AS "class_Описание (исходное)", panorama_status_ui AS panorama_status FROM parcels')
@@ -247,18 +321,25 @@ def s6_export(spark, sf):
     return tables.exported(bound(spark, sf, "parcels"))
 
 
-@query("SELECT CAST(oid AS VARCHAR) AS oid, parcel_key, nullif(generated_land_use, '') AS generated_land_use FROM parcels")
+@query("""SELECT parcel_key, nullif(class_ui, '') AS class_ui, nullif(subclass_ui, '') AS subclass_ui, nullif(class_corrected_ui, '') AS class_corrected_ui, nullif(subclass_corrected_ui, '') AS subclass_corrected_ui, NULL::VARCHAR AS panorama_status_ui, nullif(photos_ui, '') AS photos_ui, concat('"', generated_land_use, '"; ') AS generated_land_use, CASE WHEN oid % 3 = 0 THEN CAST(oid AS VARCHAR) END AS cadastral_number FROM parcels""")
 def s7_csv_report(spark, sf):
+    """The nine columns of the report, written and read back; text with quotes and semicolons in it."""
     path = tables.work_path(spark, "report")
-    tables.write_report(bound(spark, sf, "parcels").select("oid", "parcel_key", "generated_land_use"), path)
+    p = bound(spark, sf, "parcels").withColumn("generated_land_use", F.concat(F.lit('"'), "generated_land_use", F.lit('"; '))).withColumn("cadastral_number", F.when(F.col("oid") % 3 == 0, F.col("oid")))
+    tables.write_report(p, path)
     got = spark.read.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').csv(path)
-    return got.withColumn("generated_land_use", F.when(F.col("generated_land_use") != "", F.col("generated_land_use")))
+    return got.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in tables.REPORT])
 
 
-@query()
+@query("""SELECT parcel_key, oid, generated_land_use AS text, CASE WHEN oid % 3 = 0 THEN 1 WHEN oid % 3 = 1 THEN 1 ELSE 0 END AS n_points, 'Point' AS kind, round_even(lon, 6) AS lon, round_even(lat, 6) AS lat, CASE WHEN oid % 3 = 0 THEN round_even(CAST(concat('37.', lpad(CAST(oid % 9000 AS VARCHAR), 4, '0')) AS DOUBLE), 6) WHEN oid % 3 = 1 THEN 37.5e0 END AS first_lon FROM parcels""")
 def s8_features(spark, sf):
+    """Features, and what their JSON says."""
     points = F.transform(text.photo_coords(F.col("photos_ui")), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    return tables.features(bound(spark, sf, "parcels"), ["oid", "generated_land_use", "class_ui", "cadastral_number"], F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")), points)
+    f = tables.features(bound(spark, sf, "parcels"), ["oid", "generated_land_use", "class_ui", "cadastral_number"], F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")), points)
+    said = "type string, properties struct<oid: long, generated_land_use: string>, geometry struct<type: string, coordinates: array<double>>, view_points array<struct<lon: double, lat: double>>"
+    f = f.select("parcel_key", F.from_json("feature", said).alias("f")).where("f.type = 'Feature'")
+    at = lambda i: F.bround(F.element_at("f.geometry.coordinates", i), 6)
+    return f.select("parcel_key", "f.properties.oid", F.col("f.properties.generated_land_use").alias("text"), F.size("f.view_points").alias("n_points"), F.col("f.geometry.type").alias("kind"), at(1).alias("lon"), at(2).alias("lat"), F.bround(F.get("f.view_points", F.lit(0))["lon"], 6).alias("first_lon"))
 
 
 @query("SELECT oid, coalesce(generated_land_use, '') AS generated_land_use, coalesce(class_ui, '') AS class_ui FROM parcels")
@@ -266,10 +347,14 @@ def s9_client_rows(spark, sf):
     return tables.client_rows(bound(spark, sf, "parcels"), ["generated_land_use", "class_ui"])
 
 
-@query("SELECT oid, CAST(oid AS VARCHAR) AS parcel_key, coalesce(generated_land_use, '') AS generated_land_use, coalesce(class_ui, '') AS class_ui, coalesce(photos_ui, '') AS photos_ui, '' AS subclass_corrected_ui FROM parcels")
+@query("""SELECT oid, CAST(oid AS VARCHAR) AS parcel_key, coalesce(generated_land_use, '') AS generated_land_use, CASE WHEN oid % 3 = 0 THEN concat('x', oid) WHEN oid % 7 = 1 THEN '' ELSE concat('B', oid) END AS class_ui, coalesce(photos_ui, '') AS photos_ui, '' AS subclass_corrected_ui, concat('77:', oid) AS cadastral_number,
+    CASE WHEN oid % 3 = 0 THEN NULL WHEN oid % 7 = 1 THEN 'NaN' ELSE concat('B', oid) END AS utt_class FROM parcels""")
 def p1_p3_normalised(spark, sf):
-    p = bound(spark, sf, "parcels").select(F.col("oid").alias("PARCEL_ID"), F.col("generated_land_use").alias("Описание"), F.lit("").alias("land_use"), F.col("class_ui").alias("utt_class"), F.col("photos_ui").alias("снимки"))
-    return tables.normalised(p).select("oid", "parcel_key", "generated_land_use", "class_ui", "photos_ui", "subclass_corrected_ui")
+    """A class column with gaps, filled from an alias that has gaps of its own; other columns stay."""
+    number = F.col("oid").cast("string")
+    other = F.when(F.col("oid") % 3 == 0, None).when(F.col("oid") % 7 == 1, "NaN").otherwise(F.concat(F.lit("B"), number))
+    p = bound(spark, sf, "parcels").select(F.col("oid").alias("PARCEL_ID"), F.col("generated_land_use").alias("Описание"), F.lit("").alias("land_use"), F.when(F.col("oid") % 3 == 0, F.concat(F.lit("x"), number)).otherwise("").alias("class_ui"), other.alias("utt_class"), F.col("photos_ui").alias("снимки"), F.concat(F.lit("77:"), number).alias("cadastral_number"))
+    return tables.normalised(p).select("oid", "parcel_key", "generated_land_use", "class_ui", "photos_ui", "subclass_corrected_ui", "cadastral_number", "utt_class")
 
 
 # ---------------------------------------------------------------- streams
@@ -282,17 +367,15 @@ def t1_label_ingestion(spark, sf):
     for part in (0, 1):  # two runs on the same checkpoint; the second one sees half of the answers again
         answers.where(f"{part} = 1 OR crc32(image_path) % 2 = 0").write.mode("append").parquet(source)
         streams.ingest_answers(spark.readStream.schema(answers.schema).parquet(source), path, checkpoint)
-    return spark.read.parquet(path)
+    return streams.ingested(spark, path).drop("batch")
 
 
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY parcel_key ORDER BY seq DESC) AS r FROM corrections) SELECT p.parcel_key, CASE WHEN l.seq IS NULL THEN p.class_ui ELSE coalesce(l.class_ui, '') END AS class_ui, CASE WHEN l.seq IS NULL THEN p.class_corrected_ui ELSE l.class_corrected_ui END AS class_corrected_ui FROM parcels p LEFT JOIN l ON p.parcel_key = l.parcel_key AND l.r = 1""")
 def t2_correction_stream(spark, sf):
+    """Corrections in three batches; the oldest ones come last, and must not win."""
     source, folder, checkpoint = (tables.work_path(spark, k) for k in ("corrections", "parcels", "stream"))
     c = bound(spark, sf, "corrections")
-    last = c.agg(F.max("seq")).first()[0]
-    for early in (True, False):
-        c.where(f"seq <= {last // 2}" if early else f"seq > {last // 2}").write.mode("append").parquet(source)
-        streams.upsert_corrections(spark.readStream.schema(c.schema).parquet(source), bound(spark, sf, "parcels"), folder, checkpoint)
-    return streams.latest(spark, folder).select("parcel_key", "class_ui", "class_corrected_ui")
-
-
+    for part in (1, 2, 0):
+        c.where(f"seq % 3 = {part}").write.mode("append").parquet(source)
+        streams.upsert_corrections(spark.readStream.schema(c.schema).parquet(source), folder, checkpoint)
+    return streams.latest(bound(spark, sf, "parcels"), folder).select("parcel_key", "class_ui", "class_corrected_ui")

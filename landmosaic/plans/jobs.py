@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules, text, vectors
+from ..functions import geo, rules, text, vectors
 from ..functions.core import is_empty
 from ..operators import joins, metrics, quality, ranking
-from ..sources.tables import kept
+from ..sources.tables import kept, statistics
 
 
-def prepared(objects: DataFrame, crops: DataFrame, ratio: float = 0.2, seed: str = "42") -> DataFrame:
-    """Crops with the split of their object (per class, without leaks) and a stable index."""
+def prepared(objects: DataFrame, files: DataFrame, ratio: float = 0.2, seed: str = "42", fov: float = 90.0) -> DataFrame:
+    """A sample for each panorama file (object_id, source_path) of the objects (object_id, class_name, lat, lon,
+    panoramas_by_season): season, region of view, split of its object (per class, an error if one leaks), index and path."""
+    stem = F.regexp_extract("source_path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    rows = files.join(objects, "object_id").withColumn("season", text.season_from_name(stem))
+    place = geo.capture_position(F.col("panoramas_by_season"), F.col("season"), F.col("lat"), F.col("lon"))
+    rows = rows.withColumn("place", place).withColumn("region", geo.classification_region(F.col("place.lat"), F.col("place.lon"), F.col("lat"), F.col("lon"), fov))
     split = ranking.stratified_split(objects.select("object_id", "class_name"), "class_name", "object_id", ratio, seed).select("object_id", "split")
-    rows = crops.drop("split").join(split, "object_id").select("crop_id", "object_id", "class_name", "split", "image_path")
-    return ranking.indexed(rows, ["class_name", "object_id", "image_path", "crop_id"])
+    rows = rows.join(split, "object_id").select("object_id", "class_name", "season", "split", "source_path", "region").withColumn("_season", F.coalesce("season", F.lit("")))
+    rows = ranking.indexed(kept(rows, "samples"), ["class_name", "object_id", "_season", "source_path"]).drop("_season")
+    name = F.concat("object_id", F.lit("_"), F.coalesce("season", F.lit("default")), F.format_string("_%04d.jpg", F.col("idx").cast("long")))
+    return joins.without_leak(rows.withColumn("image_path", F.concat_ws("/", "split", "class_name", name)), "object_id")
 
 
 def cleaned(samples: DataFrame, std_min: float, near: int, suspect: float) -> DataFrame:
@@ -31,6 +38,18 @@ def relabel_build(crops: DataFrame, labels: DataFrame, ratio: float = 0.2, seed:
     return rows.join(split, "object_id")
 
 
+def relabel_report(crops: DataFrame, labels: DataFrame, built: DataFrame, classes: DataFrame) -> DataFrame:
+    """kind, split, key, n, share: label lines skipped by reason, rows of each split and class (zeros too), and the share of
+    built rows whose new label is the source's."""
+    skipped = joins.relabelled(crops, labels, rules.CLASS_KEYS).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    none = lambda kind: F.lit(None).cast(kind)
+    skipped = skipped.select(F.lit("skipped").alias("kind"), none("string").alias("split"), F.col("reason").alias("key"), "n", none("double").alias("share"))
+    counts = statistics(built, classes).where("class_name IS NOT NULL").select(F.lit("rows").alias("kind"), "split", F.col("class_name").alias("key"), "n", none("double").alias("share"))
+    same = built.agg(F.count("*").alias("n"), F.bround(F.coalesce(F.sum((F.col("osm_label") == F.col("class_name")).cast("double")), F.lit(0.0)) / F.greatest(F.count("*"), F.lit(1)), 6).alias("share"))
+    same = same.select(F.lit("agreement").alias("kind"), none("string").alias("split"), none("string").alias("key"), "n", "share")
+    return skipped.unionByName(counts).unionByName(same)
+
+
 def balanced(rows: DataFrame, majority: str, most: int, least: int, seed: str = "42") -> DataFrame:
     """The majority cut, small classes repeated to the least, and weights of 1 / copies of an image."""
     capped = ranking.cap_class(rows, "class_name", majority, most, "crop_id", seed)
@@ -104,8 +123,9 @@ def hard_cases(parcels: DataFrame, most: int = 60, weight: float = 4.0, seed: st
     return ranking.row_split(some, "parcel_key", 0.15, 2, seed).withColumn("sample_weight", F.lit(weight))
 
 
-def probe_grid(features: DataFrame, n_classes: int, decays: tuple[float, ...] = (0.001, 0.01, 0.05, 0.1, 0.3, 1.0, 3.0), smoothing: float = 0.05, iterations: int = 50) -> DataFrame:
-    """Scores of a multinomial linear head per weight decay: features (features array, class_id, split, sample_weight).
+def probe_grid(features: DataFrame, n_classes: int, decays: tuple[float, ...] = (0.001, 0.01, 0.05, 0.1, 0.3, 1.0, 3.0), smoothing: float = 0.05, iterations: int = 50, cap: int = 35) -> DataFrame:
+    """decay, accuracy, macro_f1, balanced_f1 of a multinomial linear head for each weight decay: features (seq, features array,
+    class_id, split, sample_weight). balanced_f1 is over at most `cap` rows of each class.
 
     Label smoothing is exact by rows: each row goes in once per class, weighted by that class's share of its smoothed label."""
     from pyspark.ml.classification import LogisticRegression
@@ -115,21 +135,41 @@ def probe_grid(features: DataFrame, n_classes: int, decays: tuple[float, ...] =
     rows = features.join(weights, "class_id", "left").withColumn("v", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
     train = rows.where("split = 'train'").withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1)))).withColumn("label", F.col("label").cast("double"))
     share = F.when(F.col("label") == F.col("class_id"), 1 - smoothing + smoothing / n_classes).otherwise(smoothing / n_classes)
-    train = train.withColumn("w", F.col("sample_weight") * F.col("weight") * share).select("v", "label", "w").cache()
-    val = rows.where("split = 'val'").select("class_id", "v")
-    out = None
-    for decay in decays:
+    train = kept(train.withColumn("w", F.col("sample_weight") * F.col("weight") * share).select("v", "label", "w"), "train")
+    val = ranking.exact_rank(rows.where("split = 'val'").select("seq", "class_id", "v"), ["class_id"], "seq", "42").drop("rank_n")
+    val = kept(val, "val")
+    classes = features.sparkSession.range(n_classes).withColumnRenamed("id", "class_id")
+    found = None
+    for decay in decays:  # a few fits, each over the whole table
         model = LogisticRegression(featuresCol="v", labelCol="label", weightCol="w", regParam=decay, maxIter=iterations, family="multinomial", predictionCol="p").fit(train)
-        found = metrics.confusion(model.transform(val).select(F.col("class_id").cast("long").alias("t"), F.col("p").cast("long").alias("p")), "t", "p")
-        scores = metrics.class_scores(found, features.sparkSession.range(n_classes).withColumnRenamed("id", "class_id"))
-        acc = found.agg(F.bround(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("accuracy"))
-        row = acc.crossJoin(metrics.macro(scores)).select(F.lit(decay).alias("decay"), "accuracy", "macro_f1")  # one row each
+        pairs = model.transform(val).groupBy(F.lit(decay).alias("decay"), F.col("class_id").cast("long").alias("truth"), F.col("p").cast("long").alias("predicted")).agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= cap).alias("capped"))
+        found = pairs if found is None else found.unionByName(pairs)
+    found, out = kept(found, "pairs"), None
+    for decay in decays:  # as many rows as pairs of classes
+        mine = found.where(F.col("decay") == decay)
+        acc = mine.agg(F.bround(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("accuracy"))
+        balanced = metrics.macro(metrics.class_scores(mine.select("truth", "predicted", F.col("capped").alias("n")), classes)).select(F.col("macro_f1").alias("balanced_f1"))
+        row = acc.crossJoin(metrics.macro(metrics.class_scores(mine, classes))).crossJoin(balanced).select(F.lit(decay).alias("decay"), "accuracy", "macro_f1", "balanced_f1")  # one row each
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def season_collection(objects: DataFrame, panoramas: DataFrame, metres: float, most: int) -> DataFrame:
-    """The first objects of each class, with the nearest panorama of each season."""
-    some = ranking.first_per_class(objects, "class_name", "seq", most)
+def best_probe(grid: DataFrame, select_by: str = "accuracy") -> DataFrame:
+    """The row of the grid with the best accuracy, macro_f1 or balanced_f1; the smallest decay on ties."""
+    return grid.agg(F.max_by(F.struct(*grid.columns), F.struct(F.col(select_by), -F.col("decay"))).alias("b")).select("b.*")
+
+
+def season_collection(elements: DataFrame, panoramas: DataFrame, metres: float, most: int, box: tuple[float, float, float, float]) -> DataFrame:
+    """Map elements (id, type, tags, c_lat, c_lon, e_lat, e_lon) to the images of a collection: item_id, class_name, season,
+    pano_id, capture_date. Classes by tags, within (south, west, north, east), the first `most` of each class, of each season the
+    nearest panorama."""
+    rows = elements.withColumn("class_name", F.explode(rules.tag_classes(F.col("type"), F.col("tags"))))
+    pair = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.col(a).alias("lat"), F.col(b).alias("lon")))
+    name = F.coalesce(*[F.element_at("tags", F.lit(k)) for k in ("name", "landuse", "leisure")], F.col("class_name"))
+    rows = rows.select("id", "type", "class_name", name.alias("name"), F.coalesce(pair("c_lat", "c_lon"), pair("e_lat", "e_lon")).alias("p")).where("p IS NOT NULL").select("id", "type", "class_name", "name", "p.lat", "p.lon")
+    rows = rows.where(F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
+    some = kept(ranking.first_per_class(rows, "class_name", "id", most).withColumn("object_id", F.concat_ws("/", "class_name", F.col("id").cast("string"))), "items")
     picks = joins.season_picks(joins.nearby(some, panoramas, metres).withColumn("distance_m", F.bround("distance_m", 6)), panoramas)
-    return picks.join(some.select("object_id", "class_name"), "object_id").groupBy("class_name").agg(F.count_distinct("object_id").alias("items"), F.count("*").alias("images"))
+    item = text.safe_item_id(F.col("class_name"), F.col("type"), F.col("id"), F.col("id"), F.col("lat"), F.col("lon"), F.col("name"))
+    rows = picks.join(some.select("object_id", "class_name", item.alias("item_id")), "object_id").join(panoramas.select("pano_id", "ts"), "pano_id")
+    return rows.select("item_id", "class_name", "season", "pano_id", F.date_format(F.timestamp_seconds(F.unix_timestamp("ts")), "yyyy-MM-dd").alias("capture_date"))

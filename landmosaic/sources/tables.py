@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.core import is_empty
+from ..functions.core import fill_if_empty, is_empty
 
 # ---- Fixed values: column aliases and the analysts' column names. ----
 ALIASES = {
@@ -22,6 +22,7 @@ ALIASES = {
 }
 EXPORT = {"oid": "class_ID участка", "class_ui": "class_Класс", "subclass_ui": "class_Подкласс", "class_corrected_ui": "class_Откорректированный класс", "subclass_corrected_ui": "class_Откорректированный подкласс", "photos_ui": "class_Снимки", "generated_land_use": "class_Описание (исходное)", "cadastral_number": "class_Кадастровый номер"}
 EXPORT_ORDER = ["oid", "cadastral_number", "readable_address", "generated_land_use", *EXPORT.values(), "panorama_status", "geometry"]
+REPORT = ["parcel_key", "class_ui", "subclass_ui", "class_corrected_ui", "subclass_corrected_ui", "panorama_status_ui", "photos_ui", "generated_land_use", "cadastral_number"]
 # ---- End of fixed values. ----
 
 OBJECT = "id string, name string, class string, class_id int, coordinates struct<lat: double, lon: double>, panorama struct<has_panorama: boolean, timestamp: bigint>, panoramas_by_season map<string, struct<filename: string, lat: double, lon: double>>"
@@ -49,7 +50,16 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """Object metadata, one JSON file each below a folder per class; rows without id go, and folder_class is the folder's name."""
     rows = spark.read.schema(OBJECT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return rows.withColumn("folder_class", F.element_at(F.split("_metadata.file_path", "/"), -2)).where("id IS NOT NULL")
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    return rows.withColumn("folder_class", F.regexp_replace(folder, "^[^=]*=", "")).where("id IS NOT NULL AND id <> ''")
+
+
+def checked_objects(objects: DataFrame) -> DataFrame:
+    """objects, or an error if one lies in a folder of another class."""
+    wrong = misplaced(objects.where("class IS NOT NULL")).select("id", "class", "folder_class").first()
+    if wrong:
+        raise ValueError(f"object {wrong[0]} of class {wrong[1]} in the folder of {wrong[2]}")
+    return objects
 
 
 def misplaced(objects: DataFrame) -> DataFrame:
@@ -68,8 +78,18 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABEL).json(path)
 
 
-def write_dataset(samples: DataFrame, path: str) -> None:
-    samples.write.partitionBy("split").parquet(path)
+def statistics(samples: DataFrame, classes: DataFrame) -> DataFrame:
+    """split, class_name, n: samples of each class of each split (zero for absent ones), of each split, and of all (nulls)."""
+    counts = samples.groupBy("split", "class_name").agg(F.count("*").alias("n"))
+    keys = classes.select("class_name").crossJoin(F.broadcast(samples.select("split").distinct()))  # two splits
+    counts = keys.join(counts, ["split", "class_name"], "full_outer").select("split", "class_name", F.coalesce("n", F.lit(0)).alias("n"))
+    return counts.rollup("split", "class_name").agg(F.sum("n").alias("n"))
+
+
+def write_dataset(samples: DataFrame, classes: DataFrame, path: str) -> None:
+    """Samples by split, and their statistics."""
+    samples.write.partitionBy("split").parquet(f"{path}/samples")
+    statistics(samples, classes).write.json(f"{path}/statistics")
 
 
 def append_labels(labels: DataFrame, path: str) -> None:
@@ -84,8 +104,9 @@ def exported(parcels: DataFrame) -> DataFrame:
     return out.select(*[f"`{c}`" for c in EXPORT_ORDER if c in out.columns])
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """Semicolons, all cells quoted, quotes doubled."""
+def write_report(parcels: DataFrame, path: str) -> None:
+    """The report's columns in their order, nulls as ""; semicolons, all cells quoted, quotes doubled."""
+    rows = parcels.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in parcels.columns else F.lit("").alias(c) for c in REPORT])
     rows.write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
@@ -112,13 +133,35 @@ def resolve(df: DataFrame, aliases: list[str], prefer_data: bool = False) -> str
 
 
 def normalised(df: DataFrame) -> DataFrame:
-    """parcel_key, oid and the text columns under their own names; missing ones are "". Without an oid the row's number stands for it."""
+    """df with parcel_key, oid and the text columns under their own names; all other columns stay.
+
+    The description is the alias with most values. Of the others each gap is filled from the alias with most values; what a
+    column has of its own stays. Missing columns are "". Without an oid the row's number, from 1, stands for it."""
     from ..operators.ranking import indexed
 
-    names = {c: resolve(df, a, prefer_data=c not in ("oid",)) for c, a in ALIASES.items()}
-    text = [F.coalesce(F.col(f"`{names[c]}`").cast("string"), F.lit("")).alias(c) if names[c] else F.lit("").alias(c) for c in ALIASES if c != "oid"]
-    if names["oid"]:
-        out = df.select(F.expr(f"try_cast(`{names['oid']}` AS BIGINT)").alias("oid"), *text)
+    low = {c.lower(): c for c in df.columns}
+    own = {c: low.get(c) for c in ALIASES}
+    values = {}
+    for name, aliases in ALIASES.items():
+        if name == "oid":
+            continue
+        source = resolve(df, aliases, prefer_data=True)
+        mine = F.col(f"`{own[name]}`").cast("string") if own[name] else F.lit("")
+        if source and source != own[name]:
+            given = F.col(f"`{source}`").cast("string")
+            values[name] = F.coalesce(given, F.lit("")) if name == "generated_land_use" else fill_if_empty(mine, given)
+        else:
+            values[name] = mine
+    oid = resolve(df, ALIASES["oid"])
+    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ALIASES and c.lower() != "parcel_key"]
+    columns = [*rest, *[F.coalesce(v, F.lit("")).alias(c) for c, v in values.items()]]
+    if oid:
+        out = df.select(F.expr(f"try_cast(`{oid}` AS BIGINT)").alias("oid"), *columns)
     else:
-        out = indexed(df.select(F.monotonically_increasing_id().alias("_row"), *text), ["_row"], "oid").drop("_row")
+        out = indexed(df.select(F.monotonically_increasing_id().alias("_row"), *columns), ["_row"], "oid").drop("_row").withColumn("oid", F.col("oid") + 1)
     return out.withColumn("parcel_key", F.col("oid").cast("string"))
+
+
+def without_private(df: DataFrame) -> DataFrame:
+    """df without the columns whose names begin with an underscore."""
+    return df.select(*[f"`{c}`" for c in df.columns if not c.startswith("_")])

@@ -6,30 +6,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import is_confident, parsed_class
-from ..operators.joins import upserted
+from ..operators.joins import EDITED, upserted
 
 
 def ingest_answers(answers: DataFrame, path: str, checkpoint: str) -> None:
-    """A stream of (image_path, raw) to parsed labels; each crop is labelled once, over all runs with this checkpoint."""
-    rows = answers.dropDuplicates(["image_path"]).select("image_path", parsed_class(F.col("raw")).alias("vlm_label"), is_confident(F.col("raw")).alias("vlm_confident"))
-    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    """A stream of (image_path, raw) to parsed labels; each crop is labelled once, over all runs with this checkpoint.
 
+    Each batch leaves out what earlier batches have labelled, by an anti join with their keys: nothing is held in state. A
+    batch writes under its number, so one that is tried again replaces its own labels. The first answer of a crop counts; of
+    several in one batch any. Answers without a path are passed over."""
+    spark = answers.sparkSession
+    spark.createDataFrame([], LABELS).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        before = ingested(spark, path).where(F.col("batch") < number).select(F.col("image_path").alias("_there"))
+        new = batch.where("image_path IS NOT NULL").dropDuplicates(["image_path"]).join(before, F.col("image_path") == F.col("_there"), "left_anti")
+        new = new.select("image_path", parsed_class(F.col("raw")).alias("vlm_label"), is_confident(F.col("raw")).alias("vlm_confident"))
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    answers.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+LABELS = "image_path string, vlm_label string, vlm_confident boolean"
+
+
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """All labels, with the number of their batch."""
+    return spark.read.schema(f"{LABELS}, batch long").parquet(path)
 
-def upsert_corrections(corrections: DataFrame, parcels: DataFrame, folder: str, checkpoint: str) -> None:
-    """A stream of corrections into versions of the parcels: each batch reads the version before and writes a new one, under
-    a name that follows from its number, so a batch that is tried again does no harm."""
-    spark: SparkSession = parcels.sparkSession
-    parcels.write.mode("ignore").parquet(f"{folder}/version=-1")
+
+CORRECTION = [*EDITED, "panorama_status_ui"]
+
+
+def upsert_corrections(corrections: DataFrame, folder: str, checkpoint: str) -> None:
+    """A stream of corrections into the newest one (by seq) of each parcel, however late or out of order they come.
+
+    Only corrected parcels are kept and rewritten. Batches write to two slots in turn, each from the other one, so a batch that
+    is tried again does no harm, and no old versions pile up."""
+    spark = corrections.sparkSession
+    schema = corrections.select("parcel_key", *CORRECTION, "seq").schema
 
     def apply(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{folder}/version={number - 1}")
-        upserted(before, batch).select(*before.columns).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        rows = batch.select(*schema.names)
+        if number:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(_slot(folder, number - 1)).select(*schema.names))
+        newest = rows.groupBy("parcel_key").agg(F.max_by(F.struct(*CORRECTION, "seq"), "seq").alias("c")).select("parcel_key", "c.*")
+        newest.withColumn("version", F.lit(number)).write.mode("overwrite").partitionBy("version").parquet(_slot(folder, number))
 
     corrections.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version: the one with the largest number."""
-    versions = spark.read.option("recursiveFileLookup", False).parquet(folder)
-    last = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{folder}/version={last}")
+def _slot(folder: str, number: int) -> str:
+    return f"{folder}/slot={number % 2}"
+
+
+def latest(parcels: DataFrame, folder: str) -> DataFrame:
+    """parcels with the newest corrections; the newest version is found by the names of files."""
+    rows = parcels.sparkSession.read.parquet(folder)
+    last = max((int(x.split("/version=")[1].split("/")[0]) for x in rows.inputFiles()), default=0)
+    return upserted(parcels, rows.where(F.col("version") == last).select("parcel_key", *CORRECTION, "seq"))

@@ -95,3 +95,56 @@ def test_perspective_looks_where_it_should():
 
 def test_half_even(spark):
     assert [one(spark, core.half_even(F.lit(v))) for v in (0.5, 1.5, 2.5)] == [0, 2, 2]
+
+
+def test_emptiness_and_filling(spark):
+    from landmosaic.functions import core
+
+    rows = [("", "NaN", ""), ("\t\n", "x", "x"), (None, " y ", "y"), ("nan", "NAN", "nan"), ("own", "z", "own"), (" ", None, " "), ("\u00a0", "q", "q")]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, t string, s string")
+    got = {r.i: r.v for r in df.select("i", core.fill_if_empty(F.col("t"), F.col("s")).alias("v")).collect()}
+    assert got == {i: r[2] for i, r in enumerate(rows)}
+
+
+def test_columns_are_filled_and_kept(spark):
+    from landmosaic.sources import tables
+
+    df = spark.createDataFrame([("x", None, 1, "k1"), ("", "B", 2, "k2"), ("", "C", 3, "k3")], "class_ui string, utt_class string, oid int, status string")
+    got = sorted((r.oid, r.class_ui, r.status, r.parcel_key, r.photos_ui) for r in tables.normalised(df).collect())
+    assert got == [(1, "x", "k1", "1", ""), (2, "B", "k2", "2", ""), (3, "C", "k3", "3", "")]
+    assert sorted(r.oid for r in tables.normalised(df.drop("oid")).collect()) == [1, 2, 3]
+    assert tables.without_private(df.withColumn("_a", F.lit(1))).columns == df.columns
+
+
+def test_objects_in_a_wrong_folder(spark, tmp_path):
+    from landmosaic.sources import tables
+
+    for folder, said in (("parks", "parks"), ("roads", "parks")):
+        (tmp_path / folder / "o").mkdir(parents=True)
+        (tmp_path / folder / f"{folder}.json").write_text('{\n"id": "%s",\n"class": "%s"}' % (folder, said))
+    rows = tables.read_objects(spark, str(tmp_path))
+    assert {(r.id, r.folder_class) for r in rows.collect()} == {("parks", "parks"), ("roads", "roads")}
+    with pytest.raises(ValueError, match="roads"):
+        tables.checked_objects(rows)
+
+
+def test_late_corrections_do_not_win(spark, tmp_path):
+    from landmosaic.streaming import jobs
+
+    cols = "parcel_key string, class_ui string, subclass_ui string, class_corrected_ui string, subclass_corrected_ui string, photos_ui string, panorama_status_ui string"
+    parcels = spark.createDataFrame([("a", *"12345", "s"), ("b", *"12345", "s")], cols)
+    for seq, word in ((5, "new"), (2, "old"), (7, "newest"), (6, "late")):
+        spark.createDataFrame([("a", word, None, word, None, None, None, seq)], f"{cols}, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(f"{cols}, seq long").parquet(f"{tmp_path}/in")
+        jobs.upsert_corrections(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {r.parcel_key: r.class_ui for r in jobs.latest(parcels, f"{tmp_path}/out").collect()}
+    assert got == {"a": "newest", "b": "1"}
+
+
+def test_crops_are_labelled_once(spark, tmp_path):
+    from landmosaic.streaming import jobs
+
+    for part in (["a", "b", "b"], ["b", "c", None]):
+        spark.createDataFrame([(x, "natural_areas") for x in part], "image_path string, raw string").write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.ingest_answers(spark.readStream.schema("image_path string, raw string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert sorted((r.image_path, r.batch) for r in jobs.ingested(spark, f"{tmp_path}/out").collect()) == [("a", 0), ("b", 0), ("c", 1)]

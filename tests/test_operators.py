@@ -115,3 +115,31 @@ def test_scores_count_absent_classes(spark):
 def test_providers_first_wins(spark):
     a, b = (spark.createDataFrame(x, "point_id int, url string") for x in ([(1, "u"), (1, " ")], [(1, "u"), (1, "v"), (2, None)]))
     assert {(r.point_id, r.url, r.priority) for r in joins.first_provider([a, b]).collect()} == {(1, "u", 0), (1, "v", 1)}
+
+
+def test_null_classes_and_keys_keep_their_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (None, "a")], "key int, cls string")
+    assert ranking.copies_to(rows, "cls", "key", 1, "s").count() == 4
+    split = ranking.stratified_split(rows, "cls", "key", 0.5).collect()
+    assert sorted((str(r.cls), r.split) for r in split) == [("None", "train"), ("None", "val"), ("a", "train"), ("a", "val")]
+    assert ranking.copies_by_ratio(rows, "cls").count() == 4
+    assert sorted(r.sample_weight for r in ranking.duplicate_weight(rows, "cls").collect()) == [0.5] * 4
+
+
+def test_leaks_raise(spark):
+    rows = spark.createDataFrame([(1, "train"), (1, "val"), (2, "val")], "object_id int, split string")
+    with pytest.raises(ValueError, match="more than one split: 1"):
+        joins.without_leak(rows, "object_id")
+    assert joins.without_leak(rows.where("object_id = 2"), "object_id").count() == 1
+
+
+def test_links_only_where_asked(spark):
+    p = spark.createDataFrame([(i, f"p{i}", "" if i % 2 else "there") for i in range(10)], "oid int, parcel_key string, photos_ui string")
+    got = {r.oid: r.photos_ui for r in joins.linked(p, F.lit("new"), p.where("oid > 2"), 2).collect()}
+    assert got == {i: "new" if i in (3, 5) else "" if i % 2 else "there" for i in range(10)}
+
+
+def test_best_runs(spark):
+    runs = spark.createDataFrame([(1, 6, 0.5, None, 0.9), (2, 6, 0.7, 0.5, 0.1), (3, 3, 0.9, None, 0.2), (4, 3, 0.9, None, 0.3)], "run int, n_classes int, val_acc double, val_macro_f1 double, val_balanced_f1 double")
+    assert [metrics.best_run(runs, "checkpoint", k).first().run for k in (6, 3)] == [1, 3]
+    assert metrics.best_run(runs.where("false"), "checkpoint", 6).count() == 0

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from landmosaic.plans.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLE = entry.oracle_sql()
 
@@ -55,4 +55,11 @@ def test_cleaning_keeps_or_drops_every_row(spark):
 
 def test_probe_learns(spark):
     rows = QUERIES["g8_linear_probe"](spark, SF).collect()
-    assert len(rows) == 3 and all(0 <= r.accuracy <= 1 for r in rows)
+    assert len(rows) == 7 and all(0 <= r.accuracy <= 1 for r in rows)
+    assert [r.accuracy for r in rows if r.is_best] == [max(r.accuracy for r in rows)]
+
+
+@pytest.mark.parametrize("name", ["g6_heuristic_fill", "g7_parcel_classification", "a23_heuristic_report"])
+def test_rules_stay_small_plans(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CASE WHEN") < 80
