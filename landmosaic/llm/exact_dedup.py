@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, salted_totals, saved
+from .common import ascii_lower, salted_totals, saved, without
 
 MIN, MAX = 1024, 8192
 
@@ -56,7 +56,5 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the rows that don't stay; all columns as they were. Rows are told apart by id (nulls match) and text."""
-    of, sha = fresh(docs, "_stays"), fresh(docs, "_sha256")
-    stays = saved(exact_groups(docs, text_col, id_col).where("kept").select(F.col(id_col).alias(of), F.col("text_sha256").alias(sha)), "stays")
-    same = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256) == F.col(sha)
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col(of)) & same, "left_semi")
+    gone = exact_groups(docs, text_col, id_col).where("NOT kept")
+    return without(docs, gone, id_col, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256), "text_sha256", sieve=False)

@@ -619,6 +619,23 @@ def test_pipeline_stages_judge_rows(spark):
     assert out.count() == len(rows) and {"doc_id", "piece_ids", "piece_starts", "piece_ends", "n_tokens", "ids_sha256"} <= set(out.columns)
 
 
+def test_parities_never_exceed_what_sets_are_apart():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 0), (1, 5), (300, 250), (5000, 300), (5000, 4800), (70_000, 69_000)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: min(n, m) * 9 // 10], rng.integers(0, 1 << 63, m // 10, dtype=np.uint64)]))
+        apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        assert near_copies.apart(near_copies.parities(a), near_copies.parities(b)) <= apart
+
+
+def test_rows_are_left_out_by_id_and_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "SLOTS", 2)  # nearly all rows are asked for
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (2, None)], "doc_id long, text string").withColumn("_of", F.lit(1))
+    gone = spark.createDataFrame([(1, "a"), (None, "a")], "doc_id long, k string")
+    got = common.without(docs, gone, "doc_id", F.coalesce("text", F.lit("")), "k")
+    assert got.columns == docs.columns and {(r.doc_id, r.text) for r in got.collect()} == {(1, "b"), (2, None)}
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs):
     import corpus_pipeline
 
