@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from . import words
 
 MARK = "▁"
-CACHED_RUNS, CACHED_LENGTH = 1 << 16, 64
+CACHED_RUNS, CACHED_LENGTH = 1 << 15, 64
 BATCH_BYTES = 1 << 20
 SHORT_RUN = 48  # characters; longer ones are merged with a heap
 WORDS = words.byte_kinds(lambda b: b != 32)
@@ -324,6 +324,7 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", id_co
             for start, part in words.batches((t.as_py() or "" for t in batch.column(1)), BATCH_BYTES):
                 cols = list(zip(*c.encoded(part), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), *(pa.array(x, pa.binary()) for x in cols[:3]), pa.array(cols[3], pa.string())], schema.names)
+        c.known = [{}, {}]  # the process may go on with other stages
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
