@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 DIMS = 1 << 14
 PER_LANGUAGE = 500
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.5
-CHUNK_DOCS, CHUNK_CHARS = 64, 1 << 20
+CHUNK_DOCS, CHUNK_CHARS = 64, 1 << 18
 _shift = np.uint32(32 - 14)
 
 
