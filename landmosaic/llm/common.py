@@ -6,8 +6,6 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,29 +87,24 @@ def salted_totals(rows: DataFrame, key: str, spread: str, aggs: dict[str, tuple[
 SLOTS = 1 << 20
 
 
-def maybe_in(column: Column, keys: DataFrame, key: str) -> Column:
-    """Whether a value's slot (of SLOTS) is taken by any of the keys: true for all keys and few others. With more keys than
-    SLOTS nearly all slots are taken, and nothing is told apart; what reaches the driver and the tasks stays SLOTS bits."""
+def sieved(docs: DataFrame, column: Column, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """docs parted by whether a value's slot (of SLOTS) is taken by any of the keys: the first part has all keys and few
+    others. With more keys than SLOTS nearly all slots are taken, and the second part is nearly empty; what is broadcast
+    stays SLOTS numbers (some 20 MB), whatever the keys."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    there = np.zeros(SLOTS, bool)
-    there[keys.select(slot(F.col(key)).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
-    bits = np.packbits(there)
-
-    @F.arrow_udf("boolean")
-    def taken(slots: pa.Array) -> pa.Array:
-        s = slots.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return taken(slot(column))
+    at = fresh(docs, "_slot")
+    taken = F.broadcast(saved(keys.select(slot(F.col(key)).alias(at)).distinct(), "slots"))
+    maybe, others = (docs.join(taken, slot(column) == F.col(at), how) for how in ("left_semi", "left_anti"))
+    return maybe, others
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, key: Column, gone_key: str, sieve: bool = True) -> DataFrame:
     """docs without the rows whose id (nulls match) and key stand in gone; all columns as they were. With a sieve only rows
-    whose key may be there move; without one there is no Python in the plan."""
+    whose key may be there move. There is no Python in the plan."""
     of, at = fresh(docs, "_of"), fresh(docs, "_at")
     gone = saved(gone.select(F.col(id_col).alias(of), F.col(gone_key).alias(at)), "gone")
     left = lambda rows: rows.join(gone, F.col(id_col).eqNullSafe(F.col(of)) & (key == F.col(at)), "left_anti")
     if not sieve:
         return left(docs)
-    maybe = maybe_in(key, gone, at)
-    return docs.where(~maybe).unionByName(left(docs.where(maybe)))
+    maybe, others = sieved(docs, key, gone, at)
+    return others.unionByName(left(maybe))
