@@ -29,7 +29,7 @@ from . import words
 
 MARK = "▁"
 CACHED_RUNS, CACHED_LENGTH = 1 << 15, 64
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 17
 SHORT_RUN = 48  # characters; longer ones are merged with a heap
 WORDS = words.byte_kinds(lambda b: b != 32)
 
