@@ -34,10 +34,24 @@ def new_path(spark: SparkSession, kind: str) -> str:
 def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and outlives any executor."""
     path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # shuffles of a written table go at once
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved() tables with their files. Only for those that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+        folder = path_of(shared_dir(spark)).toUri().getPath()
+        for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = path_of(at)
+            if path.getParent().toUri().getPath() != folder:
+                raise ValueError(f"{at} is no saved table")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -47,15 +61,22 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Within it, what is written passes to Python in batches of so many rows; for rows that may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def setting(spark: SparkSession, name: str, value: str):
+    """Within it, a setting of the session has the value."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession, rows: int):
+    """Within it, what is written passes to Python in batches of so many rows; for rows that may be long."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def ascii_lower(text: Column) -> Column:
