@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,16 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; between them, and after the last, what Arrow keeps of earlier ones goes back to the system (a process
+    that held long texts once would otherwise keep their room through all later stages)."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+    batch = None
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from . import words
-from .common import saved
+from .common import released, saved
 
 LETTERS = words.byte_kinds(lambda b: b >= 128 or chr(b).isalnum() or b == 95)
 PASSAGE, OVERLAP = 160, 80  # words
@@ -97,7 +97,7 @@ def passages(items: DataFrame, text_col: str = "text", id_col: str = "item_id")
     schema = T.StructType([T.StructField("item", items.schema[id_col].dataType), T.StructField("passage", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("answer", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 said = words_of(text or "")
@@ -130,7 +130,7 @@ def svd(cells: DataFrame, rank: int = RANK, spare: int = SPARE, powers: int = PO
     made orthonormal through its small Gram matrix. Nothing longer than rank + spare squared reaches the driver."""
     k = rank + spare
     def noise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             out = [np.random.default_rng(xxh64_intdigest(f"{t}|omega")).standard_normal(k).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["term", "vector"])
 
@@ -144,12 +144,12 @@ def svd(cells: DataFrame, rank: int = RANK, spare: int = SPARE, powers: int = PO
         return pa.RecordBatch.from_arrays(batch.columns, [name, "vector"])
 
     def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # a key's rows are added up here before they travel
+        for batch in released(batches):  # a key's rows are added up here before they travel
             yield named(sums(batch.column(0), _matrix(batch.column(2), k) * batch.column(1).to_numpy()[:, None]), batch.schema.names[0])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last key's sum, which may go on in the next batch
-        for batch in batches:
+        for batch in released(batches):
             keys, v = batch.column(0), _matrix(batch.column(1), k)
             if held is not None:
                 keys, v = pa.concat_arrays([held.column(0), keys]), np.vstack([_matrix(held.column(1), k), v])
@@ -166,7 +166,7 @@ def svd(cells: DataFrame, rank: int = RANK, spare: int = SPARE, powers: int = PO
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((k, k))
-        for batch in batches:
+        for batch in released(batches):
             v = _matrix(batch.column(0), k)
             g += v.T @ v
         yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["gram"])
@@ -181,7 +181,7 @@ def svd(cells: DataFrame, rank: int = RANK, spare: int = SPARE, powers: int = PO
         turn = np.hstack([turn, np.zeros((k, keep - len(good)))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in released(batches):
                 v = _matrix(batch.column(1), k) @ turn
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["term", "vector"])
 
@@ -410,7 +410,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             scanner = Scanner(shared.value)
-            for batch in batches:
+            for batch in released(batches):
                 keys, found = [], []
                 for start, part in words.batches((t.as_py() or "" for t in batch.column(1)), SCAN_BYTES):
                     for i, *x in scanner.leaks(part):

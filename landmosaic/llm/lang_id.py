@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 DIMS = 1 << 14
 PER_LANGUAGE = 500
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.5
@@ -154,7 +156,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
-        for batch in batches:
+        for batch in released(batches):
             n += batch.num_rows
             for _, part in chunks(t.as_py() for t in batch.column(0)):
                 total += np.bincount(features(part)[1], minlength=DIMS)
@@ -173,7 +175,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
     sample = rows.where(draw < share).select(label_col, text_col, (F.pmod(F.xxhash64(F.lit("part"), id_col), F.lit(5)) == 0).alias("calibrates"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for start, part in chunks(t.as_py() for t in batch.column(1)):
                 doc, feature, count = features(part)
                 v, at = weighted(doc, feature, count, idf, len(part)), np.searchsorted(doc, np.arange(len(part) + 1))
@@ -194,7 +196,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
     schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for start, part in chunks(t.as_py() or "" for t in batch.column(1)):
                 lang, score = model.predict(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(lang, pa.string()), pa.array(score)], schema.names)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .common import released
 
 MARK = "▁"
 CACHED_RUNS, CACHED_LENGTH = 1 << 15, 64
@@ -320,7 +321,7 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
-        for batch in batches:
+        for batch in released(batches):
             for start, part in words.batches((t.as_py() or "" for t in batch.column(1)), BATCH_BYTES):
                 cols = list(zip(*c.encoded(part), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), *(pa.array(x, pa.binary()) for x in cols[:3]), pa.array(cols[3], pa.string())], schema.names)
