@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, decontam, html_text, lang_id, piece_codec, simhash_dedup, suffix_dedup, token_files, url_filter, warc
+from . import chat_format, conversation_repair, decontam, html_text, lang_id, piece_codec, simhash_dedup, suffix_dedup, token_files, url_filter, warc, whitening
 from .common import table
 from .exact_dedup import exact_groups
 
@@ -60,6 +60,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audited(turns, gone=F.col("gone"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontam": op9_decontam,
     "op10_piece_codec": op10_piece_codec,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_url_filter": op13_url_filter,
 }
 
