@@ -231,7 +231,7 @@ def _judged_rows(rows: DataFrame) -> DataFrame:
 def _packed(judged: DataFrame) -> DataFrame:
     """conv, part, chunk, codes, uids: sorted range partitions, at most PACK turns of a conversation to a row."""
     schema = StructType([*judged.select("conv").schema.fields, *StructType.fromDDL("part int, chunk int, codes binary, uids array<long>").fields])
-    arrow, names = to_arrow_schema(schema), schema.names
+    arrow, names, most = to_arrow_schema(schema), schema.names, PACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, uids, at, begun, chunk, part = bytearray(), [], None, False, 0, 0
@@ -242,7 +242,7 @@ def _packed(judged: DataFrame) -> DataFrame:
 
         for batch in batches:
             for conv, uid, value, p in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if begun and (conv != at or len(codes) >= PACK):
+                if begun and (conv != at or len(codes) >= most):
                     yield packed()
                     codes, uids, chunk = bytearray(), [], chunk + 1
                 at, begun, part = conv, True, p
@@ -318,7 +318,7 @@ def _hashed(repaired: DataFrame) -> DataFrame:
     """conv, repaired_sha256 of ordered lines (conv, order columns, lines array): put together to blocks by range partitions,
     which hold any conversation in parts, then hashed block by block."""
     blocks = StructType([*repaired.select("conv").schema.fields, *StructType.fromDDL("part int, block int, text string").fields])
-    arrow = to_arrow_schema(blocks)
+    arrow, most = to_arrow_schema(blocks), BLOB
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, at, part, block, begun = [], 0, None, 0, 0, False
@@ -328,7 +328,7 @@ def _hashed(repaired: DataFrame) -> DataFrame:
 
         for batch in batches:
             for conv, said, p in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if begun and (conv != at or size >= BLOB):
+                if begun and (conv != at or size >= most):
                     yield made()
                     held, size, block = [], 0, block + 1
                 at, part, begun = conv, p, True

@@ -5,7 +5,7 @@ number), and is never formed: the method asks for V times a block of vectors, wh
 blocks of numbers, in which each task centres its rows, multiplies them with the block and back, and adds up; Spark adds up
 the tasks' sums. The driver holds vectors of the dimension only: a search space of at most BASIS of them, expanded each round
 by the answers of the correction equations (V - theta) t = -r, projected off the locked and the current vectors, of all pairs
-that haven't converged; a few steps of MINRES, in step with each other, so that one pass serves all. Rayleigh-Ritz in the
+that haven't converged and of EXTRA ones behind them; a few steps of MINRES, in step with each other, so that one pass serves all. Rayleigh-Ritz in the
 space gives the next pairs; those whose residual is at rounding level are locked, until all are.
 
 Rows whose vector is null, empty, or holds null, NaN or infinite entries (or entries of 2^45 and more, which no exact product
@@ -32,8 +32,8 @@ from .common import saved
 
 SCALE = 256
 LARGEST = float(1 << 45)
-COMPONENTS, BLOCK, BASIS = 4, 8, 24
-INNER, OUTER = 6, 60
+COMPONENTS, BLOCK, BASIS, EXTRA = 4, 8, 48, 4
+INNER, OUTER = 2, 60
 EPS = float(np.finfo(float).eps)
 
 
@@ -192,22 +192,25 @@ def jacobi_davidson(times: Callable[[np.ndarray], np.ndarray], d: int, wanted: i
         theta, s = np.linalg.eigh((h + h.T) / 2)
         theta, s = theta[::-1], s[:, ::-1]
         top = max([*values, *theta[:1], 0.0])
-        k = min(wanted - len(values), space.shape[1])
-        u = space @ s[:, :k]
-        u /= np.linalg.norm(u, axis=0)
-        au = times(u)  # afresh: the residuals are those of the vectors that are returned
-        rho = (u * au).sum(axis=0)
-        r = au - u * rho
+        level = 4 * EPS * np.sqrt(d) * top
+        k = min(wanted - len(values) + EXTRA, space.shape[1])
+        u, rho = space @ s[:, :k], theta[:k]
+        r = image @ s[:, :k] - u * rho
         size = np.linalg.norm(r - locked @ (locked.T @ r), axis=0)
         full = space.shape[1] + locked.shape[1] >= d
         done = 0
-        for j in range(k):  # in order: a later pair must not pass an earlier one
-            rank = len(values) + j
-            lowest, stuck = best.get(rank, (np.inf, 0))
-            best[rank] = (min(lowest, size[j]), 0 if size[j] < lowest / 2 else stuck + 1)
-            level = 4 * EPS * np.sqrt(d) * top
-            if done == j and (size[j] <= level or full and outer and best[rank][1] >= 2 or size[j] <= 100 * level and best[rank][1] >= 3 or top == 0):
-                done += 1
+        if size[0] <= 1e3 * level or full:  # near: residuals of the vectors that are returned, by a product of their own
+            u /= np.linalg.norm(u, axis=0)
+            au = times(u)
+            rho = (u * au).sum(axis=0)
+            r = au - u * rho
+            size = np.linalg.norm(r - locked @ (locked.T @ r), axis=0)
+            for j in range(min(k, wanted - len(values))):  # in order: a later pair must not pass an earlier one
+                lowest, stuck = best.get(len(values) + j, (np.inf, 0))
+                best[len(values) + j] = (min(lowest, size[j]), 0 if size[j] < lowest / 2 else stuck + 1)
+                stuck = best[len(values) + j][1]
+                if done == j and (size[j] <= level or full and stuck >= 2 or size[j] <= 100 * level and stuck >= 3 or top == 0):
+                    done += 1
         if done:
             locked = np.column_stack([locked, _orthonormal(u[:, :done], locked)])
             values += [float(x) for x in rho[:done]]
@@ -216,7 +219,7 @@ def jacobi_davidson(times: Callable[[np.ndarray], np.ndarray], d: int, wanted: i
                 break
             rest = s[:, done:]  # what is left of the space stays orthonormal
             space, image = space @ rest, image @ rest
-            theta, s = theta[done:], np.eye(space.shape[1])
+            s = np.eye(space.shape[1])
             u, r, rho, k = u[:, done:], r[:, done:], rho[done:], k - done
         if not k:
             more = rng.standard_normal((d, BLOCK))
@@ -224,7 +227,7 @@ def jacobi_davidson(times: Callable[[np.ndarray], np.ndarray], d: int, wanted: i
             off = [np.column_stack([locked, u[:, [j]]]) for j in range(k)]
             more = _minres(times, rho, off, -r, INNER, 2.0 ** -(outer + 3))
         if space.shape[1] + k > BASIS:  # the leading Ritz vectors stay
-            keep = s[:, :BLOCK]
+            keep = s[:, : 2 * BLOCK]
             space, image = space @ keep, image @ keep
         new = _orthonormal(more, locked, space)
         if not new.shape[1] and space.shape[1] + locked.shape[1] < d:
