@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance
+from . import places
 
 
 def relabelled(crops: DataFrame, labels: DataFrame, classes: list[str], only_confident: bool = True) -> DataFrame:
@@ -62,25 +63,12 @@ def upserted(parcels: DataFrame, corrections: DataFrame) -> DataFrame:
     return out.withColumn("panorama_status_ui", F.coalesce(F.col("c.panorama_status_ui"), F.col("panorama_status_ui"))).drop("c")
 
 
-def nearby(objects: DataFrame, panoramas: DataFrame, metres: float, cell: float | None = None) -> DataFrame:
-    """Pairs within a radius: object_id, pano_id, distance_m. An equi-join on cells of a latitude band at least as wide as the
-    radius; the objects look into the 3 x 3 cells around them. Cells get as wide in longitude as the band needs."""
-    step = cell or metres / 111_000.0 * 1.02
-
-    def row(lat: Column) -> Column:
-        return F.floor(lat / step).cast("long")
-
-    def col(lat_row: Column, lon: Column) -> Column:
-        worst = F.least(F.lit(89.0), F.greatest(F.abs(lat_row), F.abs(lat_row + 1)) * step)
-        return F.floor(lon * F.cos(F.radians(worst)) / step).cast("long")
-
-    o = objects.select("object_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon")).where("o_lat IS NOT NULL AND o_lon IS NOT NULL")
-    o = o.withColumn("cy", F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: row(F.col("o_lat")) + d)))
-    o = o.withColumn("cx", F.explode(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: col(F.col("cy"), F.col("o_lon")) + d)))
-    p = panoramas.select("pano_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).where("p_lat IS NOT NULL AND p_lon IS NOT NULL")
-    p = p.withColumn("cy", row(F.col("p_lat"))).withColumn("cx", col(F.col("cy"), F.col("p_lon")))
-    pairs = o.join(p, ["cy", "cx"]).withColumn("distance_m", distance(F.col("o_lat"), F.col("o_lon"), F.col("p_lat"), F.col("p_lon")))
-    return pairs.where(F.col("distance_m") <= metres).select("object_id", "pano_id", "distance_m")
+def nearby(objects: DataFrame, panoramas: DataFrame, metres: float, most: int = places.MOST) -> DataFrame:
+    """Pairs within a radius: object_id, pano_id, distance_m. An equi-join on cells, which are divided where they are full."""
+    o = objects.select("object_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    p = panoramas.select("pano_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    pairs = places.pairs_within(o, p, metres, most)
+    return pairs.select("object_id", "pano_id", distance(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon")).alias("distance_m"))
 
 
 def season_picks(pairs: DataFrame, panoramas: DataFrame, most: int = 4) -> DataFrame:

@@ -2,49 +2,14 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hamming
+from .duplicates import greedy_losers, near_pairs  # noqa: F401  (part of cleaning)
 
 NEAR, STD_MIN, SHARP_SHARE, SUSPECT = 4, 10.0, 0.03, 0.10
 
 
-def near_pairs(crops: DataFrame, near: int = NEAR) -> DataFrame:
-    """object_id, a, b (seq, a < b): pairs of an object's crops whose hashes differ in at most `near` bits. Hashes cut into
-    near + 1 parts agree in one of them, so the join is on (object, part): no object gives all its pairs."""
-    cuts = [64 * i // (near + 1) for i in range(near + 2)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.col("ahash").bitwiseAND(F.lit(signed((1 << b) - (1 << a)))).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    keyed = crops.select("object_id", "seq", "ahash", F.explode(parts).alias("p")).select("object_id", "seq", "ahash", "p.*")
-    a, b = keyed.select("object_id", "i", "v", F.col("seq").alias("a"), F.col("ahash").alias("ha")), keyed.select("object_id", "i", "v", F.col("seq").alias("b"), F.col("ahash").alias("hb"))
-    return a.join(b, ["object_id", "i", "v"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= near)).select("object_id", "a", "b").distinct()
-
-
-def greedy_losers(crops: DataFrame, near: int = NEAR) -> DataFrame:
-    """object_id, seq of near-duplicates: in order of seq each crop that hasn't lost is compared with all later ones that
-    haven't; of a near pair the less sharp loses, the later on ties. One that loses still finishes its comparisons.
-    Needs the order of an object's crops, so an object's near pairs come together; far pairs play no part and don't."""
-    sharp = crops.select("object_id", F.col("seq"), "sharpness")
-    pairs = near_pairs(crops, near)
-    pairs = pairs.join(sharp.select("object_id", F.col("seq").alias("a"), F.col("sharpness").alias("sa")), ["object_id", "a"]).join(sharp.select("object_id", F.col("seq").alias("b"), F.col("sharpness").alias("sb")), ["object_id", "b"])
-
-    def play(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        lost: set = set()
-        f = f.sort_values(["a", "b"])
-        for a, rows in f.groupby("a", sort=True):
-            if a in lost:
-                continue
-            for b, sa, sb in zip(rows["b"], rows["sa"], rows["sb"], strict=True):
-                if b not in lost:
-                    lost.add(a if sa < sb else b)
-        return pd.DataFrame({"object_id": [key[0]] * len(lost), "seq": sorted(lost)})
-
-    return pairs.groupBy("object_id").applyInPandas(play, "object_id string, seq long")
-
-
 def best_headings(crops: DataFrame) -> DataFrame:
     """seq of the one multi-heading crop to keep per object: neither duplicate nor bad, else not duplicate, else any; the
     likeliest label, the first on ties."""
@@ -74,5 +39,3 @@ def drop_reasons(crops: DataFrame, losers: DataFrame, std_min: float = STD_MIN,
 def first_of_each(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """A report's first rows."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_r") <= most).drop("_r")
-
-
