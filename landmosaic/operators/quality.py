@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .duplicates import greedy_losers, near_pairs  # noqa: F401  (part of cleaning)
+from .ranking import first_per_class
+from .selection import exact_percentile
 
 NEAR, STD_MIN, SHARP_SHARE, SUSPECT = 4, 10.0, 0.03, 0.10
 
@@ -17,9 +19,9 @@ def best_headings(crops: DataFrame) -> DataFrame:
     return crops.where("multi_heading").groupBy("object_id").agg(F.min_by("seq", F.struct(tier, -F.col("label_prob"), "seq")).alias("seq"))
 
 
-def sharpness_floor(crops: DataFrame, share: float = SHARP_SHARE, exact: bool = True) -> DataFrame:
-    p = F.percentile("sharpness", F.lit(share)) if exact else F.percentile_approx("sharpness", share, 10_000)
-    return crops.agg(p.alias("floor"))
+def sharpness_floor(crops: DataFrame, share: float = SHARP_SHARE) -> DataFrame:
+    """One row: the sharpness that a share of all rows is under, exactly."""
+    return crops.sparkSession.createDataFrame([(exact_percentile(crops, "sharpness", share),)], "floor double")
 
 
 def drop_reasons(crops: DataFrame, losers: DataFrame, std_min: float = STD_MIN, suspect: float = SUSPECT, share: float = SHARP_SHARE) -> DataFrame:
@@ -36,6 +38,10 @@ def drop_reasons(crops: DataFrame, losers: DataFrame, std_min: float = STD_MIN,
     return rows.withColumn("drop_reason", reason).drop("_quality", "floor", "is_best", "is_bad", "is_dup")
 
 
-def first_of_each(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
-    """A report's first rows."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_r") <= most).drop("_r")
+def drop_report(cleaned: DataFrame, most: int = 40) -> DataFrame:
+    """reason, n, suspects, first of cleaned rows (seq, drop_reason, is_suspect): rows of each reason and of those kept, and
+    the first of each reason, by seq: found within parts of a reason first, so that none comes to one task."""
+    counts = cleaned.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.count_if("is_suspect").alias("suspects"))
+    some = first_per_class(cleaned.where("drop_reason IS NOT NULL").select("drop_reason", "seq"), "drop_reason", "seq", most)
+    first = some.groupBy(F.col("drop_reason").alias("reason")).agg(F.concat_ws(",", F.array_sort(F.collect_list(F.lpad("seq", 9, "0")))).alias("first"))
+    return counts.join(first, "reason", "left")

@@ -61,4 +61,7 @@ def oracle(body: str) -> str:
     used = [n for n in BINDINGS if re.search(rf"\b{n}\b", body)]
     ctes = ", ".join(f"{n} AS ({re.sub(r'\{(\w+)\}', r'\1', BINDINGS[n])})" for n in used)
     body = body.strip()
-    return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") and ctes else f"WITH {ctes} {body}" if ctes else body
+    if not ctes:
+        return body
+    start = next((x for x in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(x)), "")
+    return f"{start or 'WITH '}{ctes}{', ' if start else ' '}{body[len(start):]}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, text, vectors
-from ..operators import joins, metrics, quality
+from ..operators import duplicates, joins, metrics, quality
 from ..sources import tables
 from ..streaming import jobs as streams
 from . import jobs
@@ -29,11 +29,38 @@ def w5_f31_near_pairs(spark, sf):
     return quality.near_pairs(_hashed(spark, sf), NEAR)
 
 
-@query()
+_HASHED = """q AS (SELECT * EXCLUDE (pixels), list_transform(pixels, lambda x: CAST(x AS DOUBLE)) AS p FROM samples),
+    h AS (SELECT *, CAST(array_to_string(list_transform(p, lambda x: CASE WHEN x > list_avg(p) THEN '1' ELSE '0' END), '') AS BIT) AS hash,
+        list_avg(list_transform(list_filter(range(1, 64), lambda i: i % 8 <> 0), lambda i: pow(p[i] - p[i + 1], 2))) + list_avg(list_transform(range(1, 57), lambda i: pow(p[i] - p[i + 8], 2))) AS sharp,
+        sqrt(list_avg(list_transform(p, lambda x: pow(x - list_avg(p), 2)))) AS std FROM q)"""
+#: The loop, a crop a step: what the crop beats, and itself if a sharper one is near; lost ones are passed over.
+_GREEDY = f"""{_HASHED}, l AS (SELECT object_id, list({{'seq': seq, 'hash': hash, 'sharp': sharp}} ORDER BY seq) AS c FROM h GROUP BY 1),
+    g(object_id, c, i, lost) AS (SELECT object_id, c, CAST(1 AS BIGINT), CAST([] AS BIGINT[]) FROM l UNION ALL
+        SELECT object_id, c, i + 1, CASE WHEN list_contains(lost, i) THEN lost ELSE list_concat(lost,
+            list_filter(range(i + 1, len(c) + 1), lambda b: NOT list_contains(lost, b) AND bit_count(xor(c[i].hash, c[b].hash)) <= {NEAR} AND c[i].sharp >= c[b].sharp),
+            CASE WHEN len(list_filter(range(i + 1, len(c) + 1), lambda b: NOT list_contains(lost, b) AND bit_count(xor(c[i].hash, c[b].hash)) <= {NEAR} AND c[i].sharp < c[b].sharp)) > 0 THEN [i] ELSE [] END) END
+        FROM g WHERE i <= len(c)),
+    losers AS (SELECT object_id, c[k].seq AS seq FROM (SELECT object_id, c, unnest(lost) AS k FROM g WHERE i = len(c) + 1))"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT object_id, seq FROM losers")
 def w6_greedy_losers(spark, sf):
     return quality.greedy_losers(_hashed(spark, sf), NEAR)
 
 
+@query(f"""WITH {_HASHED}, r AS (SELECT object_id, hash, min(seq) AS rep, count(*) AS n FROM h GROUP BY 1, 2), p AS (SELECT a.object_id, least(a.rep, b.rep) AS a, greatest(a.rep, b.rep) AS b, bit_count(xor(a.hash, b.hash)) AS d FROM r a JOIN r b ON a.object_id = b.object_id AND a.rep < b.rep)
+    SELECT object_id, a, b, CAST(d AS INT) AS distance FROM p WHERE d <= {NEAR}""")
+def w5_f31_near_groups(spark, sf):
+    """Near pairs of groups of equal hashes, by the first of each group."""
+    return duplicates.representatives(_hashed(spark, sf), NEAR)[1]
+
+
+@query(f"WITH {_HASHED} SELECT object_id, seq, min(seq) OVER g AS rep, count(*) OVER g AS n FROM h WINDOW g AS (PARTITION BY object_id, hash)")
+def w5_equal_hashes(spark, sf):
+    """What group of equal hashes a crop belongs to. Objects are classes here: the more rows, the larger."""
+    return duplicates.representatives(_hashed(spark, sf), NEAR)[0]
+
+
 @query("""WITH m AS (SELECT *, seq % 5 = 1 AS is_dup, seq % 7 = 1 AS is_bad, CAST(seq * 13 % 100 AS DOUBLE) AS label_prob FROM samples WHERE multi_heading), r AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY CASE WHEN NOT is_dup AND NOT is_bad THEN 0 WHEN NOT is_dup THEN 1 ELSE 2 END, label_prob DESC, seq) AS k FROM m)
     SELECT object_id, seq FROM r WHERE k = 1""")
 def w7_best_heading(spark, sf):
@@ -51,18 +78,27 @@ def _scored(spark, sf):
     return s.withColumn("label_prob", F.element_at("z", own.cast("int"))).drop("z", "prototypes")
 
 
-@query()
+_CLEANED = f"""{_GREEDY}, v AS (SELECT class_id, i, avg(p[i]) AS x FROM h, range(1, 65) r(i) GROUP BY 1, 2), d AS (SELECT h.seq, v.class_id, sum(h.p[i] * v.x) AS z FROM h, v GROUP BY 1, 2),
+    e AS (SELECT seq, class_id, z, exp(z - max(z) OVER (PARTITION BY seq)) AS e FROM d), s AS (SELECT seq, class_id, e / sum(e) OVER (PARTITION BY seq) AS prob, row_number() OVER (PARTITION BY seq ORDER BY z DESC, class_id) AS k FROM e),
+    t AS (SELECT h.*, o.prob AS label_prob, concat('c', w.class_id) AS predicted, f.floor, l.seq IS NOT NULL AS is_dup, CASE WHEN std < 0.9 THEN CASE WHEN sharp < f.floor THEN 'empty+blurry' ELSE 'empty' END WHEN sharp < f.floor THEN 'blurry' END AS bad
+        FROM h JOIN s o ON o.seq = h.seq AND o.class_id = h.class_id JOIN s w ON w.seq = h.seq AND w.k = 1 CROSS JOIN (SELECT quantile_cont(sharp, 0.03) AS floor FROM h) f LEFT JOIN losers l ON l.seq = h.seq),
+    best AS (SELECT seq, row_number() OVER (PARTITION BY object_id ORDER BY CASE WHEN NOT is_dup AND bad IS NULL THEN 0 WHEN NOT is_dup THEN 1 ELSE 2 END, label_prob DESC, seq) = 1 AS first FROM t WHERE multi_heading),
+    cleaned AS (SELECT t.seq, object_id, split, multi_heading, predicted <> class_name AND label_prob < 0.10 AS is_suspect,
+        CASE WHEN is_dup THEN 'duplicate' WHEN bad IS NOT NULL THEN bad WHEN multi_heading AND NOT first THEN 'heading_pruned' WHEN multi_heading AND split = 'val' THEN 'val_multiheading_excluded' END AS drop_reason FROM t LEFT JOIN best ON best.seq = t.seq)"""
+
+
+@query(f"WITH RECURSIVE {_CLEANED} SELECT seq, object_id, split, multi_heading, drop_reason, is_suspect FROM cleaned")
 def g2_clean_dataset(spark, sf):
     c = jobs.cleaned(_scored(spark, sf), 0.9, NEAR, 0.10)
     return c.select("seq", "object_id", "split", "multi_heading", "drop_reason", "is_suspect")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLEANED}, n AS (SELECT coalesce(drop_reason, 'kept') AS reason, count(*) AS n, count_if(is_suspect) AS suspects FROM cleaned GROUP BY 1),
+    f AS (SELECT drop_reason AS reason, string_agg(lpad(CAST(seq AS VARCHAR), 9, '0'), ',' ORDER BY seq) AS first FROM (SELECT *, row_number() OVER (PARTITION BY drop_reason ORDER BY seq) AS r FROM cleaned WHERE drop_reason IS NOT NULL) WHERE r <= 40 GROUP BY 1)
+    SELECT n.reason, CAST(n AS BIGINT) AS n, CAST(suspects AS BIGINT) AS suspects, first FROM n LEFT JOIN f ON f.reason = n.reason""")
 def a20_drop_report(spark, sf):
-    c = jobs.cleaned(_scored(spark, sf), 0.9, NEAR, 0.10)
-    counts = c.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.count_if("is_suspect").alias("suspects"))
-    some = quality.first_of_each(c.where("drop_reason IS NOT NULL"), "drop_reason", "seq", 40).groupBy(F.col("drop_reason").alias("reason")).agg(F.concat_ws(",", F.array_sort(F.collect_list(F.lpad("seq", 9, "0")))).alias("first"))
-    return counts.join(some, "reason", "left")
+    c = tables.kept(jobs.cleaned(_scored(spark, sf), 0.9, NEAR, 0.10), "cleaned")
+    return quality.drop_report(c)
 
 
 # ---------------------------------------------------------------- jobs
