@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import hash_order
+from ..sources.tables import kept
 
 
 DIGITS = 3  # 4 096 parts of a class
@@ -128,15 +129,22 @@ def merged_sources(base: DataFrame, sources: list[tuple[DataFrame, int]], weight
 
 
 def indexed(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
-    """rows with their place (from 0) in the global order: sorted range partitions, plus the sizes of those before."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    placed = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per partition
-    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(sizes, "_p").withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_p", "_r", "_before")
+    """rows with their place (from 0) in the global order. One shuffle: sorted range partitions are written with the number
+    that Spark gives their rows as they pass (partition and place in it); what is added is the sizes of partitions before, as
+    many numbers as there are partitions."""
+    place = F.monotonically_increasing_id()
+    placed = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "placed")
+    part = lambda c: F.shiftright(c, 33)
+    sizes = placed.groupBy(part("_place").alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = placed.join(F.broadcast(sizes), part(F.col("_place")) == F.col("_p"))  # a row per partition
+    return out.withColumn(name, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place", "_p", "_before")
 
 
 def first_eligible(rows: DataFrame, eligible: Column, order: str, most: int, name: str = "selected") -> DataFrame:
-    """rows with a mark on the first `most` eligible ones."""
-    some = rows.where(eligible).orderBy(order).limit(most).select(order, F.lit(True).alias(name))
-    return rows.join(some, order, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    """rows with a mark on the first `most` eligible ones, those without a place in the order before others. Of rows with
+    equal places any come first, but never more than `most` are marked."""
+    rows = kept(rows.withColumn("_uid", F.monotonically_increasing_id()), "rows")
+    some = rows.where(eligible).orderBy(F.col(order).asc_nulls_first(), "_uid").limit(most).select("_uid", F.lit(True).alias(name))
+    return rows.join(some, "_uid", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_uid")

@@ -163,8 +163,14 @@ def g6_heuristic_fill(spark, sf):
 _VOTES = f"v AS (SELECT *, row_number() OVER (PARTITION BY parcel_key ORDER BY view_index) AS r FROM votes), s AS (SELECT parcel_key, {_of('view_index % 6', dict(enumerate(_LABEL)))} AS key, confidence AS q, view_index FROM v WHERE r <= 5), t AS (SELECT parcel_key, key, round_even(sum(q * q), 9) AS score, avg(q) AS mean, min(view_index) AS f FROM s GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY parcel_key ORDER BY score DESC, f) AS k FROM t), winner AS (SELECT concat('p', parcel_key) AS parcel_key, key FROM b WHERE k = 1 AND mean >= 0.28)"
 
 
-def _decided(mode: str, fallback: bool, most: int) -> str:
+#: Parcels with a panorama within 40 m of one of their first three boundary points.
+_BESIDE = f"beside AS (WITH {_EDGES} SELECT DISTINCT parcel_key FROM points pt JOIN panoramas a ON a.lat BETWEEN pt.lat - 1e-3 AND pt.lat + 1e-3 AND a.lon BETWEEN pt.lon - 1e-3 AND pt.lon + 1e-3 WHERE k < 3 AND {_dist('pt.lat', 'pt.lon', 'a.lat', 'a.lon')} <= 40)"
+
+
+def _decided(mode: str, fallback: bool, most: int, beside: bool = False, overwrite: bool = False) -> str:
     """SQL for a run of the parcel classification: what becomes of each parcel."""
+    more, near = (f", {_BESIDE}", " OR p.parcel_key IN (SELECT parcel_key FROM beside)") if beside else ("", "")
+    asked = "true" if overwrite else "trim(class_ui) = '' OR trim(subclass_ui) = '' OR trim(class_ui) = 'Категории нет'"
     weak = "CASE WHEN {0} THEN {1} ELSE {2} END".format("true" if fallback and mode != "ml" else "false", "{text}", "{weak}")
     ml = "false" if mode == "heuristic" else "key IS NOT NULL"
     first = "NOT amb" if mode == "smart" else "false"
@@ -173,16 +179,19 @@ def _decided(mode: str, fallback: bool, most: int) -> str:
         return f"CASE WHEN NOT sel THEN {old} WHEN NOT pano THEN {none} WHEN {first} THEN {text} WHEN {ml} THEN {vote} ELSE {weak.format(text=text, weak=low)} END"
 
     finer = _finer("key", _of("key", _SUBLABEL))
-    return f"""{_HC.replace('WITH c AS', f'WITH {_VOTES}, c AS')}, e AS (SELECT oid, row_number() OVER (ORDER BY oid) AS r FROM parcels WHERE trim(class_ui) = '' OR trim(subclass_ui) = '' OR trim(class_ui) = 'Категории нет'),
-    d AS (SELECT p.*, winner.key, coalesce(e.r <= {most}, false) AS sel, contains(lower(photos_ui), 'll=') AS pano, contains(lower(generated_land_use), 'просто зелень') OR contains(lower(generated_land_use), 'прочие нежилые') AS amb FROM p LEFT JOIN e ON p.oid = e.oid LEFT JOIN winner ON winner.parcel_key = p.parcel_key),
+    return f"""{_HC.replace('WITH c AS', f'WITH {_VOTES}, c AS')}{more}, e AS (SELECT oid, row_number() OVER (ORDER BY oid) AS r FROM parcels WHERE {asked}),
+    d AS (SELECT p.*, winner.key, coalesce(e.r <= {most}, false) AS sel, contains(lower(photos_ui), 'll='){near} AS pano, contains(lower(generated_land_use), 'просто зелень') OR contains(lower(generated_land_use), 'прочие нежилые') AS amb FROM p LEFT JOIN e ON p.oid = e.oid LEFT JOIN winner ON winner.parcel_key = p.parcel_key),
     done AS (SELECT oid, {case('class_ui', "'Категории нет'", 'cls', _of('key', _LABEL), 'class_ui')} AS class_ui, {case('subclass_ui', "''", 'sub', finer, 'subclass_ui')} AS subclass_ui,
     {case('panorama_status_ui', "'Нет панорамы'", "'Панорама доступна'", "'Панорама доступна'", "'ML: низкая уверенность'")} AS panorama_status_ui, {case('NULL', "'no_panorama'", "'heuristic'", "'ml'", "'ml_low_confidence'")} AS outcome FROM d)"""
 
 
-def _classified(spark, sf, mode, fallback, most):
+def _classified(spark, sf, mode, fallback, most, metres=None, overwrite=False):
     key = F.element_at(F.array(*map(F.lit, rules.CLASS_KEYS)), (F.col("view_index") % 6 + 1).cast("int"))
     votes = bound(spark, sf, "votes").select(F.concat(F.lit("p"), F.col("parcel_key").cast("string")).alias("parcel_key"), "view_index", key.alias("class_key"), "confidence")
-    return jobs.classified(bound(spark, sf, "parcels"), votes, mode=mode, fallback=fallback, max_rows=most)
+    p, beside = bound(spark, sf, "parcels"), None
+    if metres:
+        beside = tables.kept(jobs.with_panorama_beside(p.withColumn("ring", _ring()), bound(spark, sf, "panoramas"), metres), "beside")
+    return jobs.classified(p, votes, mode=mode, fallback=fallback, max_rows=most, beside=beside, overwrite=overwrite)
 
 
 @query(f"{_decided('smart', False, 500)} SELECT oid, class_ui, subclass_ui, panorama_status_ui, outcome FROM done")
@@ -200,6 +209,17 @@ def g7_parcel_classification_by_votes_alone(spark, sf):
     return _classified(spark, sf, "ml", False, 1500).select("oid", "class_ui", "subclass_ui", "panorama_status_ui", "outcome")
 
 
+@query(f"{_decided('ml+heuristic', True, 100_000_000, True, True)} SELECT oid, class_ui, subclass_ui, panorama_status_ui, outcome FROM done")
+def g7_parcels_with_panoramas_beside(spark, sf):
+    """All parcels anew; those without links count as having a panorama if one is near their boundary points."""
+    return _classified(spark, sf, "ml+heuristic", True, 100_000_000, 40.0, True).select("oid", "class_ui", "subclass_ui", "panorama_status_ui", "outcome")
+
+
+@query(f"WITH {_BESIDE} SELECT parcel_key FROM beside WHERE parcel_key NOT IN (SELECT parcel_key FROM parcels WHERE contains(lower(photos_ui), 'll='))")
+def g7_panoramas_beside(spark, sf):
+    return jobs.with_panorama_beside(bound(spark, sf, "parcels").withColumn("ring", _ring()), bound(spark, sf, "panoramas"))
+
+
 @query(f"""{_decided('ml', False, 1500)}, o AS (SELECT outcome FROM done WHERE outcome IS NOT NULL UNION ALL SELECT 'skipped' FROM done WHERE outcome = 'ml_low_confidence')
     SELECT k.outcome, count(o.outcome) AS n FROM (SELECT unnest(['heuristic', 'ml', 'ml_low_confidence', 'no_panorama', 'skipped']) AS outcome) k LEFT JOIN o ON o.outcome = k.outcome GROUP BY 1""")
 def a18_run_statistics(spark, sf):

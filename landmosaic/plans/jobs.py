@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, rules, text, vectors
 from ..functions.core import is_empty
-from ..operators import joins, metrics, quality, ranking
+from ..operators import joins, metrics, places, quality, ranking
 from ..sources.tables import kept, statistics
 
 
@@ -74,20 +74,41 @@ def heuristic_filled(parcels: DataFrame, overwrite: bool = False) -> DataFrame:
     return parcels.select(*rest, new("class_ui"), new("subclass_ui"), (~skip).alias("filled"))
 
 
-def classified(parcels: DataFrame, votes: DataFrame, mode: str = "smart", max_rows: int = 500, require_panorama: bool = True, fallback: bool = False, least: float = 0.28) -> DataFrame:
+BESIDE, LOOKED_AT = 40.0, 3  # metres, boundary points
+
+
+def with_panorama_beside(parcels: DataFrame, panoramas: DataFrame, metres: float = BESIDE, most: int = LOOKED_AT) -> DataFrame:
+    """parcel_key of the parcels (ring, lat, lon, photos_ui) without a link that have a panorama (lat, lon) within `metres` of
+    one of their first boundary points. A semi-join: a point is done with the first panorama that is found."""
+    points = F.slice(geo.merged_points(geo.boundary_points(F.col("ring"), F.col("lat"), F.col("lon"))), 1, most)
+    rows = parcels.where(~F.coalesce(text.has_link(F.col("photos_ui")), F.lit(False))).select("parcel_key", F.explode(points).alias("p"))
+    circles = rows.select("parcel_key", F.col("p.lat").alias("c_lat"), F.col("p.lon").alias("c_lon"))
+    found = places.with_any_within(circles, panoramas.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), metres)
+    return found.select("parcel_key").distinct()
+
+
+def classified(
+    parcels: DataFrame, votes: DataFrame, mode: str = "smart", max_rows: int = 500, require_panorama: bool = True, fallback: bool = False, least: float = 0.28,
+    beside: DataFrame | None = None, overwrite: bool = False,
+) -> DataFrame:
     """parcels with class_ui, subclass_ui, panorama_status_ui and outcome of the first max_rows eligible ones decided: no
-    panorama, text rules, the views' vote, or low confidence."""
+    panorama, text rules, the views' vote, or low confidence. A parcel has a panorama if it has a link to one, or if its key
+    is in `beside` (as with_panorama_beside gives them). Eligible are those without a class or subclass; with overwrite all."""
     if mode == "heuristic" and not require_panorama:
-        return heuristic_filled(parcels).withColumn("outcome", F.when("filled", "heuristic")).drop("filled")
-    eligible = is_empty(F.col("class_ui")) | is_empty(F.col("subclass_ui")) | (F.trim("class_ui") == rules.NO_CATEGORY)
+        return heuristic_filled(parcels, overwrite).withColumn("outcome", F.when("filled", "heuristic")).drop("filled")
+    eligible = F.lit(overwrite) | is_empty(F.col("class_ui")) | is_empty(F.col("subclass_ui")) | (F.trim("class_ui") == rules.NO_CATEGORY)
     rows = ranking.first_eligible(parcels, eligible, "oid", max_rows)
+    there = text.has_link(F.col("photos_ui"))
+    if beside is not None:
+        rows = rows.join(beside.select("parcel_key", F.lit(True).alias("_beside")), "parcel_key", "left")
+        there = there | F.coalesce("_beside", F.lit(False))
     winner = metrics.voted(votes, least=least).withColumnsRenamed({"class_key": "vote", "confidence": "vote_confidence"})
     rows = rows.join(winner, "parcel_key", "left")
     desc = F.col("generated_land_use")
     h, vote = rules.text_class_or_default(desc), F.col("vote").isNotNull() & F.lit(mode != "heuristic")
     smart_text = F.lit(mode == "smart") & ~rules.is_ambiguous(desc)
     selected = F.col("selected")
-    none = ~text.has_link(F.col("photos_ui")) & F.lit(require_panorama)
+    none = ~there & F.lit(require_panorama)
     ml_sub = rules.refined_subclass(F.col("vote"), desc, rules.label_of(F.col("vote"), 1))
     use_text = F.lit(fallback)
 

@@ -143,3 +143,17 @@ def test_best_runs(spark):
     runs = spark.createDataFrame([(1, 6, 0.5, None, 0.9), (2, 6, 0.7, 0.5, 0.1), (3, 3, 0.9, None, 0.2), (4, 3, 0.9, None, 0.3)], "run int, n_classes int, val_acc double, val_macro_f1 double, val_balanced_f1 double")
     assert [metrics.best_run(runs, "checkpoint", k).first().run for k in (6, 3)] == [1, 3]
     assert metrics.best_run(runs.where("false"), "checkpoint", 6).count() == 0
+
+
+def test_first_eligible_counts_rows_without_a_place_and_repeated_ones(spark):
+    rows = spark.createDataFrame([(None, 1), (1, 1), (2, 1), (2, 1), (0, 0)], "oid int, ok int")
+    for most, want in ((1, [None]), (2, [None, 1]), (3, [None, 1, 2]), (9, [None, 1, 2, 2])):
+        got = ranking.first_eligible(rows, F.col("ok") == 1, "oid", most).collect()
+        assert len(got) == 5 and sorted([r.oid for r in got if r.selected], key=lambda x: (x is not None, x or 0)) == want
+
+
+def test_index_over_many_partitions_and_ties(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).alias("k"), "id").repartition(13)
+    got = ranking.indexed(rows, ["k"]).orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(5000)) and [r.k for r in got] == sorted(r.k for r in got)
+    assert ranking.indexed(rows.limit(0), ["k"]).count() == 0
