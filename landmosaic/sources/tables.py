@@ -32,21 +32,40 @@ LABEL = "image_path string, split string, osm_label string, vlm_label string, vl
 
 
 def work_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share: the one that spark.checkpoint.dir names, or, on a local
+    master only, one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='landmosaic-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, kind: str) -> DataFrame:
-    """df written to the shared folder and read again, where several passes would each work out long rules anew."""
+    """df written to the shared folder and read again: cuts the lineage, outlives any executor, and is worked out once however
+    many passes read it. It stays until the folder is cleared, or its files go with removed()."""
     path = work_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern with stars matches, in any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(f.getPath().toString() for f in (system.globStatus(path) or []))
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders; those that aren't there are no error."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """Object metadata, one JSON file each below a folder per class; rows without id go, and folder_class is the folder's name."""
     rows = spark.read.schema(OBJECT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
