@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, text, vectors
@@ -226,14 +227,38 @@ def a18_run_statistics(spark, sf):
     return metrics.run_statistics(_classified(spark, sf, "ml", False, 1500))
 
 
+def _features(spark, sf):
+    return bound(spark, sf, "samples").select("seq", F.col("pixels").alias("features"), "class_id", "split", F.lit(1.0).alias("sample_weight"))
+
+
+def _given_head(spark, sf):
+    """Weights and bias of a head that is there before: the mean embeddings of the classes, as many rows as classes."""
+    rows = sorted(_prototypes(spark, sf).collect())
+    return np.array([r["v"] for r in rows]), np.zeros(len(rows))
+
+
 @query()
 def g8_linear_probe(spark, sf):
-    s = bound(spark, sf, "samples").select("seq", F.col("pixels").alias("features"), "class_id", "split", F.lit(1.0).alias("sample_weight"))
-    grid = tables.kept(jobs.probe_grid(s, 10, iterations=30), "grid")
+    grid = jobs.probe_grid(_features(spark, sf), 10, epochs=40)
     best = jobs.best_probe(grid).select("decay", F.lit(True).alias("is_best"))
     return grid.join(F.broadcast(best), "decay", "left").withColumn("is_best", F.coalesce("is_best", F.lit(False)))  # one row
 
 
+@query()
+def g8_warm_start(spark, sf):
+    return jobs.probe_grid(_features(spark, sf), 10, start=_given_head(spark, sf), epochs=10)
+
+
+@query(f"""WITH v AS (SELECT class_id, i, avg(CAST(pixels[i] AS DOUBLE)) AS x FROM samples, range(1, 65) r(i) GROUP BY 1, 2),
+    d AS (SELECT s.seq, s.class_id AS truth, v.class_id AS c, sum(CAST(s.pixels[i] AS DOUBLE) * v.x) AS z FROM samples s, v WHERE s.split = 'val' GROUP BY 1, 2, 3),
+    p AS (SELECT seq, truth, arg_max(c, z) AS said FROM d GROUP BY 1, 2), r AS (SELECT *, {_rank('truth', 'seq')} AS r FROM p),
+    k AS (SELECT unnest(range(10)) AS c), f AS (SELECT c, count_if(truth = c AND said = c) AS hit, count_if(truth = c) + count_if(said = c) AS both_, count_if(r <= 35 AND truth = c AND said = c) AS hit35, count_if(r <= 35 AND truth = c) + count_if(r <= 35 AND said = c) AS both35 FROM k, r GROUP BY 1)
+    SELECT unnest([0.01e0, 0.05e0, 0.1e0, 0.3e0, 1e0]) AS decay, (SELECT round(avg(CASE WHEN truth = said THEN 1e0 ELSE 0 END), 4) FROM r) AS accuracy, (SELECT round(avg(CASE WHEN both_ > 0 THEN 2e0 * hit / both_ ELSE 0 END), 6) FROM f) AS macro_f1, (SELECT round(avg(CASE WHEN both35 > 0 THEN 2e0 * hit35 / both35 ELSE 0 END), 6) FROM f) AS balanced_f1""")
+def g8_given_head(spark, sf):
+    """A head that is given, scored as it is: no epoch."""
+    return jobs.probe_grid(_features(spark, sf), 10, start=_given_head(spark, sf), epochs=0)
+
+
 @query(f"""{_HC}, k AS (SELECT parcel_key, {_KEYS_SQL} AS class_key, cls FROM p), e AS (SELECT parcel_key, class_key, cls <> {_of('class_key', _LABEL)} AS is_error FROM k WHERE class_key IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY class_key ORDER BY is_error DESC, md5(concat('42|', parcel_key)), parcel_key) AS r FROM e), a AS (SELECT parcel_key, class_key, is_error FROM r WHERE r <= 41), q AS (SELECT parcel_key, class_key, is_error, {_rank('', 'parcel_key', '42-top')} AS t FROM r WHERE r > 41),
     u AS (SELECT *, 0 AS top FROM a UNION ALL SELECT parcel_key, class_key, is_error, 1 FROM q WHERE t <= 250 - (SELECT count(*) FROM a)), o AS (SELECT *, row_number() OVER (ORDER BY top, list_position({list(_LABEL)}, class_key), md5(concat('42|', parcel_key)), parcel_key) AS j FROM u),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, rules, text, vectors
 from ..functions.core import is_empty
-from ..operators import joins, metrics, places, quality, ranking
+from ..operators import joins, metrics, places, probe, quality, ranking
 from ..sources.tables import kept, statistics
 
 
@@ -144,35 +144,9 @@ def hard_cases(parcels: DataFrame, most: int = 60, weight: float = 4.0, seed: st
     return ranking.row_split(some, "parcel_key", 0.15, 2, seed).withColumn("sample_weight", F.lit(weight))
 
 
-def probe_grid(features: DataFrame, n_classes: int, decays: tuple[float, ...] = (0.001, 0.01, 0.05, 0.1, 0.3, 1.0, 3.0), smoothing: float = 0.05, iterations: int = 50, cap: int = 35) -> DataFrame:
-    """decay, accuracy, macro_f1, balanced_f1 of a multinomial linear head for each weight decay: features (seq, features array,
-    class_id, split, sample_weight). balanced_f1 is over at most `cap` rows of each class.
-
-    Label smoothing is exact by rows: each row goes in once per class, weighted by that class's share of its smoothed label."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    weights = metrics.class_weights(features.where("split = 'train'"), "class_id", n_classes, "sample_weight")
-    rows = features.join(weights, "class_id", "left").withColumn("v", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
-    train = rows.where("split = 'train'").withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1)))).withColumn("label", F.col("label").cast("double"))
-    share = F.when(F.col("label") == F.col("class_id"), 1 - smoothing + smoothing / n_classes).otherwise(smoothing / n_classes)
-    train = kept(train.withColumn("w", F.col("sample_weight") * F.col("weight") * share).select("v", "label", "w"), "train")
-    val = ranking.exact_rank(rows.where("split = 'val'").select("seq", "class_id", "v"), ["class_id"], "seq", "42").drop("rank_n")
-    val = kept(val, "val")
-    classes = features.sparkSession.range(n_classes).withColumnRenamed("id", "class_id")
-    found = None
-    for decay in decays:  # a few fits, each over the whole table
-        model = LogisticRegression(featuresCol="v", labelCol="label", weightCol="w", regParam=decay, maxIter=iterations, family="multinomial", predictionCol="p").fit(train)
-        pairs = model.transform(val).groupBy(F.lit(decay).alias("decay"), F.col("class_id").cast("long").alias("truth"), F.col("p").cast("long").alias("predicted")).agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= cap).alias("capped"))
-        found = pairs if found is None else found.unionByName(pairs)
-    found, out = kept(found, "pairs"), None
-    for decay in decays:  # as many rows as pairs of classes
-        mine = found.where(F.col("decay") == decay)
-        acc = mine.agg(F.bround(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("accuracy"))
-        balanced = metrics.macro(metrics.class_scores(mine.select("truth", "predicted", F.col("capped").alias("n")), classes)).select(F.col("macro_f1").alias("balanced_f1"))
-        row = acc.crossJoin(metrics.macro(metrics.class_scores(mine, classes))).crossJoin(balanced).select(F.lit(decay).alias("decay"), "accuracy", "macro_f1", "balanced_f1")  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
+def probe_grid(features: DataFrame, n_classes: int, **how) -> DataFrame:
+    """decay, accuracy, macro_f1, balanced_f1 of a linear head for each weight decay; how: as for probe.fitted."""
+    return probe.grid(features.sparkSession, probe.fitted(features, n_classes, **how))
 
 
 def best_probe(grid: DataFrame, select_by: str = "accuracy") -> DataFrame:
