@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,9 +106,13 @@ def evidence_boxes(rows: DataFrame, heat: str = "heat", width: str = "width", th
     return rows.mapInPandas(run, schema)
 
 
-def perspective_view(rgb: np.ndarray, heading: float, pitch: float, fov: float, width: int, height: int) -> np.ndarray:
-    """A pin-hole view of an equirectangular image (h, w, 3), with bilinear sampling; headings turn right, pitches up."""
-    h, w = rgb.shape[:2]
+MAPS = 256  # sampling maps that a task remembers
+
+
+@lru_cache(maxsize=MAPS)
+def sampling_map(h: int, w: int, heading: float, pitch: float, fov: float, width: int, height: int) -> tuple[np.ndarray, ...]:
+    """Where the pixels of a pin-hole view lie in an equirectangular image of that size: places of the four neighbours in its
+    pixels, and the shares of the right and lower ones. Headings turn right, pitches up. The same for all images of a size."""
     f = width / 2 / np.tan(np.radians(fov) / 2)
     x, y = np.meshgrid(np.arange(width) - (width - 1) / 2, (height - 1) / 2 - np.arange(height))
     d = np.stack([x, y, np.full_like(x, f)], axis=-1)
@@ -117,20 +123,40 @@ def perspective_view(rgb: np.ndarray, heading: float, pitch: float, fov: float,
     lat = np.arcsin(np.clip(up, -1, 1))
     u, v = (lon / (2 * np.pi) + 0.5) * w - 0.5, np.clip((0.5 - lat / np.pi) * h - 0.5, 0, h - 1)
     x0, y0 = np.floor(u).astype(int), np.floor(v).astype(int)
-    a, b = (u - x0)[..., None], (v - y0)[..., None]
     y1 = np.minimum(y0 + 1, h - 1)
-    at = lambda yy, xx: rgb[yy, xx % w].astype(float)
-    out = (at(y0, x0) * (1 - a) + at(y0, x0 + 1) * a) * (1 - b) + (at(y1, x0) * (1 - a) + at(y1, x0 + 1) * a) * b
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    places = [(yy * w + xx % w).ravel() for yy in (y0, y1) for xx in (x0, x0 + 1)]
+    return (*places, (u - x0).reshape(-1, 1), (v - y0).reshape(-1, 1))
 
 
-def perspective_views(rows: DataFrame, headings: list[float], pitches: list[float], fov: float, width: int, height: int) -> DataFrame:
-    """image_path, heading, pitch, rgb of every view of raw equirectangular images (image_path, rgb, width, height); batches stay small."""
-    views = rows.select("image_path", F.col("rgb").alias("source"), F.col("width").alias("w"), F.col("height").alias("h"), F.explode(F.array(*map(F.lit, headings))).alias("heading")).withColumn("pitch", F.explode(F.array(*map(F.lit, pitches))))
+def perspective_view(rgb: np.ndarray, heading: float, pitch: float, fov: float, width: int, height: int) -> np.ndarray:
+    """A pin-hole view of an equirectangular image (h, w, 3), with bilinear sampling."""
+    h, w = rgb.shape[:2]
+    upper_left, upper_right, lower_left, lower_right, a, b = sampling_map(h, w, float(heading), float(pitch), float(fov), width, height)
+    flat = rgb.reshape(-1, 3)
+    at = lambda i: flat[i].astype(float)
+    out = (at(upper_left) * (1 - a) + at(upper_right) * a) * (1 - b) + (at(lower_left) * (1 - a) + at(lower_right) * a) * b
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8).reshape(height, width, 3)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            images = [np.frombuffer(s, np.uint8).reshape(h, w, 3) for s, w, h in zip(f["source"], f["w"], f["h"], strict=True)]
-            yield f[["image_path", "heading", "pitch"]].assign(rgb=[perspective_view(i, a, b, fov, width, height).tobytes() for i, a, b in zip(images, f["heading"], f["pitch"], strict=True)])
 
-    return views.mapInPandas(run, "image_path string, heading double, pitch double, rgb binary")
+def perspective_views(rows: DataFrame, headings: list[float], pitches: list[float], fov: float, width: int, height: int) -> DataFrame:
+    """image_path, heading, pitch, rgb of every view of raw equirectangular images (image_path, rgb, width, height).
+
+    An image's bytes come to Python once, whatever the number of its views, which leave one by one: a task holds a batch of
+    images and one view. Images whose bytes don't fit their size, or that are null, have no views."""
+    looks = [(float(a), float(b)) for a in headings for b in pitches]
+    names, kinds = ["image_path", "heading", "pitch", "rgb"], [pa.string(), pa.float64(), pa.float64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, sources, ws, hs = (batch.column(i) for i in range(4))
+            for path, source, w, h in zip(paths.to_pylist(), sources, ws.to_pylist(), hs.to_pylist(), strict=True):
+                pixels = source.as_buffer()
+                if pixels is None or not w or not h or w < 0 or h < 0 or len(pixels) != w * h * 3:
+                    continue
+                image = np.frombuffer(pixels, np.uint8).reshape(h, w, 3)
+                for heading, pitch in looks:
+                    view = perspective_view(image, heading, pitch, fov, width, height).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((path, heading, pitch, view), kinds, strict=True)], names)
+
+    images = rows.select(F.col("image_path").cast("string").alias("image_path"), "rgb", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+    return images.mapInArrow(run, "image_path string, heading double, pitch double, rgb binary")

@@ -346,12 +346,15 @@ def f33_view_grid(spark, sf):
     return views.select(F.col("image_path").cast("long").alias("seq"), text.view_name("view", F.col("heading"), F.col("pitch"), 90.0, 8, 6).alias("name"), F.hex("rgb").alias("rgb"))
 
 
-@query()
+@query("""WITH v AS (SELECT pitch, x - 3.5e0 AS x, 2.5e0 - y AS y, y AS row_, x AS col, 4e0 AS f, radians(pitch) AS p FROM unnest([-25e0, 0e0, 30e0]) a(pitch), range(8) b(x), range(6) c(y)),
+    u AS (SELECT *, asin((y * cos(p) + f * sin(p)) / sqrt(x * x + y * y + f * f)) AS lat FROM v), w AS (SELECT *, greatest(0, least(7, (0.5 - lat / pi()) * 8 - 0.5)) AS place FROM u),
+    g AS (SELECT seq, pitch, string_agg(repeat(printf('%02X', CAST(round_even(seq % 40 + 30 * place, 0) AS INT)), 3), '' ORDER BY row_, col) AS rgb FROM samples, w GROUP BY 1, 2) SELECT seq, heading, pitch, rgb FROM g, unnest([0e0, 90e0, 215e0]) h(heading)""")
 def f32_views(spark, sf):
-    """Views of equirectangular images made of embeddings, by their number, bytes and different pictures."""
-    s = bound(spark, sf, "samples").select("image_path", F.to_binary(F.concat_ws("", F.transform("pixels", lambda x: F.repeat(F.lpad(F.hex(F.pmod((x * 40 + 128).cast("int"), F.lit(256)).cast("long")), 2, "0"), 6))), F.lit("hex")).alias("rgb"), F.lit(16).alias("width"), F.lit(8).alias("height"))
-    views = vectors.perspective_views(s, [0.0, 90.0, 180.0, 270.0], [0.0], 90.0, 8, 6)
-    return views.groupBy("heading", "pitch").agg(F.count("*").alias("views"), F.sum(F.length("rgb")).alias("bytes"), F.count_distinct(F.md5("rgb")).alias("different"))
+    """Views up and down of equirectangular images that get brighter from row to row, the same in any direction."""
+    row = lambda i: F.repeat(F.lpad(F.hex(F.col("seq") % 40 + 30 * i), 2, "0"), 16 * 3)
+    s = bound(spark, sf, "samples").select(F.col("seq").cast("string").alias("image_path"), F.to_binary(F.concat(*map(row, range(8))), F.lit("hex")).alias("rgb"), F.lit(16).alias("width"), F.lit(8).alias("height"))
+    views = vectors.perspective_views(s, [0.0, 90.0, 215.0], [-25.0, 0.0, 30.0], 90.0, 8, 6)
+    return views.select(F.col("image_path").cast("long").alias("seq"), "heading", "pitch", F.hex("rgb").alias("rgb"))
 
 
 # ---------------------------------------------------------------- sources and sinks

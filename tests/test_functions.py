@@ -148,3 +148,10 @@ def test_crops_are_labelled_once(spark, tmp_path):
         spark.createDataFrame([(x, "natural_areas") for x in part], "image_path string, raw string").write.mode("append").parquet(f"{tmp_path}/in")
         jobs.ingest_answers(spark.readStream.schema("image_path string, raw string").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert sorted((r.image_path, r.batch) for r in jobs.ingested(spark, f"{tmp_path}/out").collect()) == [("a", 0), ("b", 0), ("c", 1)]
+
+
+def test_images_that_do_not_fit_their_size_have_no_views(spark):
+    rows = spark.createDataFrame([("a", b"\x07" * 96, 8, 4), ("b", b"\x07" * 95, 8, 4), ("c", None, 8, 4), ("d", b"", 0, 0), (None, b"\x09" * 96, 8, 4)], "image_path string, rgb binary, width int, height int")
+    got = sorted(((r.image_path, r.heading, r.pitch, bytes(r.rgb)) for r in vectors.perspective_views(rows, [0, 90], [0, 10], 90.0, 2, 3).collect()), key=repr)
+    assert got == sorted([(n, h, p, bytes([v]) * 18) for n, v in (("a", 7), (None, 9)) for h in (0.0, 90.0) for p in (0.0, 10.0)], key=repr)
+    assert vectors.sampling_map.cache_info().maxsize == vectors.MAPS
