@@ -80,6 +80,17 @@ def crop_path(split: Column, class_name: Column, path: Column, tag: Column) -> C
     return F.concat_ws("/", split, class_name, F.concat(stem, F.when(tag != "", F.concat(F.lit("_"), tag)).otherwise(""), F.when(suffix == "", ".jpg").otherwise(suffix)))
 
 
+def crop_record(split: Column, class_name: Column, source: Column, view: Column, region_fov: Column, fov: float | None = None, pitch: float = 0.0, offset: float = 0.0, width: int = 896, height: int = 672) -> Column:
+    """struct(image_path, perspective) of a view (heading, tag; as heading_fan_out gives them) of an image. The field of view is
+    the given one, else the region's, else 90 degrees; a tagged view is one of several."""
+    wide = F.coalesce(F.lit(fov).cast("double"), region_fov.cast("double"), F.lit(90.0))
+    perspective = F.struct(
+        F.bround(view["heading"], 4).alias("heading_deg"), F.lit(float(offset)).alias("heading_offset_deg"), F.lit(float(pitch)).alias("pitch_deg"), wide.alias("fov_deg"),
+        F.lit(width).alias("out_width"), F.lit(height).alias("out_height"), source.alias("source_equirect"), (view["tag"] != "").alias("multi_heading"),
+    )
+    return F.struct(crop_path(split, class_name, source, view["tag"]).alias("image_path"), perspective.alias("perspective"))
+
+
 def view_name(prefix: str, heading: Column, pitch: Column, fov: float, width: int, height: int) -> Column:
     whole = lambda c: F.bround(c, 0).cast("int").cast("string")
     return F.concat(F.lit(f"{prefix}_h"), whole(heading), F.lit("_p"), whole(pitch), F.lit(f"_f{round(fov)}_{width}x{height}.jpg"))
@@ -92,6 +103,13 @@ def season_of(month: Column) -> Column:
     return out
 
 
+def capture_parts(taken: Column) -> Column:
+    """struct(capture_date, capture_year, capture_month, capture_day, capture_season) of the time of capture; null without one."""
+    parts = {"year": F.year(taken), "month": F.month(taken), "day": F.dayofmonth(taken)}
+    named = [c.alias(f"capture_{k}") for k, c in parts.items()]
+    return F.when(taken.isNotNull(), F.struct(F.date_format(taken, "yyyy-MM-dd").alias("capture_date"), *named, season_of(F.month(taken)).alias("capture_season")))
+
+
 def season_from_name(stem: Column) -> Column:
     """null for the default panorama, else the season that the file name carries."""
     return F.when(stem == "panorama", None).when(stem.startswith("panorama_"), F.regexp_replace(stem, "^panorama_", "")).otherwise(stem)

@@ -11,6 +11,21 @@ def zero_filled_counts(rows: DataFrame, keys: DataFrame, by: list[str], name: st
     return keys.join(rows.groupBy(*by).agg(F.count("*").alias(name)), by, "left").fillna({name: 0})
 
 
+def totals(rows: DataFrame, class_col: str = "class_name", object_col: str = "object_id") -> DataFrame:
+    """class, n, objects: rows and different objects of each class, and of all (null)."""
+    return rows.rollup(class_col).agg(F.count("*").alias("n"), F.count_distinct(object_col).alias("objects"))
+
+
+def dataset_info(samples: DataFrame, object_col: str = "object_id") -> DataFrame:
+    """One row: samples, and those of each split; objects of each, and of both, which a valid dataset has none of."""
+    o = samples.groupBy(object_col).agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return o.agg(
+        zero(F.col("t") + F.col("v")).alias("samples"), zero("t").alias("train"), zero("v").alias("val"), F.count_if(F.col("t") > 0).alias("train_objects"), F.count_if(F.col("v") > 0).alias("val_objects"),
+        F.count_if((F.col("t") > 0) & (F.col("v") > 0)).alias("overlap"),
+    )
+
+
 def class_weights(rows: DataFrame, class_col: str, n_classes: int, weight: str | None = None) -> DataFrame:
     """n / (C * max(n_c, 1)); with sample weights, n_c is their sum."""
     per = rows.groupBy(class_col).agg((F.sum(weight) if weight else F.count("*")).cast("double").alias("_n"))
@@ -89,7 +104,8 @@ def best_run(runs: DataFrame, policy: str, n_classes: int | None = None) -> Data
         score = [zero("val_macro_f1", "val_balanced_f1") if n_classes == 6 else zero("val_acc")]
     else:
         score = {"metrics": [F.col("macro_f1"), F.col("accuracy")], "parcels": [zero("gpkg_acc"), F.col("val_acc")]}[policy]
-    return runs.agg(F.max_by(F.struct(*runs.columns), F.struct(*score, -F.col("run"))).alias("b")).where("b IS NOT NULL").select("b.*")
+    last = [F.coalesce((-s).cast("double"), F.lit(float("inf"))) for s in score]
+    return runs.agg(F.min_by(F.struct(*runs.columns), F.struct(*last, "run")).alias("b")).where("b IS NOT NULL").select("b.*")
 
 
 def on_target(accuracy: Column, macro_f1: Column, balanced_f1: Column, least: tuple[float, float, float] = (0.75, 0.60, 0.70)) -> Column:

@@ -105,17 +105,35 @@ def a20_drop_report(spark, sf):
 # ---------------------------------------------------------------- jobs
 
 
-@query(f"""WITH e AS (SELECT object_id, season, CASE WHEN season = 'autumn' THEN NULL ELSE arg_min(lat, pano_id) END AS y, arg_min(lon, pano_id) AS x FROM panoramas GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY season) AS k FROM e),
+_PREPARED = f"""e AS (SELECT object_id, season, CASE WHEN season = 'autumn' THEN NULL ELSE arg_min(lat, pano_id) END AS y, arg_min(lon, pano_id) AS x FROM panoramas GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY season) AS k FROM e),
     s AS (SELECT pano_id, object_id, CASE WHEN pano_id % 3 > 0 THEN season END AS season, concat('data/', pano_id, '/panorama', CASE WHEN pano_id % 3 > 0 THEN concat('_', season) ELSE '' END, '.jpg') AS source_path FROM panoramas),
     q AS (SELECT s.pano_id, o.class_name, s.object_id, s.season, s.source_path, o.lat AS la, o.lon AS lo, CASE WHEN q.y IS NOT NULL THEN q.y ELSE o.lat END AS y, CASE WHEN q.y IS NOT NULL THEN q.x ELSE o.lon END AS x FROM s JOIN objects o ON s.object_id = o.object_id LEFT JOIN f q ON q.object_id = s.object_id AND CASE WHEN s.season IS NULL THEN q.k = 1 ELSE q.season = s.season END),
     r AS (SELECT object_id, {_rank('class_name', 'object_id')} AS r, count(*) OVER (PARTITION BY class_name) AS n FROM objects), v AS (SELECT object_id, CASE WHEN r <= least(round_even(n * 0.2e0, 0), CASE WHEN n > 1 THEN n - 1 ELSE n END) THEN 'val' ELSE 'train' END AS split FROM r),
-    i AS (SELECT q.*, split, row_number() OVER (ORDER BY class_name, q.object_id, coalesce(season, ''), source_path) - 1 AS idx FROM q JOIN v ON q.object_id = v.object_id)
+    i AS (SELECT q.*, split, row_number() OVER (ORDER BY class_name, q.object_id, coalesce(season, ''), source_path) - 1 AS idx FROM q JOIN v ON q.object_id = v.object_id)"""
+
+
+@query(f"""WITH {_PREPARED}
     SELECT source_path, split, idx, concat(split, '/', class_name, '/', object_id, '_', coalesce(season, 'default'), '_', printf('%04d', idx), '.jpg') AS image_path, round_even({_dist('y', 'x', 'la', 'lo')}, 2) AS distance_m, {_dist('y', 'x', 'la', 'lo')} >= 2 AS has_bearing FROM i""")
 def g1_prepare_split(spark, sf):
+    r = _prepared(spark, sf)
+    return r.select("source_path", "split", F.col("idx").cast("long").alias("idx"), "image_path", F.col("region.distance_m_approx").alias("distance_m"), F.col("region.bearing_geographic_deg").isNotNull().alias("has_bearing"))
+
+
+def _prepared(spark, sf):
     p = bound(spark, sf, "panoramas")
     name = F.concat(F.lit("data/"), "pano_id", F.lit("/panorama"), F.when(F.col("pano_id") % 3 > 0, F.concat(F.lit("_"), "season")).otherwise(""), F.lit(".jpg"))
-    r = jobs.prepared(_placed(spark, sf), p.select("object_id", name.alias("source_path")))
-    return r.select("source_path", "split", F.col("idx").cast("long").alias("idx"), "image_path", F.col("region.distance_m_approx").alias("distance_m"), F.col("region.bearing_geographic_deg").isNotNull().alias("has_bearing"))
+    return jobs.prepared(_placed(spark, sf), p.select("object_id", name.alias("source_path")))
+
+
+_KEY_LIST = "['natural_areas', 'low_density_degraded', 'underused_infrastructure', 'frozen_construction', 'active_construction', 'active_urban']"
+
+
+@query(f"""WITH {_PREPARED}, k AS (SELECT split, class_name FROM (SELECT DISTINCT split FROM i), (SELECT unnest({_KEY_LIST}) AS class_name)), o AS (SELECT object_id, count_if(split = 'train') AS t, count_if(split = 'val') AS v FROM i GROUP BY 1),
+    n AS (SELECT sum(t) + sum(v) AS samples, sum(t) AS train, sum(v) AS val, count_if(t > 0) AS train_objects, count_if(v > 0) AS val_objects, count_if(t > 0 AND v > 0) AS overlap FROM o)
+    SELECT 'class' AS kind, k.split, k.class_name AS key, count(i.idx) AS n FROM k LEFT JOIN i ON i.split = k.split AND i.class_name = k.class_name GROUP BY 2, 3
+    UNION ALL SELECT 'info', NULL, key, CAST(n AS BIGINT) FROM (UNPIVOT (SELECT CAST(samples AS BIGINT) AS samples, CAST(train AS BIGINT) AS train, CAST(val AS BIGINT) AS val, CAST(train_objects AS BIGINT) AS train_objects, CAST(val_objects AS BIGINT) AS val_objects, CAST(overlap AS BIGINT) AS overlap FROM n) ON COLUMNS(*) INTO NAME key VALUE n)""")
+def g1_prepared_statistics(spark, sf):
+    return jobs.prepared_statistics(tables.kept(_prepared(spark, sf).select("object_id", "class_name", "split"), "prepared"), dims(spark, rules.CLASS_KEYS, "class_name"))
 
 
 _J1 = "c AS (SELECT image_path, arg_max(class_name, seq) AS osm_label, arg_max(object_id, seq) AS object_id FROM crops GROUP BY 1), j AS (SELECT a.image_path, vlm_label AS class_name, osm_label, object_id FROM annotations a JOIN c ON a.image_path = c.image_path WHERE vlm_label <> 'meadow' AND coalesce(vlm_confident, true))"
@@ -186,9 +204,13 @@ def _decided(mode: str, fallback: bool, most: int, beside: bool = False, overwri
     {case('panorama_status_ui', "'Нет панорамы'", "'Панорама доступна'", "'Панорама доступна'", "'ML: низкая уверенность'")} AS panorama_status_ui, {case('NULL', "'no_panorama'", "'heuristic'", "'ml'", "'ml_low_confidence'")} AS outcome FROM d)"""
 
 
-def _classified(spark, sf, mode, fallback, most, metres=None, overwrite=False):
+def _votes(spark, sf):
     key = F.element_at(F.array(*map(F.lit, rules.CLASS_KEYS)), (F.col("view_index") % 6 + 1).cast("int"))
-    votes = bound(spark, sf, "votes").select(F.concat(F.lit("p"), F.col("parcel_key").cast("string")).alias("parcel_key"), "view_index", key.alias("class_key"), "confidence")
+    return bound(spark, sf, "votes").select(F.concat(F.lit("p"), F.col("parcel_key").cast("string")).alias("parcel_key"), "view_index", key.alias("class_key"), "confidence")
+
+
+def _classified(spark, sf, mode, fallback, most, metres=None, overwrite=False):
+    votes = _votes(spark, sf)
     p, beside = bound(spark, sf, "parcels"), None
     if metres:
         beside = tables.kept(jobs.with_panorama_beside(p.withColumn("ring", _ring()), bound(spark, sf, "panoramas"), metres), "beside")
@@ -279,16 +301,60 @@ def g11_error_report(spark, sf):
     return p.where("truth <> predicted").groupBy("truth", "predicted").agg(F.count("*").alias("n"), F.min("example").alias("example"))
 
 
-@query(rf"""WITH {_CLASS_OF_TAGS}, c AS (SELECT id, type, class_name, coalesce(name, landuse, leisure, class_name) AS name, coalesce(CASE WHEN c_lon IS NOT NULL THEN c_lat END, CASE WHEN e_lon IS NOT NULL THEN e_lat END) AS lat, coalesce(CASE WHEN c_lat IS NOT NULL THEN c_lon END, CASE WHEN e_lat IS NOT NULL THEN e_lon END) AS lon FROM tagged),
+_VALID = "trim(class_corrected_ui) NOT IN ('', 'nan', 'Категории нет')"
+_SHARE = lambda of: f"round_even(coalesce(avg(CASE WHEN {of} THEN 1e0 ELSE 0 END), 0), 4)"
+_SAMPLED = f"x AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42|', oid)), oid) AS r FROM p WHERE {_VALID} AND contains(lower(photos_ui), 'll='))"
+
+
+@query(f"""{_HC.replace('WITH c AS', f'WITH {_VOTES}, c AS')}, {_SAMPLED}, y AS (SELECT x.oid, trim(class_corrected_ui) AS truth, trim(subclass_corrected_ui) AS truth_sub, substr(generated_land_use, 1, 80) AS note,
+        CASE WHEN key IS NOT NULL THEN {_of('key', _LABEL)} ELSE class_ui END AS said, CASE WHEN key IS NOT NULL THEN {_finer('key', _of('key', _SUBLABEL))} ELSE subclass_ui END AS said_sub FROM x LEFT JOIN winner w ON w.parcel_key = x.parcel_key WHERE r <= 50),
+    e AS (SELECT *, row_number() OVER (ORDER BY oid) AS k FROM y WHERE said <> truth), hc AS (SELECT trim(class_corrected_ui) AS truth, cls FROM p WHERE contains(lower(generated_land_use), 'зелен') AND contains(lower(generated_land_use), 'двор') AND trim(class_corrected_ui) IN ('Природные территории', 'Активные городские территории') AND contains(lower(photos_ui), 'll='))
+    SELECT 'parcels' AS section, 'total' AS key, count(*) AS n, CAST(NULL AS DOUBLE) AS share, CAST(NULL AS VARCHAR) AS detail FROM p UNION ALL SELECT 'parcels', 'evaluated', count_if({_VALID})::BIGINT, NULL, NULL FROM p UNION ALL SELECT 'parcels', 'no_category', count_if(trim(class_corrected_ui) = 'Категории нет')::BIGINT, NULL, NULL FROM p
+    UNION ALL SELECT 'heuristic', 'class', count(*), {_SHARE('cls = trim(class_corrected_ui)')}, NULL FROM p WHERE {_VALID} UNION ALL SELECT 'heuristic', 'subclass', count(*), {_SHARE('sub = trim(subclass_corrected_ui)')}, NULL FROM p WHERE {_VALID}
+    UNION ALL SELECT 'hard', truth, count(*), {_SHARE('cls = truth')}, NULL FROM hc GROUP BY ROLLUP (truth) UNION ALL SELECT 'sample', 'class', count(*), {_SHARE('said = truth')}, NULL FROM y UNION ALL SELECT 'sample', 'subclass', count(*), {_SHARE('said_sub = truth_sub')}, NULL FROM y
+    UNION ALL SELECT 'sample_error', CAST(oid AS VARCHAR), 1, NULL, concat(said, ' -> ', truth, ': ', note) FROM e WHERE k <= 20""")
+def g11_analyst_report(spark, sf):
+    return jobs.analyst_report(bound(spark, sf, "parcels"), _votes(spark, sf))
+
+
+_RUN_VOTES = f"""v AS (SELECT concat('run', view_index % 3) AS run, *, row_number() OVER (PARTITION BY view_index % 3, parcel_key ORDER BY view_index) AS r FROM votes), s AS (SELECT run, parcel_key, {_of('view_index % 6', dict(enumerate(_LABEL)))} AS key, confidence AS q, view_index FROM v WHERE r <= 5),
+    t AS (SELECT run, parcel_key, key, round_even(sum(q * q), 9) AS score, avg(q) AS mean, min(view_index) AS f FROM s GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY run, parcel_key ORDER BY score DESC, f) AS k FROM t), winner AS (SELECT run, concat('p', parcel_key) AS parcel_key, key FROM b WHERE k = 1 AND mean >= 0.28)"""
+
+
+@query(f"""{_HC.replace('WITH c AS', f'WITH {_RUN_VOTES}, c AS')}, {_SAMPLED}, u AS (SELECT concat('run', k) AS run, k / 8e0 AS val_acc FROM range(3) z(k)),
+    y AS (SELECT u.run, val_acc, trim(class_corrected_ui) AS truth, CASE WHEN key IS NOT NULL THEN {_of('key', _LABEL)} ELSE class_ui END AS said FROM u CROSS JOIN x LEFT JOIN winner w ON w.run = u.run AND w.parcel_key = x.parcel_key WHERE r <= 40),
+    g AS (SELECT run, val_acc, count(*) AS gpkg_n, {_SHARE('said = truth')} AS gpkg_acc FROM y GROUP BY 1, 2) SELECT run, gpkg_n, gpkg_acc, val_acc, row_number() OVER (ORDER BY gpkg_acc DESC, val_acc DESC, run) = 1 AS is_best FROM g""")
+def g11_probe_benchmark(spark, sf):
+    """Three runs' votes on the same sample of parcels, and the best run."""
+    votes = _votes(spark, sf).withColumn("run", F.concat(F.lit("run"), (F.col("view_index") % 3).cast("string")))
+    scores = spark.range(3).select(F.concat(F.lit("run"), F.col("id").cast("string")).alias("run"), (F.col("id") / 8.0).alias("val_acc"))
+    return jobs.probe_benchmark(bound(spark, sf, "parcels"), votes, scores)
+
+
+_COLLECTED = rf"""{_CLASS_OF_TAGS}, c AS (SELECT id, type, class_name, coalesce(name, landuse, leisure, class_name) AS name, coalesce(CASE WHEN c_lon IS NOT NULL THEN c_lat END, CASE WHEN e_lon IS NOT NULL THEN e_lat END) AS lat, coalesce(CASE WHEN c_lat IS NOT NULL THEN c_lon END, CASE WHEN e_lat IS NOT NULL THEN e_lon END) AS lon FROM tagged),
     k AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY id) AS r FROM c WHERE lat BETWEEN 55.5 AND 55.95 AND lon BETWEEN 37.35 AND 37.85), o AS (SELECT * FROM k WHERE r <= 60),
     n AS (SELECT o.*, p.pano_id, p.season, p.ts, round_even({_dist('o.lat', 'o.lon', 'p.lat', 'p.lon')}, 6) AS d FROM o JOIN panoramas p ON p.lat BETWEEN o.lat - 6e-3 AND o.lat + 6e-3 AND p.lon BETWEEN o.lon - 12e-3 AND o.lon + 12e-3 WHERE {_dist('o.lat', 'o.lon', 'p.lat', 'p.lon')} <= 500),
-    b AS (SELECT *, row_number() OVER (PARTITION BY class_name, id, season ORDER BY d, ts DESC, pano_id) AS s FROM n), f AS (SELECT *, row_number() OVER (PARTITION BY class_name, id ORDER BY d, season) AS j FROM b WHERE s = 1)
+    b AS (SELECT *, row_number() OVER (PARTITION BY class_name, id, season ORDER BY d, ts DESC, pano_id) AS s FROM n), f AS (SELECT *, row_number() OVER (PARTITION BY class_name, id ORDER BY d, season) AS j FROM b WHERE s = 1)"""
+_ITEM = r"replace(concat(class_name, '_', type, id, '_', printf('%.6f', lat), '_', printf('%.6f', lon), '_', substr(trim(regexp_replace(name, '[^\p{L}\p{N} _-]', '', 'g')), 1, 40)), ' ', '_')"
+
+
+@query(rf"""WITH {_COLLECTED}
     SELECT replace(concat(class_name, '_', type, id, '_', printf('%.6f', lat), '_', printf('%.6f', lon), '_', substr(trim(regexp_replace(name, '[^\p{{L}}\p{{N}} _-]', '', 'g')), 1, 40)), ' ', '_') AS item_id, class_name, season, pano_id, CAST(ts AS DATE)::VARCHAR AS capture_date FROM f WHERE j <= 4""")
 def g12_season_collection(spark, sf):
     p = bound(spark, sf, "panoramas").withColumn("ts", F.timestamp_seconds(F.unix_timestamp("ts")))
     return jobs.season_collection(_elements(spark, sf), p, 500.0, 60, (55.5, 37.35, 55.95, 37.85))
 
 
+@query(f"""WITH {_COLLECTED}, m AS (SELECT class_name, {_ITEM} AS item_id, CASE WHEN pano_id % 5 > 0 THEN 640 + pano_id % 2 * 160 END AS w, CASE WHEN pano_id % 5 > 0 THEN pano_id % 1000 END AS bytes FROM f WHERE j <= 4),
+    z AS (SELECT class_name, concat(w, 'x480') AS size, count(*) AS n FROM m WHERE w IS NOT NULL GROUP BY 1, 2), y AS (SELECT class_name, string_agg(concat(size, ':', n), ',' ORDER BY concat(size, ':', n)) AS resolutions FROM z GROUP BY 1)
+    SELECT m.class_name, count(DISTINCT item_id) AS items, count(*) AS panoramas, count(bytes) AS images, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS total_bytes, round_even(coalesce(avg(bytes), 0), 4) AS avg_bytes, coalesce(any_value(resolutions), '') AS resolutions FROM m LEFT JOIN y ON y.class_name = m.class_name GROUP BY 1""")
+def g12_collection_statistics(spark, sf):
+    """What was collected of each class; four in five images were loaded."""
+    n = F.col("pano_id")
+    images = bound(spark, sf, "panoramas").where(n % 5 > 0).select("pano_id", (640 + n % 2 * 160).alias("width"), F.lit(480).alias("height"), (n % 1000).alias("size_bytes"))
+    return jobs.collection_statistics(tables.kept(g12_season_collection(spark, sf), "collected"), images)
+
+
 # ---------------------------------------------------------------- points, boxes, images
 
 

@@ -25,6 +25,14 @@ def prepared(objects: DataFrame, files: DataFrame, ratio: float = 0.2, seed: str
     return joins.without_leak(rows.withColumn("image_path", F.concat_ws("/", "split", "class_name", name)), "object_id")
 
 
+def prepared_statistics(samples: DataFrame, classes: DataFrame) -> DataFrame:
+    """kind, split, key, n of prepared samples: of each split the rows of all classes (zeros too), and the dataset's totals."""
+    counts = statistics(samples, classes).where("class_name IS NOT NULL").select(F.lit("class").alias("kind"), "split", F.col("class_name").alias("key"), "n")
+    info = metrics.dataset_info(samples)
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("n")) for c in info.columns])).alias("i")
+    return counts.unionByName(info.select(rows).select(F.lit("info").alias("kind"), F.lit(None).cast("string").alias("split"), "i.key", "i.n"))
+
+
 def cleaned(samples: DataFrame, std_min: float, near: int, suspect: float) -> DataFrame:
     """samples (seq, object_id, class_name, split, multi_heading, pixels, label_prob, predicted) with drop_reason and is_suspect."""
     rows = samples.withColumn("std", vectors.pixel_std(F.col("pixels"))).withColumn("sharpness", vectors.sharpness(F.col("pixels"), 8, 8)).withColumn("ahash", vectors.average_hash(F.col("pixels")))
@@ -144,6 +152,60 @@ def hard_cases(parcels: DataFrame, most: int = 60, weight: float = 4.0, seed: st
     return ranking.row_split(some, "parcel_key", 0.15, 2, seed).withColumn("sample_weight", F.lit(weight))
 
 
+NOTED = 80  # characters of a description in a report
+
+
+def _sample(parcels: DataFrame, n: int, seed: str) -> DataFrame:
+    """At most n parcels, in a seeded order, that analysts have classed and that have a link."""
+    rows = parcels.where(rules.is_valid_label(F.col("class_corrected_ui")) & text.has_link(F.col("photos_ui")))
+    return kept(ranking.random_rows(rows, "oid", n, seed), "sample")
+
+
+def analyst_report(parcels: DataFrame, votes: DataFrame, n: int = 50, seed: str = "42", most: int = 20, least: float = 0.28) -> DataFrame:
+    """section, key, n, share, detail: how classes compare with the analysts' corrections.
+
+    parcels: all, those with a correction, and those that have no category; heuristic: text rules against corrections, on all
+    that have one; hard: green courtyards by their correction, and all of them (null key); sample: the views' vote on at most n
+    parcels with links; sample_error: the first of its errors by oid, said and corrected."""
+    truth, sub = F.trim("class_corrected_ui"), F.trim("subclass_corrected_ui")
+    valid = rules.is_valid_label(F.col("class_corrected_ui"))
+    h = rules.text_class_or_default(F.col("generated_land_use"))
+    hard = rules.is_hard_case(F.col("generated_land_use")) & (F.size(text.photo_coords(F.col("photos_ui"))) > 0) & truth.isin(rules.NATURE, rules.URBAN)
+    rows = kept(parcels.select(valid.alias("valid"), (truth == rules.NO_CATEGORY).alias("none"), (h["class_ui"] == truth).alias("hit"), (h["subclass_ui"] == sub).alias("sub_hit"), F.when(hard, truth).alias("hard")), "judged")
+    line = lambda section, key, n, share=None, detail=None: F.struct(F.lit(section).alias("section"), (key if isinstance(key, Column) else F.lit(key).cast("string")).alias("key"), n.cast("long").alias("n"), (share if share is not None else F.lit(None)).cast("double").alias("share"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
+    share = lambda of, where: metrics.accuracy(F.when(where, of))
+    counts = rows.agg(F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if("none").alias("none"), share(F.col("hit"), F.col("valid")).alias("hit"), share(F.col("sub_hit"), F.col("valid")).alias("sub"))
+    lines = F.explode(F.array(line("parcels", "total", F.col("total")), line("parcels", "evaluated", F.col("valid")), line("parcels", "no_category", F.col("none")), line("heuristic", "class", F.col("valid"), F.col("hit")), line("heuristic", "subclass", F.col("valid"), F.col("sub"))))
+    out = counts.select(lines.alias("l")).select("l.*")
+    courtyards = rows.where("hard IS NOT NULL").rollup("hard").agg(F.count("*").alias("n"), metrics.accuracy(F.col("hit")).alias("hit"))
+    out = out.unionByName(courtyards.select(line("hard", F.col("hard"), F.col("n"), F.col("hit")).alias("l")).select("l.*"))
+
+    some = _sample(parcels, n, seed)
+    said = classified(some, votes, mode="ml", max_rows=n, least=least, overwrite=True).select("oid", F.col("class_ui").alias("said"), F.col("subclass_ui").alias("said_sub"))
+    said = kept(said.join(some.select("oid", truth.alias("truth"), sub.alias("sub"), F.substring("generated_land_use", 1, NOTED).alias("note")), "oid"), "said")
+    scored = said.agg(F.count("*").alias("n"), metrics.accuracy(F.col("said") == F.col("truth")).alias("hit"), metrics.accuracy(F.col("said_sub") == F.col("sub")).alias("sub"))
+    out = out.unionByName(scored.select(F.explode(F.array(line("sample", "class", F.col("n"), F.col("hit")), line("sample", "subclass", F.col("n"), F.col("sub")))).alias("l")).select("l.*"))
+    errors = said.where("said <> truth").orderBy("oid").limit(most)
+    detail = F.concat("said", F.lit(" -> "), "truth", F.lit(": "), "note")
+    return out.unionByName(errors.select(line("sample_error", F.col("oid").cast("string"), F.lit(1), None, detail).alias("l")).select("l.*"))
+
+
+def probe_benchmark(parcels: DataFrame, votes: DataFrame, scores: DataFrame, n: int = 40, seed: str = "42", least: float = 0.28) -> DataFrame:
+    """run, gpkg_n, gpkg_acc, val_acc, is_best: each run's votes (run, parcel_key, view_index, class_key, confidence) on the same
+    sample of corrected parcels with links, beside its score on validation rows (run, val_acc), and which run is to be taken.
+    All runs are judged in one pass; a parcel without a vote of enough confidence keeps the class that it has."""
+    some = _sample(parcels, n, seed).select("parcel_key", "class_ui", F.trim("class_corrected_ui").alias("truth"))
+    asked = votes.join(some.select("parcel_key"), "parcel_key", "left_semi").withColumn("parcel_key", F.struct("run", "parcel_key"))
+    winner = metrics.voted(asked, least=least).select("parcel_key.run", "parcel_key.parcel_key", "class_key")
+    each = scores.select("run").crossJoin(F.broadcast(some))  # at most n parcels for each run
+    each = each.join(winner, ["run", "parcel_key"], "left")
+    said = F.coalesce(rules.label_of(F.col("class_key")), F.col("class_ui"))
+    hits = each.groupBy("run").agg(F.count("*").alias("gpkg_n"), metrics.accuracy(said == F.col("truth")).alias("gpkg_acc"))
+    runs = kept(scores.join(hits, "run", "left").select("run", F.coalesce("gpkg_n", F.lit(0)).alias("gpkg_n"), F.col("gpkg_acc"), "val_acc"), "runs")
+    best = metrics.best_run(runs, "parcels").select("run", F.lit(True).alias("is_best"))
+    return runs.join(F.broadcast(best), "run", "left").withColumn("is_best", F.coalesce("is_best", F.lit(False)))  # one row
+
+
 def probe_grid(features: DataFrame, n_classes: int, **how) -> DataFrame:
     """decay, accuracy, macro_f1, balanced_f1 of a linear head for each weight decay; how: as for probe.fitted."""
     return probe.grid(features.sparkSession, probe.fitted(features, n_classes, **how))
@@ -167,4 +229,14 @@ def season_collection(elements: DataFrame, panoramas: DataFrame, metres: float,
     picks = joins.season_picks(joins.nearby(some, panoramas, metres).withColumn("distance_m", F.bround("distance_m", 6)), panoramas)
     item = text.safe_item_id(F.col("class_name"), F.col("type"), F.col("id"), F.col("id"), F.col("lat"), F.col("lon"), F.col("name"))
     rows = picks.join(some.select("object_id", "class_name", item.alias("item_id")), "object_id").join(panoramas.select("pano_id", "ts"), "pano_id")
-    return rows.select("item_id", "class_name", "season", "pano_id", F.date_format(F.timestamp_seconds(F.unix_timestamp("ts")), "yyyy-MM-dd").alias("capture_date"))
+    taken = text.capture_parts(F.timestamp_seconds(F.unix_timestamp("ts")))
+    return rows.select("item_id", "class_name", "season", "pano_id", taken["capture_date"].alias("capture_date"))
+
+
+def collection_statistics(collected: DataFrame, images: DataFrame) -> DataFrame:
+    """What a collection has of each class: its items, those with an image, the images' bytes and sizes. collected: as
+    season_collection gives it; images: pano_id, width, height, size_bytes of those that were loaded."""
+    rows = collected.join(images.select("pano_id", "width", "height", "size_bytes"), "pano_id", "left")
+    per = metrics.image_statistics(rows.withColumn("has_panorama", F.lit(True)))
+    items = collected.groupBy("class_name").agg(F.count_distinct("item_id").alias("items"))
+    return items.join(per.withColumnRenamed("items", "panoramas").drop("with_panorama"), "class_name")

@@ -397,8 +397,8 @@ def f7_map_url(spark, sf):
 
 @query("""SELECT pano_id, month(ts) AS month, CAST(ts AS DATE)::VARCHAR AS capture_date, year(ts) AS year, day(ts) AS day, CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) <= 5 THEN 'spring' WHEN month(ts) <= 8 THEN 'summer' ELSE 'autumn' END AS capture_season FROM panoramas""")
 def p9_p10_capture_date(spark, sf):
-    p = bound(spark, sf, "panoramas").withColumn("ts", F.timestamp_seconds(F.unix_timestamp("ts")))
-    return p.select("pano_id", F.month("ts").alias("month"), F.date_format("ts", "yyyy-MM-dd").alias("capture_date"), F.year("ts").alias("year"), F.dayofmonth("ts").alias("day"), text.season_of(F.month("ts")).alias("capture_season"))
+    p = bound(spark, sf, "panoramas").select("pano_id", text.capture_parts(F.timestamp_seconds(F.unix_timestamp("ts"))).alias("c"))
+    return p.select("pano_id", F.col("c.capture_month").alias("month"), "c.capture_date", F.col("c.capture_year").alias("year"), F.col("c.capture_day").alias("day"), "c.capture_season")
 
 
 @query("""WITH t AS (SELECT pano_id, CASE pano_id % 3 WHEN 0 THEN 'panorama' WHEN 1 THEN concat('panorama_', season) ELSE season END AS stem FROM panoramas) SELECT pano_id, CASE WHEN stem = 'panorama' THEN NULL WHEN starts_with(stem, 'panorama_') THEN substr(stem, 10) ELSE stem END AS season FROM t""")
@@ -423,11 +423,10 @@ def p14_heading_fan_out(spark, sf):
     SELECT crop_id, concat(split, '/', class_name, '/', seq % 5000, CASE WHEN h >= 0 THEN concat('_h', lpad(CAST(h AS VARCHAR), 3, '0')) ELSE '' END, '.jpg') AS new_path, round_even(CASE WHEN h >= 0 THEN h ELSE bearing END, 4) AS heading_deg, CASE WHEN seq % 3 = 0 THEN 90e0 ELSE 75e0 END AS fov_deg, h >= 0 AS multi_heading FROM v""")
 def p15_crop_record(spark, sf):
     """A crop's record: its path, and its view with the field of the region, or else of 90 degrees."""
-    c = bound(spark, sf, "crops").withColumn("region_fov", F.when(F.col("seq") % 3 != 0, 75.0))
-    c = c.withColumn("v", F.explode(text.heading_fan_out(F.col("bearing"), 0.0, F.array(F.lit(0.0), F.lit(180.0)))))
-    view = F.struct(F.bround("v.heading", 4).alias("heading_deg"), F.lit(0.0).alias("pitch_deg"), F.coalesce(F.lit(None).cast("double"), F.col("region_fov"), F.lit(90.0)).alias("fov_deg"), (F.col("v.tag") != "").alias("multi_heading"))
-    c = c.select("crop_id", text.crop_path(F.col("split"), F.col("class_name"), F.col("image_path"), F.col("v.tag")).alias("new_path"), view.alias("perspective"))
-    return c.select("crop_id", "new_path", "perspective.heading_deg", "perspective.fov_deg", "perspective.multi_heading")
+    c = bound(spark, sf, "crops").withColumn("v", F.explode(text.heading_fan_out(F.col("bearing"), 0.0, F.array(F.lit(0.0), F.lit(180.0)))))
+    r = text.crop_record(F.col("split"), F.col("class_name"), F.col("image_path"), F.col("v"), F.when(F.col("seq") % 3 != 0, 75.0))
+    c = c.select("crop_id", r.alias("r")).select("crop_id", F.col("r.image_path").alias("new_path"), "r.perspective.*")
+    return c.select("crop_id", "new_path", "heading_deg", "fov_deg", "multi_heading")
 
 
 @query("""WITH e AS (SELECT object_id, season, CASE WHEN season = 'autumn' THEN NULL ELSE arg_min(lat, pano_id) END AS y, arg_min(lon, pano_id) AS x FROM panoramas GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY season) AS k FROM e),
@@ -651,7 +650,7 @@ def a1_class_counts(spark, sf):
 
 @query("SELECT class_name, count(*) AS n, count(DISTINCT object_id) AS objects FROM crops GROUP BY ROLLUP (class_name)")
 def a8_totals(spark, sf):
-    return bound(spark, sf, "crops").rollup("class_name").agg(F.count("*").alias("n"), F.count_distinct("object_id").alias("objects"))
+    return metrics.totals(bound(spark, sf, "crops"))
 
 
 @query("""WITH w AS (SELECT * FROM objects WHERE object_id NOT IN (SELECT object_id FROM panoramas))
@@ -676,9 +675,7 @@ def a3_sample_audit(spark, sf):
 @query("""SELECT count(*) AS samples, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(DISTINCT object_id) FILTER (split = 'train') AS train_objects, count(DISTINCT object_id) FILTER (split = 'val') AS val_objects,
     (SELECT count(*) FROM (SELECT object_id FROM samples WHERE split = 'train' INTERSECT SELECT object_id FROM samples WHERE split = 'val')) AS overlap FROM samples""")
 def a4_dataset_info(spark, sf):
-    s = bound(spark, sf, "samples")
-    o = s.groupBy("object_id").agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v"))
-    return o.agg(F.sum(F.col("t") + F.col("v")).alias("samples"), F.sum("t").alias("train"), F.sum("v").alias("val"), F.count_if(F.col("t") > 0).alias("train_objects"), F.count_if(F.col("v") > 0).alias("val_objects"), F.count_if((F.col("t") > 0) & (F.col("v") > 0)).alias("overlap"))
+    return metrics.dataset_info(bound(spark, sf, "samples"))
 
 
 @query("""SELECT class_name, CAST(sum(CASE seq % 4 WHEN 0 THEN least(seq % 3, 2) WHEN 1 THEN seq % 5 ELSE CASE WHEN seq % 8 = 2 THEN 1 ELSE 2 END END) AS BIGINT) AS panoramas FROM objects GROUP BY 1""")
