@@ -199,7 +199,7 @@ def probe_benchmark(parcels: DataFrame, votes: DataFrame, scores: DataFrame, n:
     winner = metrics.voted(asked, least=least).select("parcel_key.run", "parcel_key.parcel_key", "class_key")
     each = scores.select("run").crossJoin(F.broadcast(some))  # at most n parcels for each run
     each = each.join(winner, ["run", "parcel_key"], "left")
-    said = F.coalesce(rules.label_of(F.col("class_key")), F.col("class_ui"))
+    said = F.when(F.col("class_key").isNotNull(), rules.label_of(F.col("class_key"))).otherwise(F.col("class_ui"))
     hits = each.groupBy("run").agg(F.count("*").alias("gpkg_n"), metrics.accuracy(said == F.col("truth")).alias("gpkg_acc"))
     runs = kept(scores.join(hits, "run", "left").select("run", F.coalesce("gpkg_n", F.lit(0)).alias("gpkg_n"), F.col("gpkg_acc"), "val_acc"), "runs")
     best = metrics.best_run(runs, "parcels").select("run", F.lit(True).alias("is_best"))
