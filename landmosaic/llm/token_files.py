@@ -44,7 +44,6 @@ LOW = np.uint64(1 << 31)
 SHIFT, WORD = np.uint64(32), np.uint64(0xFFFFFFFF)
 CACHED_WORDS, CACHED_LENGTH = 1 << 18, 64
 SPACES = b" \t\n\v\f\r"
-WORDS = words.byte_kinds(lambda b: b not in SPACES)
 PARTS = words.byte_kinds(lambda b: 0 if b in SPACES else 1 if b >= 128 or 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3)
 
 
@@ -148,12 +147,16 @@ class Coder:
 
 class WordTokenizer:
     """The library's ids of texts. This tokenizer drops white space and never joins what it parts, so pieces of a text are
-    encoded one by one, and remembered. Plain texts (printable ASCII, ASCII white space and the letters of Latin-1, which
-    NFC leaves alone; no contractions and special tokens) are lower-cased and parted here into letters, single digits and
-    others, and the library's model gets the parts; of other texts the library gets the words."""
+    encoded one by one, and remembered. Plain words (printable ASCII and the letters of Latin-1, which NFC leaves alone; no
+    contractions and special tokens) are lower-cased and parted here into letters, single digits and others, and the
+    library's model gets the parts; other words go to the library as they are, wherever they stand. They are put out of the
+    way first: a number in two private characters stands for each, which no plain word has."""
 
     PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+    ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]+")
     CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
+    BREAKS = frozenset("\t\n\x0b\x0c\r ")
+    PRIVATE = 0xE000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -161,7 +164,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.parts: list[dict[bytes, bytes]] = [{}, {}]
-        self.known: list[dict[bytes, bytes]] = [{}, {}]
+        self.known: list[dict[str, bytes]] = [{}, {}]
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         steps = json.loads(self.tokenizer.to_str())
@@ -174,11 +177,39 @@ class WordTokenizer:
             raise ValueError("special tokens are expected to have a <")
 
     def part(self, part: bytes) -> bytes:
+        if part[:1] == b"\xee":  # stands for a word that isn't plain
+            a, b = part.decode()
+            return self.word(self.odd[(ord(a) - self.PRIVATE << 12) + ord(b) - self.PRIVATE])
         shown = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
-    def word(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def word(self, word: str) -> bytes:
+        known, older = self.known
+        ids = known.get(word)
+        if ids is None:
+            ids = older.get(word) or np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(word) <= CACHED_LENGTH:
+                known[word] = ids
+        return ids
+
+    def put_away(self, text: str, what: re.Pattern) -> str:
+        """The text with the words that hold what is looked for put out of the way."""
+        out, done, end, breaks = [], 0, len(text), self.BREAKS
+        for found in what.finditer(text):
+            a, b = found.span()
+            if a < done:
+                continue
+            while a > done and text[a - 1] not in breaks:
+                a -= 1
+            while b < end and text[b] not in breaks:
+                b += 1
+            word = text[a:b]
+            n = self.numbers.setdefault(word, len(self.numbers))
+            if n == len(self.odd):
+                self.odd.append(word)
+            out += (text[done:a], chr(self.PRIVATE + (n >> 12)) + chr(self.PRIVATE + (n & 0xFFF)))
+            done = b
+        return "".join(out) + text[done:]
 
     def ids(self, texts: list[bytes], memory: list[dict], encode, kinds: np.ndarray, single: int | None) -> list[bytes]:
         distinct, which, bounds = words.distinct(texts, kinds, single)
@@ -190,7 +221,7 @@ class WordTokenizer:
             if ids is None:
                 w = distinct[i]
                 ids = found[i] = older.get(w) or encode(w)
-                if len(w) <= CACHED_LENGTH:
+                if len(w) <= CACHED_LENGTH and w[:1] != b"\xee":
                     known[w] = ids
         ids, at = words.gathered(found, which, "<u4")
         cuts = at[bounds].tolist()
@@ -198,16 +229,21 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of some texts, packed as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        plain, rest = [], []
-        for i, t in enumerate(texts):
-            low = t.lower()
-            fits = self.PLAIN.fullmatch(t) and not ("'" in t and self.CONTRACTION.search(low)) and not ("<" in t and self.special.search(t))
-            (plain if fits else rest).append((i, low if fits else t))
-        for group, *how in ((plain, self.parts, self.part, PARTS, 2), (rest, self.known, self.word, WORDS, None)):
-            for (i, _), ids in zip(group, self.ids([t.encode() for _, t in group], *how) if group else (), strict=True):
-                out[i] = ids
-        return out
+        self.odd: list[str] = []
+        self.numbers: dict[str, int] = {}
+        if len(self.known[0]) > CACHED_WORDS:
+            self.known = [{}, self.known[0]]
+        plain = []
+        for t in texts:
+            if not self.PLAIN.fullmatch(t):
+                t = self.put_away(t, self.ODD)
+            if "<" in t and self.special.search(t):
+                t = self.put_away(t, self.special)
+            t = t.lower()
+            if "'" in t and self.CONTRACTION.search(t):
+                t = self.put_away(t, self.CONTRACTION)
+            plain.append(t.encode())
+        return self.ids(plain, self.parts, self.part, PARTS, 2)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
