@@ -17,6 +17,7 @@ other columns have no effect, and an empty table gives an empty result. Extra co
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ MARK = "▁"
 CACHED_RUNS, CACHED_LENGTH = 1 << 15, 64
 BATCH_BYTES = 1 << 17
 SHORT_RUN = 48  # characters; longer ones are merged with a heap
+ROUNDS = 256  # characters; longer runs aren't merged together with others
+MORE, NONE, STRETCH = b"\xff", b"\xfe", re.compile(rb"  +")  # bytes that no text has
 WORDS = words.byte_kinds(lambda b: b != 32)
 
 
@@ -251,18 +254,38 @@ class PieceCodec:
                 sym[ends[k] - len(r) : ends[k]] = r
         return sym, np.searchsorted(of, np.arange(len(texts) + 1))
 
+    @staticmethod
+    def marked(data: bytes) -> bytes:
+        """A text in which all spaces but one before each word have become MORE bytes of that word, so that its runs are the
+        words: leading spaces (the added prefix is the one before them), the rest of stretches, and trailing ones, whose last
+        run has no word (NONE)."""
+        if data[:1] != b" " and data[-1:] != b" " and b"  " not in data:
+            return data
+        own = data.lstrip(b" ")
+        front, tail = len(data) - len(own), b""
+        if own[-1:] == b" " or not own:
+            inner = own.rstrip(b" ")
+            tail, own = (b" " + MORE * (len(own) - len(inner) - 1) if own else b"") + NONE, inner
+        return MORE * front + STRETCH.sub(lambda m: b" " + MORE * (len(m[0]) - 1), own) + tail
+
     def runs(self, texts: list[bytes]) -> list[tuple[bytes, bytes, bytes, bytes]]:
-        """encoded() of texts whose words stand one space apart, put together from runs."""
-        distinct, which, bounds = words.distinct(texts, WORDS)
+        """encoded() of texts without space marks of their own, put together from runs of spaces and a word."""
+        distinct, which, bounds = words.distinct([self.marked(t) for t in texts], WORDS)
         if len(self.known[0]) > CACHED_RUNS:  # what comes again returns from the older half
             self.known = [{}, self.known[0]]
         known, older = self.known
         found = [known.get(w) or older.get(w) for w in distinct]
         new = [i for i, x in enumerate(found) if x is None]
-        ids, cuts = self.merged_all([MARK + distinct[i].decode() for i in new])
+        normal = [(MARK.encode() + distinct[i].replace(MORE, MARK.encode()).replace(NONE, b"")).decode() for i in new]
+        short = [k for k, t in enumerate(normal) if len(t) <= ROUNDS]
+        ids, cuts = self.merged_all([normal[k] for k in short])
         packed, cuts, shown = ids.astype("<u4").tobytes(), cuts.tolist(), [self.shown[i] for i in ids.tolist()]
-        for i, a, b in zip(new, cuts, cuts[1:], strict=False):
-            found[i] = packed[4 * a : 4 * b], b"".join(shown[a:b])
+        for k, a, b in zip(short, cuts, cuts[1:], strict=False):
+            found[new[k]] = packed[4 * a : 4 * b], b"".join(shown[a:b])
+        for i, t in zip(new, normal, strict=True):
+            if found[i] is None:  # as many rounds as characters would be too many
+                own = self.merged(t)
+                found[i] = np.array(own, "<u4").tobytes(), b"".join([self.shown[x] for x in own])
         for w, x in zip(distinct, found, strict=True):
             if len(w) <= CACHED_LENGTH:
                 known[w] = x
@@ -283,7 +306,7 @@ class PieceCodec:
         out: list[tuple] = [()] * len(texts)
         simple = []
         for i, t in enumerate(texts):
-            if self.by_runs and t and t[0] != " " and t[-1] != " " and "  " not in t and MARK not in t:
+            if self.by_runs and t and MARK not in t:
                 simple.append(i)
             else:
                 ids = self.encode(t)
