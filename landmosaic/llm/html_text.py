@@ -37,6 +37,7 @@ HASHED = 64  # features for class and id words that aren't known words
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg select button object canvas audio video xmp noembed".split())
+FOREIGN = frozenset(["svg", "math"])
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li", frozenset(["ul", "ol", "menu"])), "dt": ("dt dd", frozenset(["dl"])), "dd": ("dt dd", frozenset(["dl"])), "tr": ("tr td th", frozenset(["table"])), "td": ("td th", frozenset(["tr", "table"])), "th": ("td th", frozenset(["tr", "table"]))}
 KINDS = {"article": "article main", "section": "section div body html", "edge": "nav header footer aside form menu dialog fieldset", "prose": "p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tbody tr td th", "list": "ul ol li dl dt dd", "inline": ""}
@@ -114,13 +115,13 @@ class Tree:
 
     def attributes(self, at: int) -> tuple[int, tuple[str, ...], bool]:
         """Place after a tag's end (0 if there is none), values of its class, id and role, and whether it closes itself."""
-        page, values = self.page, []
+        page, values, bare = self.page, [], -1  # bare: where a value without quotes ended, a slash of its own included
         while True:
             at = GAP.match(page, at).end()
             if at >= len(page):
                 return 0, (), False
             if page[at] == ">":
-                return at + 1, tuple(values), page[at - 1] == "/"
+                return at + 1, tuple(values), page[at - 1] == "/" and at != bare
             key = KEY.match(page, at)
             at, value = key.end(), ""
             equals = EQUALS.match(page, at)
@@ -139,11 +140,14 @@ class Tree:
                 else:
                     found = VALUE.match(page, at)
                     value, at = found[0], found.end()
+                    bare = at
             if value and key[0].lower() in ("class", "id", "role"):
                 values.append(value)
 
     def begin(self, tag: str, names: tuple, closed: bool, at: int, state: int, endless: set[str]) -> int:
-        """A start tag; the place from which to read on."""
+        """A start tag; the place from which to read on. Only foreign elements can close themselves: elsewhere, as browsers do,
+        the slash of <div/> is passed over."""
+        closed = closed and tag in FOREIGN
         if tag in VOID:
             if tag == "hr":
                 self.block += 1
