@@ -31,6 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from . import words
@@ -345,62 +346,6 @@ class Scanner:
                         yield d, p, (share, cosine, answered)
 
 
-def leaks(self, texts: list[str]) -> Iterator[tuple[int, object, float, float, bool]]:
-        """Number of the text, item, common share, cosine and answer of the best match of each item that leaks into a text."""
-        distinct, which, bounds = parted(texts)
-        if not len(which):
-            return
-        terms = self.terms
-        codes = np.full(len(distinct), self.n)
-        at_hand: dict[str, int] = {}
-        for i, t in enumerate(map(terms.get, distinct)):
-            if t is not None:
-                codes[i] = t
-                at_hand[distinct[i].decode()] = i
-        codes = codes[which]
-        spelled = lambda a, b: [distinct[i].decode() for i in which[a:b].tolist()]
-        first, lengths = bounds[:-1], np.diff(bounds)
-        ours = codes < self.n
-        mine, said = np.concatenate([[0], np.cumsum(ours)]), codes[ours]  # words that the benchmark knows: before each place, and which
-        best: dict[tuple, tuple] = {}
-        heres: dict[int, list[int]] = {}  # numbers of a passage's words in these texts
-        for size, ids in self.sizes.items():
-            step = max(1, size // 8)
-            n = np.where(lengths >= MIN_WORDS, 1 + np.maximum(0, -(-(lengths - size) // step)), 0)
-            doc = np.repeat(np.arange(len(texts)), n)
-            starts = first[doc] + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            ends = np.minimum(starts + size, bounds[doc + 1])
-            lo, hi = np.maximum(first[doc], starts - step), np.minimum(bounds[doc + 1], ends + step)  # where a subsequence is looked for
-            some = np.flatnonzero(mine[hi] - mine[lo] >= PARAPHRASE * min(len(self.block.passages[i][1]) for i in ids))
-            low, high = mine[lo[some]], mine[hi[some]]
-            for eight in [ids[i : i + 8] for i in range(0, len(ids), 8)] if len(some) else ():
-                for lane, p in enumerate(eight):
-                    self.has[self.rare[p]] |= np.uint64(1 << 8 * lane)
-                count = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.has[said])])  # lanes overflow, but their differences don't
-                count = (count[high] - count[low]).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
-                for p in eight:
-                    self.has[self.rare[p]] = 0
-                least = np.array([PARAPHRASE * len(self.block.passages[p][1]) for p in eight])
-                for g, lane in zip(*(x.tolist() for x in np.nonzero(count[:, : len(eight)] >= least)), strict=True):
-                    p, g = eight[lane], int(some[g])
-                    item, passage, answer = self.block.passages[p]
-                    here = heres.get(p)
-                    if here is None:
-                        here = heres[p] = [at_hand.get(w, -1) for w in passage]
-                    d, a, b = int(doc[g]), int(lo[g]), int(hi[g])
-                    near = which[a:b].tolist()
-                    there = set(near)
-                    if sum([w in there for w in here]) < PARAPHRASE * len(here):  # a subsequence can't be longer
-                        continue
-                    share = common_subsequence(here, near) / len(here)
-                    answered = bool(answer) and share >= PARAPHRASE and contains(spelled(a, b), answer)
-                    if share >= LCS or answered:
-                        v = self.latent[said[mine[starts[g]] : mine[ends[g]]]].sum(axis=0)
-                        cosine = float(np.clip(v @ self.block.vectors[p] / max(np.linalg.norm(v), 1e-12), -1, 1))
-                        best[d, item] = max(best.get((d, item), (0.0,)), (share, cosine, answered))
-        yield from ((*key, *x) for key, x in sorted(best.items(), key=lambda x: (x[0][0], repr(x[0][1]))))
-
-
 def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
     """id, item, common (share of the passage's words), cosine, answered: each item that leaks into a document."""
     schema = T.StructType([docs.schema[id_col], T.StructField(item_id_col, items.schema[item_id_col].dataType), T.StructField("common", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("answered", T.BooleanType())])
@@ -417,7 +362,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
                         keys.append(start + i)
                         found.append(x)
                 cols = list(zip(*found, strict=True)) or [[]] * 4
-                types = [pa.int64() if isinstance(schema[1].dataType, T.LongType) else None, pa.float64(), pa.float64(), pa.bool_()]
+                types = [to_arrow_type(schema[item_id_col].dataType), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], schema.names)
 
         rows = docs.select(id_col, text_col).mapInArrow(run, schema)
