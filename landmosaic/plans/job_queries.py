@@ -22,7 +22,7 @@ _BITS = "b AS (SELECT seq, object_id, list_transform(pixels, lambda x: CAST(x AS
 
 def _hashed(spark, sf):
     s = bound(spark, sf, "samples")
-    return s.withColumn("ahash", vectors.average_hash(F.col("pixels"))).withColumn("sharpness", vectors.sharpness(F.col("pixels"), 8, 8)).withColumn("std", vectors.pixel_std(F.col("pixels")))
+    return s.select("seq", "object_id", vectors.average_hash(F.col("pixels")).alias("ahash"), vectors.sharpness(F.col("pixels"), 8, 8).alias("sharpness"))
 
 
 @query(f"WITH {_BITS} SELECT a.object_id, a.seq AS a, b.seq AS b FROM b a JOIN b ON a.object_id = b.object_id AND a.seq < b.seq WHERE len(list_filter(range(1, 65), lambda i: a.h[i] <> b.h[i])) <= {NEAR}")

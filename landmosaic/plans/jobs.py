@@ -35,8 +35,9 @@ def prepared_statistics(samples: DataFrame, classes: DataFrame) -> DataFrame:
 
 def cleaned(samples: DataFrame, std_min: float, near: int, suspect: float) -> DataFrame:
     """samples (seq, object_id, class_name, split, multi_heading, pixels, label_prob, predicted) with drop_reason and is_suspect."""
-    rows = samples.withColumn("std", vectors.pixel_std(F.col("pixels"))).withColumn("sharpness", vectors.sharpness(F.col("pixels"), 8, 8)).withColumn("ahash", vectors.average_hash(F.col("pixels")))
-    return quality.drop_reasons(rows.drop("pixels"), quality.greedy_losers(rows, near), std_min, suspect)
+    measured = {"std": vectors.pixel_std(F.col("pixels")), "sharpness": vectors.sharpness(F.col("pixels"), 8, 8), "ahash": vectors.average_hash(F.col("pixels"))}
+    rows = kept(samples.withColumns(measured).drop("pixels"), "measured")  # several passes follow
+    return quality.drop_reasons(rows, quality.greedy_losers(rows, near), std_min, suspect)
 
 
 def relabel_build(crops: DataFrame, labels: DataFrame, ratio: float = 0.2, seed: str = "42") -> DataFrame:
