@@ -73,10 +73,12 @@ def _scored(spark, sf):
     """Samples with the zero-shot class of their embedding and the probability of their own."""
     p = _prototypes(spark, sf).agg(F.array_sort(F.collect_list(F.struct("class_id", "v"))).alias("prototypes"))
     s = bound(spark, sf, "samples").crossJoin(F.broadcast(p))  # one row: the classes' prototypes
-    z = vectors.softmax(F.transform("prototypes", lambda c: vectors.dot(F.col("pixels"), c["v"])))
-    s = s.withColumn("z", z).withColumn("predicted", F.concat(F.lit("c"), F.get("prototypes", vectors.argmax(F.col("z")).cast("int"))["class_id"].cast("string")))
-    own = F.array_position(F.transform("prototypes", lambda c: c["class_id"]), F.col("class_id"))
-    return s.withColumn("label_prob", F.element_at("z", own.cast("int"))).drop("z", "prototypes")
+    products = F.transform("prototypes", lambda c: vectors.dot(F.col("pixels"), c["v"]))
+    s = s.withColumns({"products": products, "ids": F.transform("prototypes", lambda c: c["class_id"])}).drop("prototypes")
+    s = tables.kept(s, "products").withColumn("z", vectors.softmax(F.col("products")))  # written, else each use works them out anew
+    s = s.withColumn("predicted", F.concat(F.lit("c"), F.get("ids", vectors.argmax(F.col("z")).cast("int")).cast("string")))
+    own = F.array_position("ids", F.col("class_id"))
+    return s.withColumn("label_prob", F.element_at("z", own.cast("int"))).drop("z", "ids", "products")
 
 
 _CLEANED = f"""{_GREEDY}, v AS (SELECT class_id, i, avg(p[i]) AS x FROM h, range(1, 65) r(i) GROUP BY 1, 2), d AS (SELECT h.seq, v.class_id, sum(h.p[i] * v.x) AS z FROM h, v GROUP BY 1, 2),
