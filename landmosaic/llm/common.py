@@ -141,3 +141,16 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, key: Column, gone_key
         return left(docs)
     maybe, others = sieved(docs, key, gone, at)
     return others.unionByName(left(maybe))
+
+
+def once(docs: DataFrame, twice: DataFrame, id_col: str, key: Column, twice_key: str, text_col: str) -> DataFrame:
+    """docs with one row of each id (nulls match) and key that stand in twice, which must name all that several rows share:
+    the row whose other columns come first as JSON, then one whose text isn't null, then that of the first SHA-256 of its text.
+    All columns as they were; only rows whose key may be there move."""
+    if twice.isEmpty():
+        return docs
+    row, of, at, rest = (fresh(docs, c) for c in ("_row", "_of", "_at", "_rest"))
+    maybe, others = sieved(docs, key, twice, twice_key)
+    besides = ["`" + c.replace("`", "``") + "`" for c in docs.columns if c != text_col]
+    maybe = maybe.select(F.struct("*").alias(row), F.col(id_col).alias(of), key.alias(at), F.struct(F.to_json(F.struct(*besides)), F.col(text_col).isNull(), F.sha2(text_col, 256)).alias(rest))
+    return others.unionByName(maybe.groupBy(of, at).agg(F.min_by(row, rest).alias(row)).select(f"{row}.*"))

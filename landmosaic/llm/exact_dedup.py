@@ -6,8 +6,9 @@ by comparing the bytes of all chunks that share it; a document is then the order
 are equal when their lists are. Chunks travel once, for the verification; afterwards only lists of longs do.
 
 Nulls count as empty texts, and all empty texts are equal (their list is empty). Of equal texts the one with the largest
-id stays; a null id counts as smaller than all others. Rows that share an id and a text count as so many rows and stay or go
-together. An empty table gives an empty result. Extra columns are ignored.
+id stays; a null id counts as smaller than all others. Rows that share an id and a text count as so many rows; exact_groups
+judges them alike, and drop_copies leaves one of them. An empty table gives an empty result. Extra columns are ignored. A very
+long text is cut by one expression, in the memory of one row; nothing else holds it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, salted_totals, saved, without
+from .common import ascii_lower, once, salted_totals, saved, without
 
 MIN, MAX = 1024, 8192
 
@@ -50,11 +51,15 @@ def recipes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, n_chunks."""
     rows = saved(recipes(docs, text_col, id_col), "recipes")
-    rows = salted_totals(rows, "recipe", id_col, {"keep_id": ("max", id_col), "group_size": ("count", id_col)})
+    rows = salted_totals(rows, "recipe", id_col, {"keep_id": ("max", id_col), "group_size": ("count", "text_sha256")})
     return rows.select(id_col, "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that don't stay; all columns as they were. Rows are told apart by id (nulls match) and text."""
-    gone = exact_groups(docs, text_col, id_col).where("NOT kept")
-    return without(docs, gone, id_col, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256), "text_sha256", sieve=False)
+    """docs with one row of each group of equal texts; all columns as they were. Rows are told apart by id (nulls match) and
+    text; of those that share both, the one whose other columns come first as JSON stays."""
+    rows = exact_groups(docs, text_col, id_col).groupBy(id_col, "text_sha256")
+    marks = saved(rows.agg(F.bool_or("kept").alias("stays"), F.count("*").alias("copies")).where("NOT stays OR copies > 1"), "marks")
+    key = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    left = without(docs, marks.where("NOT stays"), id_col, key, "text_sha256", sieve=False)
+    return once(left, marks.where("stays"), id_col, key, "text_sha256", text_col)
