@@ -6,8 +6,9 @@ follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties on at mos
 each language, chosen by a hash of their ids, a fifth of which set the temperature that calibrates the scores.
 
 A text that is null or has no letter is "und" with score 0. Rows without a label teach nothing but get a prediction.
-Equal texts get equal predictions. With no training rows all is "und". An empty table gives an empty result. Extra
-columns are ignored.
+Equal texts get equal predictions. Texts of over CHUNK_CHARS characters are counted a piece at a time, with the same counts. With
+no training rows all is "und"; with more than MOST_LABELS labels the fit refuses (a ValueError), since the model holds DIMS
+weights for each. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .common import released
 DIMS = 1 << 14
 PER_LANGUAGE = 500
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.5
+MOST_LABELS = 256
 CHUNK_DOCS, CHUNK_CHARS = 64, 1 << 18
 _shift = np.uint32(32 - 14)
 
@@ -41,29 +43,67 @@ def _classes() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, feature and count of all n-grams of some texts, by document and feature."""
+def codes_of(text: str) -> np.ndarray:
+    """Code points of the lower-cased text; those of no letter are 32."""
     if not _table:
         _table.append(_classes())
-    codes = [np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "replace"), "<u4") for t in texts]
-    doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    return _table[0][np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
+
+
+def slots(gram: np.ndarray) -> np.ndarray:
+    gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return (gram >> _shift).astype(np.int64)
+
+
+def grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of one, two and three that begin at each code point, not yet hashed to features."""
+    one = c * np.uint32(0x9E3779B1)
+    two = one[:-1] * np.uint32(31) + c[1:] * np.uint32(0x85EBCA6B)
+    return one, two, two[:-1] * np.uint32(37) + c[2:] * np.uint32(0xC2B2AE35)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """Parts of at most CHUNK_CHARS characters, cut at blanks if there are any."""
+    at = 0
+    while len(text) - at > CHUNK_CHARS:
+        cut = text.rfind(" ", at + CHUNK_CHARS // 2, at + CHUNK_CHARS)
+        cut = cut if cut > 0 else at + CHUNK_CHARS
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def counts_in_pieces(text: str) -> np.ndarray:
+    """Counts of all features of one text; the last two code points of a piece are carried over to the next."""
+    total, last = np.zeros(DIMS, np.int64), np.array([32], np.uint32)
+    total += np.bincount(slots(grams(last)[0]), minlength=DIMS)
+    for piece in pieces(text + " "):
+        c = codes_of(piece)
+        c = c[(c != 32) | (np.append(last[-1], c[:-1]) != 32)]
+        whole = np.append(last, c)
+        for size, gram in enumerate(grams(whole), 1):
+            total += np.bincount(slots(gram[max(len(last) - size + 1, 0) :]), minlength=DIMS)
+        last = whole[-2:]
+    return total
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, feature and count of all n-grams of some texts, by document and feature."""
+    short = [i for i, t in enumerate(texts) if len(t) <= CHUNK_CHARS]
+    codes = [codes_of(" " + texts[i] + " ") for i in short]
+    doc = np.repeat(np.array(short, np.int64), [len(c) for c in codes])
     c = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-    c = _table[0][c]
     keep = (c != 32) | np.append(True, c[:-1] != 32) | np.append(True, doc[1:] != doc[:-1]) if len(c) else np.empty(0, bool)
     c, doc = c[keep].astype(np.uint32), doc[keep]
     bins = []
-    one = c * np.uint32(0x9E3779B1)
-    grams = [(one, doc)]
-    if len(c) > 1:
-        two, same = one[:-1] * np.uint32(31) + c[1:] * np.uint32(0x85EBCA6B), doc[1:] == doc[:-1]
-        grams.append((two[same], doc[1:][same]))
-    if len(c) > 2:
-        three, same = two[:-1] * np.uint32(37) + c[2:] * np.uint32(0xC2B2AE35), doc[2:] == doc[:-2]
-        grams.append((three[same], doc[2:][same]))
-    for h, d in grams:
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        bins.append(d * DIMS + (h >> _shift).astype(np.int64))
-    counts = np.bincount(np.concatenate(bins), minlength=1)
+    for size, gram in enumerate(grams(c)):
+        of = doc[size:]
+        same = of == doc[: len(of)]
+        bins.append(of[same] * DIMS + slots(gram[same]))
+    counts = np.bincount(np.concatenate(bins), minlength=len(texts) * DIMS)
+    for i, t in enumerate(texts):
+        if len(t) > CHUNK_CHARS:
+            counts[i * DIMS : (i + 1) * DIMS] = counts_in_pieces(t)
     seen = np.flatnonzero(counts)
     return seen // DIMS, seen % DIMS, counts[seen]
 
@@ -166,7 +206,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
     for feature, n in rows.select(text_col).mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
         df[feature + 1] = n
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     languages = sorted(counts)
     if not languages:
         return Model([], idf, np.zeros((DIMS + 1, 0)), 1.0)

@@ -595,6 +595,21 @@ def test_letters(spark):
     assert [dict(zip(feature[doc == i].tolist(), count[doc == i].tolist(), strict=True)) for i in range(4)] == [by_hand(t) for t in texts]
 
 
+def test_long_texts_have_the_features_of_whole_ones(monkeypatch):
+    texts = [prose(400, 5), "", "x" * 70, "ab  cd, " * 30, " " * 90, "Ünï 東京 " * 20, "short", "\n " + prose(50, 6) + "  "]
+    whole = lang_id.features(texts)
+    for size in (3, 7, 64):
+        monkeypatch.setattr(lang_id, "CHUNK_CHARS", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, lang_id.features(texts), strict=True))
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MOST_LABELS", 2)
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        lang_id.fit(df)
+
+
 def test_pipeline_stages_judge_rows(spark):
     """Null ids, ids that rows share, and columns of names that stages use."""
     import corpus_pipeline
