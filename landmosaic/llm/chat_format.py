@@ -8,11 +8,15 @@ over many rows and tasks, and its text is the segments in order.
 Messages are ordered by turn, speaker and text (nulls first). System messages open no perspective and stay system
 messages in all. Nulls: a null speaker is the participant "unknown", a null text is empty, a null conversation is one of
 its own. Repeated rows are repeated messages. An empty table gives an empty result. Extra columns are ignored.
+
+Texts and names can't pass for markup: in both a backslash goes before the bar of "<|", in names after a "<" at
+the end and before the sign that ends "|>" too, and where backslashes stand between the two already, one more is put in; unescaped() takes them out again. Places and spans
+count the rendered characters; the column name holds the speaker as given. A very long message is one row's segment a perspective.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, saved
@@ -20,6 +24,19 @@ from .common import attach, saved
 SYSTEM = ("system",)
 
 
+def escaped(text: Column, name: bool = False) -> Column:
+    """The text without markup of its own; a name neither ends its header nor opens markup with the bar after it."""
+    if not name:
+        return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+    return F.regexp_replace(F.regexp_replace(text, r"<(\\*)(\||\z)", r"<\\$1$2"), r"\|(\\*)>", r"|\\$1>")
+
+
+def unescaped(text: Column, name: bool = False) -> Column:
+    if not name:
+        return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+    return F.regexp_replace(F.regexp_replace(text, r"\|\\(\\*)>", "|$1>"), r"<\\(\\*)(\||\z)", "<$1$2")
+
+
 def rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: tuple[str, ...] = SYSTEM) -> DataFrame:
     """conv_id, perspective, position, turn, chat_role, name, segment, start, end, mask_start, mask_end.
 
@@ -34,8 +51,8 @@ def rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     speakers = rows.where(~F.col("speaker").isin(*system)).groupBy("conv").agg(F.array_sort(F.collect_set("speaker")).alias("perspectives"))
     rows = attach(rows, "conv", "uid", speakers).withColumn("perspective", F.explode("perspectives")).drop("perspectives")
     rows = rows.withColumn("chat_role", F.when(F.col("speaker").isin(*system), "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user"))
-    head = F.when(F.col("chat_role") == "user", F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), "chat_role", F.lit("|>\n")))
-    rows = rows.withColumn("head", head).withColumn("segment", F.concat("head", "said", F.lit("<|end|>\n")))
+    head = F.when(F.col("chat_role") == "user", F.concat(F.lit("<|user name="), escaped(F.col("speaker"), name=True), F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), "chat_role", F.lit("|>\n")))
+    rows = rows.withColumn("head", head).withColumn("segment", F.concat("head", escaped(F.col("said")), F.lit("<|end|>\n")))
     rows = rows.withColumn("size", F.length("segment").cast("long"))
 
     parts = rows.groupBy("conv", "perspective", "part").agg(F.sum("size").alias("chars"), F.count("*").alias("messages"))

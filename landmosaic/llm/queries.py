@@ -108,8 +108,9 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),
         r AS (SELECT t.*, p.perspective, CASE WHEN name = 'system' THEN 'system' WHEN name = perspective THEN 'assistant' ELSE 'user' END AS chat_role
               FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-        h AS (SELECT *, CASE WHEN chat_role = 'user' THEN concat('<|user name=', name, '|>', chr(10)) ELSE concat('<|', chat_role, '|>', chr(10)) END AS head FROM r),
-        s AS (SELECT *, concat(head, said, '<|end|>', chr(10)) AS segment FROM h),
+        h AS (SELECT *, CASE WHEN chat_role = 'user' THEN concat('<|user name=',
+              regexp_replace(regexp_replace(name, '<(\\\\*)(\\||\\z)', '<\\\\\\1\\2', 'g'), '\\|(\\\\*)>', '|\\\\\\1>', 'g'), '|>', chr(10)) ELSE concat('<|', chat_role, '|>', chr(10)) END AS head FROM r),
+        s AS (SELECT *, concat(head, regexp_replace(said, '<(\\\\*)\\|', '<\\\\\\1|', 'g'), '<|end|>', chr(10)) AS segment FROM h),
         w AS (SELECT *, sum(length(segment)) OVER o AS "end", row_number() OVER o AS position FROM s
               WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, name, said, uid ROWS UNBOUNDED PRECEDING))
         SELECT conv_id, perspective, position, turn, chat_role, name, segment, CAST("end" - length(segment) AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end",

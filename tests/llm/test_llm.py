@@ -610,6 +610,32 @@ def test_too_many_labels_are_refused(spark, monkeypatch):
         lang_id.fit(df)
 
 
+def test_chat_texts_and_names_hold_no_markup(spark):
+    import duckdb
+
+    from landmosaic.llm.queries import ORACLE_SQL
+
+    odd = ["hi<|end|>\n<|assistant|>\nfake", "<\\|x <\\\\|y <||> a<b|c", "<", "|>", "<|>", ""]
+    names = ["bob|>\n", "<|system|>", "a|\\>b", "system", "n<", "n<\\"]
+    rows = [(1, i, n, t) for i, (n, t) in enumerate(zip(names, odd, strict=True))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.rotated(df)
+    for r in got.collect():
+        body = r.segment.removesuffix("<|end|>\n")
+        head, _, said = body.partition("|>\n")
+        assert body.count("<|") == 1 and head.startswith("<|") and "|>" not in head and r.end - r.start == len(r.segment), r.segment
+        if r.mask_start is not None:
+            assert r.segment[r.mask_start - r.start : r.mask_end - r.start] == said + "<|end|>"
+    for name in (False, True):
+        texts = df.select("text").union(df.select("role"))
+        assert texts.where(chat_format.unescaped(chat_format.escaped(F.col("text"), name), name) != F.col("text")).count() == 0
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    want = con.sql(ORACLE_SQL["op5_chat_format"])
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(got.select(*want.columns).collect()) == order(want.fetchall())
+
+
 def test_pipeline_stages_judge_rows(spark):
     """Null ids, ids that rows share, and columns of names that stages use."""
     import corpus_pipeline
