@@ -686,6 +686,15 @@ def test_identical_rows_become_one(spark, drop):
     assert sorted((tuple(r)[:3] for r in out.collect()), key=repr) == sorted([rows[1], rows[3], rows[5], rows[7]], key=repr)
 
 
+def test_roots_are_joined_by_later_links(spark):
+    first, later = [(1, 2), (2, 3), (5, 6), (8, 9), (20, 21)], [(3, 6), (4, 9), (6, 7), (10, 11), (2, 5)]
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    found = components.components(links(first))
+    want = {(r.node, r.root) for r in components.components(links(first + later)).collect()}
+    assert {(r.node, r.root) for r in near_copies.joined_roots(found, links(later)).collect()} == want
+    assert near_copies.joined_roots(found, links([])).count() == found.count()
+
+
 def test_sets_that_share_a_name_get_another(spark):
     rows = spark.createDataFrame([(7, 1, "a"), (7, 2, "b"), (7, 1, "c"), (8, 1, "d")], "node long, other long, k string")
     got = {r.k: r.node for r in near_copies.named_alone(rows, spark.createDataFrame([(7,)], "node long")).collect()}
