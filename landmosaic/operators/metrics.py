@@ -128,7 +128,8 @@ def raw_audit(objects: DataFrame, panoramas: DataFrame, most: int = 20) -> DataF
 
 def sample_audit(samples: DataFrame, most: int = 20) -> DataFrame:
     """kind, key, n, first of samples (seq, class_name, object_id, bearing, distance_m, image_path, source_path, source_there,
-    crop_there): rows per class, rows with each issue, and the first of those that are listed. An unknown distance is near."""
+    crop_there): rows per class, rows with each issue (0 where there are none), and the first of those that are listed. An unknown
+    distance is near."""
     from .ranking import first_per_class
 
     issues = F.array(
@@ -137,8 +138,9 @@ def sample_audit(samples: DataFrame, most: int = 20) -> DataFrame:
     )
     rows = samples.select("seq", F.explode(F.array_compact(issues)).alias("i")).select("seq", "i.*")
     first = first_per_class(rows.where("what IS NOT NULL"), "key", "seq", most).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "what"))).alias("f"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).join(first, "key", "left")
-    counts = counts.select(F.lit("issue").alias("kind"), "key", "n", F.when(F.col("f").isNotNull(), F.concat_ws(",", F.transform("f", lambda x: x["what"]))).alias("first"))
+    names = samples.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ["null_bearing", "close_target_m", "missing_source", "missing_crop"]))).alias("key"))
+    counts = names.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key", "left").join(first, "key", "left")
+    counts = counts.select(F.lit("issue").alias("kind"), "key", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("f").isNotNull(), F.concat_ws(",", F.transform("f", lambda x: x["what"]))).alias("first"))
     return counts.unionByName(samples.groupBy(F.col("class_name").alias("key")).agg(F.count("*").alias("n")).select(F.lit("class").alias("kind"), "key", "n", F.lit(None).cast("string").alias("first")))
 
 
