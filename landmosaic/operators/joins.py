@@ -9,14 +9,14 @@ from ..functions.geo import distance
 from . import places
 
 
-def relabelled(crops: DataFrame, labels: DataFrame, classes: list[str], only_confident: bool = True) -> DataFrame:
+def relabelled(crops: DataFrame, labels: DataFrame, classes: list[str], only_confident: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every label line with the reason it is skipped for (bad_label, unsure, no_crop_record, in this order) or null; the new
-    label in class_name, the old one in osm_label. Of crops with one path the last (by seq) counts."""
+    label in class_name, the old one in osm_label; keep: columns of labels that stay. Of crops with one path the last (by seq) counts."""
     last = crops.groupBy("image_path").agg(F.max_by(F.struct("object_id", F.col("class_name").alias("osm_label"), "split"), "seq").alias("c"))
     out = labels.join(last, "image_path", "left")
     known = F.coalesce(F.col("vlm_label").isin(classes), F.lit(False))
     reason = F.when(~known, "bad_label").when(~F.coalesce(F.col("vlm_confident"), F.lit(True)) & F.lit(only_confident), "unsure").when(F.col("c").isNull(), "no_crop_record")
-    return out.select("image_path", F.col("vlm_label").alias("class_name"), F.col("c.osm_label").alias("osm_label"), F.col("c.object_id").alias("object_id"), reason.alias("reason"))
+    return out.select("image_path", F.col("vlm_label").alias("class_name"), F.col("c.osm_label").alias("osm_label"), F.col("c.object_id").alias("object_id"), reason.alias("reason"), *keep)
 
 
 def missing(rows: DataFrame, key: str, there: DataFrame, there_key: str) -> DataFrame:

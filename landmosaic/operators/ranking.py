@@ -51,7 +51,7 @@ def plain_split(objects: DataFrame, key: str, ratio: float = 0.2, seed: str = "4
     return r.withColumn("split", F.when(F.col("rank") <= F.floor(F.col("rank_n") * ratio), "val").otherwise("train")).drop("rank", "rank_n")
 
 
-def minimum_split(crops: DataFrame, class_col: str, object_col: str, seq: str, ratio: float = 0.2, least: int = 12, seed: str = "42") -> DataFrame:
+def minimum_split(crops: DataFrame, class_col: str, object_col: str, seq: str | Column, ratio: float = 0.2, least: int = 12, seed: str = "42") -> DataFrame:
     """Objects, in the class of their first crop; max(least, int(n * ratio)) are val, never all; a lone object is val."""
     objects = crops.groupBy(object_col).agg(F.min_by(class_col, seq).alias(class_col))
     r = exact_rank(objects, [class_col], object_col, seed)
