@@ -63,20 +63,41 @@ def upserted(parcels: DataFrame, corrections: DataFrame) -> DataFrame:
     return out.withColumn("panorama_status_ui", F.coalesce(F.col("c.panorama_status_ui"), F.col("panorama_status_ui"))).drop("c")
 
 
-def nearby(objects: DataFrame, panoramas: DataFrame, metres: float, most: int = places.MOST) -> DataFrame:
-    """Pairs within a radius: object_id, pano_id, distance_m. An equi-join on cells, which are divided where they are full."""
+def _near_places(objects: DataFrame, panoramas: DataFrame, metres: float, digits: int | None, most: int) -> DataFrame:
+    """c_lat, c_lon, p_lat, p_lon, distance_m of the pairs of different places within a radius. An equi-join on cells, which are
+    divided where they are full; however many rows share a place, it is met once."""
+    pairs = places.pairs_within(objects.select("c_lat", "c_lon").distinct(), panoramas.select("p_lat", "p_lon").distinct(), metres, most)
+    d = distance(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon"))
+    return pairs.withColumn("distance_m", d if digits is None else F.bround(d, digits))
+
+
+def nearby(objects: DataFrame, panoramas: DataFrame, metres: float, most: int = places.MOST, digits: int | None = None) -> DataFrame:
+    """Pairs within a radius: object_id, pano_id, distance_m (rounded half-even to digits). Distances are worked out between places;
+    panoramas take them over, and the objects of a place meet them last, so that pairs are never shuffled."""
     o = objects.select("object_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     p = panoramas.select("pano_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    pairs = places.pairs_within(o, p, metres, most)
-    return pairs.select("object_id", "pano_id", distance(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon")).alias("distance_m"))
+    near = p.join(_near_places(o, p, metres, digits, most), ["p_lat", "p_lon"]).select("c_lat", "c_lon", "pano_id", "distance_m")
+    return near.join(o.hint("merge"), ["c_lat", "c_lon"]).select("object_id", "pano_id", "distance_m")
+
 
+def _picked(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """by, season and pick (distance_m, newest: the later the less, pano_id): each season's least, of the `most` first seasons."""
+    best = rows.groupBy(*by, "season").agg(F.min("pick").alias("pick"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("pick.distance_m"), "season"))
+    return best.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
 
-def season_picks(pairs: DataFrame, panoramas: DataFrame, most: int = 4) -> DataFrame:
-    """Per object and season the nearest panorama, then the newest; at most four seasons."""
-    rows = pairs.join(panoramas.select("pano_id", "season", "ts"), "pano_id")
-    best = rows.groupBy("object_id", "season").agg(F.min_by(F.struct("pano_id", "distance_m", "ts"), F.struct("distance_m", -F.unix_micros(F.col("ts").cast("timestamp")), "pano_id")).alias("b"))
-    place = F.row_number().over(Window.partitionBy("object_id").orderBy(F.col("b.distance_m"), "season"))
-    return best.withColumn("_r", place).where(F.col("_r") <= most).select("object_id", "season", "b.pano_id", "b.distance_m")
+
+def season_picks(objects: DataFrame, panoramas: DataFrame, metres: float, most: int = 4, digits: int = 6, full: int = places.MOST) -> DataFrame:
+    """Per object and season the nearest panorama within a radius (distances rounded to digits), then the newest, then the first
+    id; at most four seasons: object_id, season, pano_id, distance_m. Of the panoramas at one place and season only the newest
+    can be picked, and objects at one place have the same picks, so neither side's copies are multiplied."""
+    o = objects.select("object_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    p = panoramas.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "season", F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("newest"), "pano_id").alias("first"))
+    p = p.groupBy("p_lat", "p_lon", "season").agg(F.min("first").alias("first"))
+    rows = p.join(_near_places(o, p, metres, digits, full), ["p_lat", "p_lon"])
+    rows = _picked(rows.select("c_lat", "c_lon", "season", F.struct("distance_m", "first.newest", "first.pano_id").alias("pick")), ["c_lat", "c_lon"], most)
+    rows = _picked(o.join(rows, ["c_lat", "c_lon"]).select("object_id", "season", "pick"), ["object_id"], most)  # an id may have several places
+    return rows.select("object_id", "season", "pick.pano_id", "pick.distance_m")
 
 
 def expected_tiles(images: DataFrame, tile: int = 512) -> DataFrame:

@@ -231,7 +231,7 @@ def season_collection(elements: DataFrame, panoramas: DataFrame, metres: float,
     rows = rows.select("id", "type", "class_name", name.alias("name"), F.coalesce(pair("c_lat", "c_lon"), pair("e_lat", "e_lon")).alias("p")).where("p IS NOT NULL").select("id", "type", "class_name", "name", "p.lat", "p.lon")
     rows = rows.where(F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
     some = kept(ranking.first_per_class(rows, "class_name", "id", most).withColumn("object_id", F.concat_ws("/", "class_name", F.col("id").cast("string"))), "items")
-    picks = joins.season_picks(joins.nearby(some, panoramas, metres).withColumn("distance_m", F.bround("distance_m", 6)), panoramas)
+    picks = joins.season_picks(some, panoramas, metres)
     item = text.safe_item_id(F.col("class_name"), F.col("type"), F.col("id"), F.col("id"), F.col("lat"), F.col("lon"), F.col("name"))
     rows = picks.join(some.select("object_id", "class_name", item.alias("item_id")), "object_id").join(panoramas.select("pano_id", "ts"), "pano_id")
     taken = text.capture_parts(F.timestamp_seconds(F.unix_timestamp("ts")))

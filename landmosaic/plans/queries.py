@@ -280,16 +280,14 @@ def f23_chosen_points(spark, sf):
 @query(f"""WITH pairs AS (SELECT o.object_id, p.pano_id, {_dist('o.lat', 'o.lon', 'p.lat', 'p.lon')} AS d FROM objects o JOIN panoramas p ON p.lat BETWEEN o.lat - 1e-3 AND o.lat + 1e-3 AND p.lon BETWEEN o.lon - 1e-3 AND o.lon + 1e-3)
     SELECT object_id, pano_id, round_even(d, 3) AS distance_m FROM pairs WHERE d <= 3.01""")
 def j7_nearby_panoramas(spark, sf):
-    return joins.nearby(bound(spark, sf, "objects"), bound(spark, sf, "panoramas"), 3.01).withColumn("distance_m", F.bround("distance_m", 3))
+    return joins.nearby(bound(spark, sf, "objects"), bound(spark, sf, "panoramas"), 3.01, digits=3)
 
 
 @query(f"""WITH pairs AS (SELECT o.object_id, p.pano_id, season, ts, {_dist('o.lat', 'o.lon', 'p.lat', 'p.lon')} AS d FROM objects o JOIN panoramas p ON p.lat BETWEEN o.lat - 1e-3 AND o.lat + 1e-3 AND p.lon BETWEEN o.lon - 1e-3 AND o.lon + 1e-3),
     r AS (SELECT *, row_number() OVER (PARTITION BY object_id, season ORDER BY round_even(d, 6), ts DESC, pano_id) AS k FROM pairs WHERE d <= 3.01), b AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY round_even(d, 6), season) AS j FROM r WHERE k = 1)
     SELECT object_id, season, pano_id FROM b WHERE j <= 4""")
 def w8_season_pick(spark, sf):
-    p = bound(spark, sf, "panoramas")
-    pairs = joins.nearby(bound(spark, sf, "objects"), p, 3.01).withColumn("distance_m", F.bround("distance_m", 6))
-    return joins.season_picks(pairs, p).select("object_id", "season", "pano_id")
+    return joins.season_picks(bound(spark, sf, "objects"), bound(spark, sf, "panoramas"), 3.01).select("object_id", "season", "pano_id")
 
 
 # ---------------------------------------------------------------- text rules
