@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, rules, text, vectors
 from ..functions.core import is_empty
 from ..operators import joins, metrics, places, probe, quality, ranking
-from ..sources.tables import kept, statistics
+from ..sources.tables import kept, spread, statistics
 
 
 def prepared(objects: DataFrame, files: DataFrame, ratio: float = 0.2, seed: str = "42", fov: float = 90.0) -> DataFrame:
@@ -94,7 +94,8 @@ def with_panorama_beside(parcels: DataFrame, panoramas: DataFrame, metres: float
     """parcel_key of the parcels (ring, lat, lon, photos_ui) without a link that have a panorama (lat, lon) within `metres` of
     one of their first boundary points. A semi-join: a point is done with the first panorama that is found."""
     points = F.slice(geo.merged_points(geo.boundary_points(F.col("ring"), F.col("lat"), F.col("lon"))), 1, most)
-    rows = parcels.where(~F.coalesce(text.has_link(F.col("photos_ui")), F.lit(False))).select("parcel_key", F.explode(points).alias("p"))
+    rows = parcels.where(~F.coalesce(text.has_link(F.col("photos_ui")), F.lit(False))).select("parcel_key", "ring", "lat", "lon")
+    rows = spread(rows, "parcel_key").select("parcel_key", F.explode_outer(points).alias("p")).where("p IS NOT NULL")
     circles = rows.select("parcel_key", F.col("p.lat").alias("c_lat"), F.col("p.lon").alias("c_lon"))
     found = places.with_any_within(circles, panoramas.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), metres)
     return found.select("parcel_key").distinct()

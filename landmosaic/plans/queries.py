@@ -261,19 +261,21 @@ _LINKS = f"""l AS (SELECT parcel_key, CAST(regexp_extract(photos_ui, '(?i)[?&]ll
 
 @query(f"WITH {_EDGES} SELECT parcel_key, k AS i, edge_index, edge, lon, lat, bearing_deg FROM points")
 def f21_boundary_points(spark, sf):
-    p = bound(spark, sf, "parcels").withColumn("points", geo.merged_points(geo.boundary_points(_ring(), F.col("lat"), F.col("lon"))))
-    rows = p.select("parcel_key", F.posexplode("points").alias("i", "p")).select("parcel_key", F.col("i").cast("long").alias("i"), "p.*")
+    p = tables.spread(bound(spark, sf, "parcels").select("parcel_key", "lat", "lon", "side"), "parcel_key")
+    p = p.withColumn("points", geo.merged_points(geo.boundary_points(_ring(), F.col("lat"), F.col("lon"))))
+    rows = p.select("parcel_key", F.posexplode_outer("points").alias("i", "p")).where("p IS NOT NULL")  # not outer, Spark works points out once more below the shuffle
+    rows = rows.select("parcel_key", F.col("i").cast("long").alias("i"), "p.*")
     return rows.withColumn("edge_index", F.col("edge_index").cast("int")).withColumn("edge", F.bround("edge", 3)).withColumn("bearing_deg", F.pmod("bearing_deg", F.lit(360.0)))
 
 
 @query(f"WITH {_EDGES}, {_LINKS} SELECT parcel_key, CAST(k + 1 AS INT) AS index, lon, lat, bearing_deg FROM points WHERE parcel_key NOT IN (SELECT parcel_key FROM links WHERE NOT gallery) UNION ALL SELECT parcel_key, 1, lon, lat, bearing_deg FROM links WHERE NOT gallery")
 def f23_chosen_points(spark, sf):
     """Boundary points where the photos cell has a gallery, else the links' places with the bearing to the parcel, else boundary points."""
-    p = bound(spark, sf, "parcels")
+    p = tables.spread(bound(spark, sf, "parcels").select("parcel_key", "lat", "lon", "side", "photos_ui"), "parcel_key")
     links = F.transform(text.photo_coords(F.col("photos_ui")), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), F.bround(geo.bearing(x["lat"], x["lon"], F.col("lat"), F.col("lon")), 1).alias("bearing_deg")))
     around = F.transform(geo.merged_points(geo.boundary_points(_ring(), F.col("lat"), F.col("lon"))), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), x["bearing_deg"].alias("bearing_deg")))
     chosen = F.when(text.gallery_of(F.col("photos_ui")).isNull() & (F.size(links) > 0), links).otherwise(around)
-    rows = p.select("parcel_key", F.posexplode(chosen).alias("i", "p")).select("parcel_key", (F.col("i") + 1).alias("index"), "p.*")
+    rows = p.select("parcel_key", F.posexplode_outer(chosen).alias("i", "p")).where("p IS NOT NULL").select("parcel_key", (F.col("i") + 1).alias("index"), "p.*")
     return rows.withColumn("bearing_deg", F.pmod("bearing_deg", F.lit(360.0)))
 
 

@@ -52,6 +52,11 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, key: str, each: int = 4) -> DataFrame:
+    """rows dealt by key over several tasks for each core, for work that is heavy a row: a small file is read in one task."""
+    return rows.repartition(each * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def folders(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that a pattern with stars matches, in any file system that Spark reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
