@@ -96,6 +96,14 @@ def boundary_points(ring: Column, lat: Column, lon: Column, offset: float = OFFS
     return F.when(F.size(ring) < 4, F.slice(centre, 1, 0)).otherwise(bound_to(found, lambda x: F.when(F.size(x) > 0, x).otherwise(centre)))
 
 
+def nearest_edge(ring: Column, lat: Column, lon: Column) -> Column:
+    """The index of the edge of array<struct<lon, lat>> whose middle is nearest to a point; the first on ties."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    edges = F.arrays_zip(F.slice(ring, 1, n).alias("a"), F.slice(ring, 2, n).alias("b"))
+    to = lambda e: distance(lat, lon, (e["a"]["lat"] + e["b"]["lat"]) / 2, (e["a"]["lon"] + e["b"]["lon"]) / 2)
+    return F.array_min(F.transform(edges, lambda e, i: F.struct(to(e).alias("d"), i.alias("i"))))["i"]
+
+
 def merged_points(points: Column, near: float = MERGE, most: int = MOST) -> Column:
     """Points that aren't within `near` metres of one kept before; the `most` with the longest edges, in that order."""
 

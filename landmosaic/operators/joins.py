@@ -113,9 +113,3 @@ def first_provider(sources: list[DataFrame], point: str = "point_id", url: str =
         rows = s.where(F.coalesce(F.trim(F.col(url)), F.lit("")) != "").select(point, url, F.lit(i).alias("priority"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy(point, url).agg(F.min("priority").alias("priority"))
-
-
-def nearest_edge(points: DataFrame, edges: DataFrame, key: str = "parcel_key") -> DataFrame:
-    """points (lat, lon) with the index of the edge whose middle is nearest; the first on ties."""
-    d = distance(F.col("lat"), F.col("lon"), F.col("mid_lat"), F.col("mid_lon"))
-    return points.join(edges, key).groupBy(key, "point_index").agg(F.min_by("edge_index", F.struct(d, "edge_index")).alias("edge_index"))
