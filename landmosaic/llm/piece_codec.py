@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import released
+from .common import model, released
 
 MARK = "▁"
 CACHED_RUNS, CACHED_LENGTH = 1 << 15, 64
@@ -323,13 +323,8 @@ class PieceCodec:
         return done
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return model(f"pieces {path}", lambda: PieceCodec(path))
 
 
 def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
