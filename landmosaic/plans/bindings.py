@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import place_in_files
+
 CLASS_OF_SEGMENT = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'natural_areas' WHEN 'BUILDING' THEN 'active_construction' WHEN 'FURNITURE' THEN 'frozen_construction' WHEN 'HOUSEHOLD' THEN 'low_density_degraded' ELSE 'active_urban' END"
 
 BINDINGS = {
@@ -51,9 +53,14 @@ BINDINGS = {
 }
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound(spark: SparkSession, sf_dir: str, name: str, line: str | None = None) -> DataFrame:
+    """The logical table; line: with a column of that name, the place of each row in the table's files (of a single table)."""
     text = BINDINGS[name]
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text))})
+    of = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text))}
+    if line:
+        ((t, df),) = of.items()
+        of, text = {t: df.select("*", place_in_files().alias(line))}, text.replace(f" FROM {{{t}}}", f", {line} FROM {{{t}}}")
+    return spark.sql(text, **of)
 
 
 def oracle(body: str) -> str:

@@ -65,13 +65,12 @@ def balanced(rows: DataFrame, majority: str, most: int, least: int, seed: str =
     return ranking.duplicate_weight(ranking.copies_to(capped, "class_name", "crop_id", least, seed), "image_path")
 
 
-def strong_build(crops: DataFrame, labels: DataFrame, target: int, seed: str = "42", line: str | None = None) -> DataFrame:
+def strong_build(crops: DataFrame, labels: DataFrame, target: int, seed: str = "42", *, line: str) -> DataFrame:
     """Relabelled crops with a split that leaves each class enough val objects, train classes brought to the target, and weights.
-    An object's class is that of its first path; where that has several labels, of the last line (by `line`, a column of labels,
-    or their place in the file)."""
-    labels = labels.withColumn("_line", F.col(line) if line else F.monotonically_increasing_id())
-    rows = joins.relabelled(crops, labels, rules.CLASS_KEYS, keep=("_line",)).where("reason IS NULL").drop("reason")
-    split = ranking.minimum_split(rows, "class_name", "object_id", F.struct("image_path", -F.col("_line"), "class_name"), seed=seed).select("object_id", "split")
+    An object's class is that of its first path; where that has several labels, of the last line (by `line`, a column of labels)."""
+    rows = joins.relabelled(crops, labels.withColumn("_line", F.col(line)), rules.CLASS_KEYS, keep=("_line",)).where("reason IS NULL").drop("reason")
+    last = rows.groupBy("object_id", "image_path").agg(F.max_by("class_name", "_line").alias("class_name"))
+    split = ranking.minimum_split(last, "class_name", "object_id", "image_path", seed=seed).select("object_id", "split")
     rows = rows.drop("_line").join(split, "object_id")
     train = ranking.copies_to(rows.where("split = 'train'"), "class_name", "image_path", target, seed, exact=True).drop("copy")
     return ranking.duplicate_weight(train.unionByName(rows.where("split = 'val'")), "image_path")

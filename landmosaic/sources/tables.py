@@ -57,6 +57,12 @@ def spread(rows: DataFrame, key: str, each: int = 4) -> DataFrame:
     return rows.repartition(each * rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
+def place_in_files() -> Column:
+    """Where a row of Parquet files stands: the file, by name, and the row in it. Spark's own order of rows is another one where
+    there are several files (the largest first) or a file is read in parts."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def folders(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that a pattern with stars matches, in any file system that Spark reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
